@@ -98,7 +98,7 @@ def _shredder(root: str, tables: set[str], key_field: str | None, fields: set[st
                     for name, child in obj.items():
                         if isinstance(child, dict):
                             if name in tables:
-                                emit(name, child, doc, key, table, path, f"{path}.{name}", anchored)
+                                emit(name, child, doc, key, table, path, f"{path}.{name}", f"{anchored}.{name}" if anchored else name)
                             else:
                                 inline(f"{prefix}{name}.", child)
                         elif isinstance(child, list) and name in tables and any(isinstance(x, dict) for x in child):
@@ -135,7 +135,8 @@ def shred(rows: DataFrame, doc_key: str, json_col: str, root: str, key_field: st
 
     ``path`` (positions from the document's root) identifies a row within its document and, with ``doc_key``, is its primary key;
     ``parent_element`` and ``parent_path`` are the foreign key. ``parent_key`` is the natural key that children carry: ``key_field`` of the
-    root element, else ``doc_key``; ``anchored_path`` holds the positions below the row that has that key. ``cells`` maps columns to JSON
+    root element, else ``doc_key``; ``anchored_path`` holds the positions below the row that has that key, and the name instead of a position
+    where a single object stands in place of an array. ``cells`` maps columns to JSON
     values; ``fields`` prunes them. Text that is no JSON, an empty array and array elements that are no objects give no rows, but such
     elements count as positions. Of names that occur twice in an object the last counts. Rows with a null ``doc_key`` are kept.
     """

@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     blocks = talks.filter((F.col("element") == "content") & (kind == '"text"') & nested.non_blank_string(F.element_at("cells", "text")))
     rows = nested.shred(table(spark, sf, "session_catalog").filter("session_id IS NOT NULL"), "session_id", "friction", "friction", None, ["ref"])
     frictions = rows.filter(F.col("element").isin("friction", "related") & nested.non_blank_string(F.element_at("cells", "ref")))
-    pick = lambda df, kind: df.filter("parent_key IS NOT NULL").select("parent_key", F.lit(kind).alias("child_kind"), F.col("anchored_path").alias("child_path"))
+    pick = lambda df, kind: df.filter(F.col("parent_key").isNotNull() & F.col("anchored_path").rlike(r"^\d+(\.\d+)*$")).select("parent_key", F.lit(kind).alias("child_kind"), F.col("anchored_path").alias("child_path"))
     return pick(blocks, "block").unionByName(pick(frictions, "friction")).distinct()
 
 
