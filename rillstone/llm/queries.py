@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import neardup
+from rillstone.llm import mixing, neardup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,5 +69,21 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(members, links)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups)}
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), table(spark, sf, "pack_capacity"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, sf), table(spark, sf, "pack_capacity"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.share_report(p9_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p8_packed, p8_fill, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
