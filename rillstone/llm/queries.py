@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import mixing, neardup, packing
+from rillstone.llm import mixing, neardup, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,5 +85,17 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(p9_mix(spark, sf), table(spark, sf, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p8_packed, p8_fill, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf, "documents")).distinct()
+
+
+def p10_report(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redaction_report(table(spark, sf, "documents"), "doc_id", "source")
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact_personal(table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_report, p10_redacted)}
 SQL: dict[str, str] = {}
