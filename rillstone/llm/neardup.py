@@ -9,6 +9,7 @@ with k by dynamic programming over the candidate counts that statistics of all r
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections.abc import Iterator
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from rillstone.runtime import materialise
 
+log = logging.getLogger(__name__)
 _WORDS = re.compile("[a-z0-9]+")
 #: Counters of the frequency sketch; words that share one are ordered alike, which costs speed at most. Its size does not depend on the data.
 SKETCH_BITS = 18
 #: Partitions besides that of the frequent words, the largest k considered, and the largest r_i.
 RARE_PARTITIONS, MAX_K, MAX_R = 3, 7, 3
+#: What a candidate costs, which its digest of bits mostly rejects where it is found, against one signature.
+PAIR_COST = 1.0
 #: A word in at least this share of the records is frequent.
 FREQUENT = 1 / 400
 
@@ -66,7 +70,7 @@ def choose(pairs: np.ndarray, rows: np.ndarray) -> Plan:
             for used, (cost, rs) in table.items():
                 for r in range(1, MAX_R + 1):
                     now = used + r - 1
-                    c = cost + 2.0 * pairs[k, i, r] + rows[k, i, r]
+                    c = cost + PAIR_COST * pairs[k, i, r] + rows[k, i, r]
                     if now <= k - 1 and (now not in step or c < step[now][0]):
                         step[now] = (c, (*rs, r))
             table = step
@@ -105,36 +109,45 @@ def _ordered(batch: pa.RecordBatch, column: int, counts: np.ndarray) -> tuple[np
 
 
 def _statistics(counts: np.ndarray, frequent: float, num: int, den: int):
-    """Per word: the smallest k from which it is within its record's prefixes; summed per (slot, partition, k)."""
+    """Per k, partition and r: the signatures written, and the records that signatures of the shorter prefixes are expected to meet."""
+    parts = RARE_PARTITIONS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros((MAX_K + 1, RARE_PARTITIONS + 1, MAX_R + 1))
-        square = np.zeros((MAX_K + 1, RARE_PARTITIONS + 1))
+        rows, hits = np.zeros((MAX_K + 1, parts, MAX_R + 1)), np.zeros((MAX_K + 1, parts, MAX_R + 1))
         for batch in batches:
             row, h, freq, rank = _ordered(batch, 0, counts)
             size = np.bincount(row, minlength=batch.num_rows)
             part = _partitions(freq, h, frequent)
             large, small = prefix_lengths(size, num, den)
             for k in range(1, MAX_K + 1):
-                for which, base in enumerate((large, small)):
-                    inside = rank < base[row] + k
-                    held = np.bincount(row[inside] * (RARE_PARTITIONS + 1) + part[inside], minlength=batch.num_rows * (RARE_PARTITIONS + 1)).reshape(batch.num_rows, -1)
-                    for r in range(1, MAX_R + 1):
-                        combos = held.astype(float)
-                        for j in range(1, r):
-                            combos = combos * np.maximum(held - j, 0) / (j + 1)
-                        rows[k, :, r] += combos.sum(0)
-                    if which:
-                        # expected matches of a word: the frequency of each of its prefix words
-                        square[k] += np.bincount(part[inside], weights=freq[inside].astype(float), minlength=RARE_PARTITIONS + 1)
-        out = [(k, i, r, rows[k, i, r], square[k, i]) for k in range(1, MAX_K + 1) for i in range(RARE_PARTITIONS + 1) for r in range(1, MAX_R + 1)]
+                inside = rank < large[row] + k
+                held = np.bincount(row[inside] * parts + part[inside], minlength=batch.num_rows * parts).reshape(-1, parts)
+                for r in range(1, MAX_R + 1):
+                    rows[k, :, r] += _combinations(held, r).sum(0)
+                inside = rank < small[row] + k
+                hits[k, :, 1] += np.bincount(part[inside], weights=freq[inside], minlength=parts)
+                # frequent words come in company: all their combinations are taken to be as common as their rarest word
+                common = inside & (part == 0)
+                at, f = row[common], freq[common]
+                held0 = np.bincount(at, minlength=batch.num_rows)
+                after = (np.cumsum(held0)[at] - np.arange(len(at)) - 1) if len(at) else at
+                for r in range(2, MAX_R + 1):
+                    hits[k, 0, r] += float((f * _combinations(after, r - 1)).sum())
+        out = [(k, i, r, rows[k, i, r], hits[k, i, r]) for k in range(1, MAX_K + 1) for i in range(parts) for r in range(1, MAX_R + 1)]
         yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["k", "i", "r", "n_rows", "n_hits"]), preserve_index=False)
 
     return run
 
 
+def _combinations(n: np.ndarray, r: int) -> np.ndarray:
+    out = np.ones(n.shape)
+    for j in range(r):
+        out = out * np.maximum(n - j, 0) / (j + 1)
+    return out
+
+
 def _signatures(plan: Plan, counts: np.ndarray, frequent: float, num: int, den: int):
-    names = ["sig", "set_id", "size", "probes"]
+    names = ["sig", "set_id", "size_flag", "bits_0", "bits_1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +155,7 @@ def _signatures(plan: Plan, counts: np.ndarray, frequent: float, num: int, den:
             size = np.bincount(row, minlength=batch.num_rows)
             part = _partitions(freq, h, frequent)
             large, small = prefix_lengths(size, num, den)
+            bits = _digest(row, h, batch.num_rows)
             keep = rank < large[row] + plan.k
             row, h, part, rank = row[keep], h[keep], part[keep], rank[keep]
             indexed = rank < small[row] + plan.k
@@ -178,11 +192,23 @@ def _signatures(plan: Plan, counts: np.ndarray, frequent: float, num: int, den:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start in range(0, len(s_), 100_000):
                 cut = slice(start, start + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(s_[cut]), pa.array(ids[r_[cut]], pa.int64()), pa.array(size[r_[cut]].astype(np.int32)), pa.array(~b_[cut])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(s_[cut]), pa.array(ids[r_[cut]], pa.int64()), pa.array((size[r_[cut]] * 2 + ~b_[cut]).astype(np.int32)), *(pa.array(x[r_[cut]]) for x in bits)], names=names)
 
     return run
 
 
+def _digest(row: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    """Each set's words thrown into 128 bits, as two longs. Two digests differ in no more bits than the sets do in words."""
+    at = (h.view(np.uint64) >> np.uint64(11)) % np.uint64(128)
+    out = []
+    for half in (0, 1):
+        mine = (at // np.uint64(64)) == half
+        bits = np.zeros(n, np.uint64)
+        np.bitwise_or.at(bits, row[mine], np.uint64(1) << (at[mine] % np.uint64(64)))
+        out.append(bits.view(np.int64))
+    return out
+
+
 def _hasher(min_words: int):
     names = ["rec_id", "set_id", "words"]
 
@@ -230,27 +256,33 @@ def similar_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     stats = sets.select("words").mapInArrow(_statistics(counts, frequent, num, den), "k bigint, i bigint, r bigint, n_rows double, n_hits double")
     stats = stats.groupBy("k", "i", "r").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_hits").alias("n_hits")).collect()  # one row per k, partition and r
     pairs, rows = np.full((MAX_K + 1, RARE_PARTITIONS + 1, MAX_R + 1), 1e18), np.full((MAX_K + 1, RARE_PARTITIONS + 1, MAX_R + 1), 1e18)
-    for s in stats:
-        rows[s["k"], s["i"], s["r"]] = s["n_rows"]
-        mean = s["n_hits"] / max(n, 1) ** 2  # expected number of shared prefix words of two records
-        shared = 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(s["r"]))
-        if s["i"] == 0:  # frequent words are not independent: whoever has r of them has them in company
-            shared = max(shared, (s["n_rows"] / max(n, 1) / 2) * FREQUENT)
-        pairs[s["k"], s["i"], s["r"]] = max(0.0, shared) * max(n, 1) ** 2 / 2
+    of = {(s["k"], s["i"], s["r"]): s for s in stats}
+    for (k, i, r), s in of.items():
+        rows[k, i, r] = s["n_rows"]
+        if i == 0:
+            pairs[k, i, r] = s["n_hits"] / 2
+        else:  # words of a rare partition are met independently: shared ones follow a Poisson distribution
+            mean = of[k, i, 1]["n_hits"] / max(n, 1) ** 2
+            pairs[k, i, r] = max(0.0, 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(r))) * n**2 / 2
     plan = choose(pairs, rows)
-    signed = sets.select("set_id", "words").mapInArrow(_signatures(plan, counts, frequent, num, den), "sig bigint, set_id bigint, size int, probes boolean")
+    log.info("%d sets, %s, expecting %s candidates", n, plan, [round(pairs[plan.k, i, r]) for i, r in enumerate(plan.r)])
+    log.debug("candidates %s, signatures %s", pairs[1:, :, 1:].round().tolist(), rows[1:, :, 1:].round().tolist())
+    signed = sets.select("set_id", "words").mapInArrow(_signatures(plan, counts, frequent, num, den), "sig bigint, set_id bigint, size_flag int, bits_0 bigint, bits_1 bigint")
     return _verified(_candidates(signed, num, den), sets, num, den)
 
 
 def _candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs of sets with a common signature whose sizes allow the similarity. The larger set probes with its longer prefix, the
     smaller one is found by its shorter prefix."""
-    shared = materialise(signed, "signatures")
-    index = shared.filter("NOT probes").select("sig", F.col("set_id").alias("b"), F.col("size").alias("size_b"))
-    probe = shared.select("sig", F.col("set_id").alias("a"), F.col("size").alias("size_a"))
-    larger = F.expr(f"(size_a > size_b OR (size_a = size_b AND a < b)) AND size_b * {den} >= size_a * {num}")
-    joined = probe.join(index, "sig").filter(larger)
-    return joined.select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b")).distinct()
+    # each part of the condition names both sides, so nothing is filtered below the exchange and both sides read the same one
+    differ = f"(bit_count(l.bits_0 ^ r.bits_0) + bit_count(l.bits_1 ^ r.bits_1)) * {num + den} > {den - num} * (l.size_flag DIV 2 + r.size_flag DIV 2)"
+    fits = F.expr(
+        f"CASE WHEN r.size_flag % 2 = 1 THEN false WHEN {differ} THEN false WHEN l.size_flag DIV 2 > r.size_flag DIV 2 THEN (r.size_flag DIV 2) * {den} >= (l.size_flag DIV 2) * {num} "
+        "ELSE l.size_flag DIV 2 = r.size_flag DIV 2 AND l.set_id < r.set_id END"
+    )
+    left, right = signed.alias("l"), signed.alias("r")
+    joined = left.join(right, F.expr("l.sig = r.sig") & fits)
+    return joined.select(F.least("l.set_id", "r.set_id").alias("set_a"), F.greatest("l.set_id", "r.set_id").alias("set_b")).distinct()
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -268,9 +300,10 @@ def near_duplicates(records: DataFrame, rec_id: str, text: str, num: int = 4, de
     Records with the same words, copies among them, share a ``set_id``. Null and short texts take part in nothing; a record that occurs with
     several texts belongs to several sets; an empty input gives no rows. No bucket is capped, so no link is lost.
     """
-    members = materialise(word_sets(records, rec_id, text, min_words), "members")
-    sets = materialise(members.groupBy("set_id").agg(F.first("words").alias("words")), "sets")
-    return members.select("rec_id", "set_id").distinct(), similar_sets(sets, num, den)
+    hashed = word_sets(records, rec_id, text, min_words)
+    members = materialise(hashed.select("rec_id", "set_id").distinct(), "members")
+    sets = materialise(hashed.select("set_id", "words").groupBy("set_id").agg(F.first("words").alias("words")), "sets")
+    return members, similar_sets(sets, num, den)
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
