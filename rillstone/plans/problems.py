@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.operators import clocks, drift, nested, orphans, redelivery, rejects
+from rillstone.plans import problem_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,4 +100,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_report, p4_found, p4_tables, p5_found, p5_renames, p5_unified, p6_found, p6_status, p7_found)}
-SQL: dict[str, str] = {}
+_SHAPE = drift.message_shape()
+SQL: dict[str, str] = {
+    "p3_found": problem_sql.P3_FOUND, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.p5_found(_SHAPE.required, _SHAPE.optional, _SHAPE.prefix), "p7_found": problem_sql.P7_FOUND,
+}
