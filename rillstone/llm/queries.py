@@ -98,4 +98,17 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_report, p10_redacted)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """
+WITH msg AS (SELECT unnest(json_extract(chat_messages, '$[*]')) AS m FROM conversations WHERE json_valid(chat_messages)),
+g0 AS (SELECT session_id, CASE WHEN json_type(goals) = 'ARRAY' THEN json_extract(goals, '$[*]') ELSE [json(goals)] END AS items FROM session_catalog WHERE session_id IS NOT NULL AND json_valid(goals)),
+g AS (SELECT session_id, unnest(items) AS v, generate_subscripts(items, 1) AS k FROM g0),
+rec AS (SELECT 'msg:' || json_extract_string(m, '$.uuid') AS id, json_extract_string(m, '$.text') AS t FROM msg WHERE json_type(m, '$.text') = 'VARCHAR'
+ UNION SELECT 'quote:' || quote_id, quote FROM quotes
+ UNION SELECT 'goal:' || session_id || '#' || (k - 1), CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') WHEN json_type(v, '$.goal') = 'VARCHAR' THEN json_extract_string(v, '$.goal') END FROM g),
+s AS (SELECT row_number() OVER () AS n, id, w FROM (SELECT id, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM rec WHERE t IS NOT NULL) WHERE len(w) >= 6),
+x AS (SELECT n, unnest(w) AS word FROM s),
+p AS (SELECT a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.word = b.word AND a.n < b.n GROUP BY 1, 2)
+SELECT DISTINCT least(a.id, b.id) AS rec_a, greatest(a.id, b.id) AS rec_b FROM p JOIN s a ON a.n = na JOIN s b ON b.n = nb WHERE a.id <> b.id AND shared * 8 >= 3 * (len(a.w) + len(b.w))
+""",
+}
