@@ -78,7 +78,7 @@ def cluster_items(items: DataFrame, num: int = 4, den: int = 5, floor: int = 5,
     return numbered.join(connected(numbered, containment_pairs(numbered.select("item_id", "tokens"), num, den, floor)), "item_id")
 
 
-def summarise(members: DataFrame, cutover: str, least_sessions: int = 1) -> DataFrame:
+def summarise(members: DataFrame, cutover: str, least_sessions: int = 0) -> DataFrame:
     """One ledger row per cluster: ``cluster_id, times_seen, records, days, single_day, first_seen, last_seen, lanes, fix, still_open, grade, root_caused, spans_eras``."""
     c = F.col
     day, session = filled(c("date")), filled(c("session_id"))
