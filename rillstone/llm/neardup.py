@@ -57,13 +57,13 @@ class Plan:
     r: tuple[int, ...]
 
 
-def choose(pairs: np.ndarray, rows: np.ndarray) -> Plan:
+def choose(pairs: np.ndarray, rows: np.ndarray, most: int = MAX_K) -> Plan:
     """``pairs[k, i, r]``: candidates expected from partition i if probed for r shared words under k; ``rows[k, i, r]``: signatures written.
 
-    For each k the r_i with the smallest total cost and sum (r_i - 1) <= k - 1 are found by dynamic programming over the partitions.
+    ``most`` is the number of words that any two similar records share; no larger k holds for all of them. For each k up to it the r_i with the smallest total cost and sum (r_i - 1) <= k - 1 are found by dynamic programming over the partitions.
     """
     best, chosen = math.inf, Plan(1, (1,) * pairs.shape[1])
-    for k in range(1, MAX_K + 1):
+    for k in range(1, min(MAX_K, most) + 1):
         table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for i in range(pairs.shape[1]):
             step: dict[int, tuple[float, tuple[int, ...]]] = {}
@@ -233,8 +233,9 @@ def word_sets(records: DataFrame, rec_id: str, text: str, min_words: int) -> Dat
     return records.select(F.col(rec_id).cast("string"), text).mapInArrow(_hasher(min_words), "rec_id string, set_id bigint, words array<bigint>")
 
 
-def similar_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``set_a, set_b`` (``set_a < set_b``): all pairs of the distinct sets ``set_id, words`` with a Jaccard similarity of at least num/den."""
+def similar_sets(sets: DataFrame, num: int, den: int, min_words: int = 1) -> DataFrame:
+    """``set_a, set_b`` (``set_a < set_b``): all pairs of the distinct sets ``set_id, words`` with a Jaccard similarity of at least num/den. Each
+    set has at least ``min_words`` words."""
     spark = sets.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def similar_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
         else:  # words of a rare partition are met independently: shared ones follow a Poisson distribution
             mean = of[k, i, 1]["n_hits"] / max(n, 1) ** 2
             pairs[k, i, r] = max(0.0, 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(r))) * n**2 / 2
-    plan = choose(pairs, rows)
+    plan = choose(pairs, rows, overlap_needed(min_words, min_words, num, den))
     log.info("%d sets, %s, expecting %s candidates", n, plan, [round(pairs[plan.k, i, r]) for i, r in enumerate(plan.r)])
     log.debug("candidates %s, signatures %s", pairs[1:, :, 1:].round().tolist(), rows[1:, :, 1:].round().tolist())
     signed = sets.select("set_id", "words").mapInArrow(_signatures(plan, counts, frequent, num, den), "sig bigint, set_id bigint, size_flag int, bits_0 bigint, bits_1 bigint")
@@ -303,7 +304,7 @@ def near_duplicates(records: DataFrame, rec_id: str, text: str, num: int = 4, de
     hashed = word_sets(records, rec_id, text, min_words)
     members = materialise(hashed.select("rec_id", "set_id").distinct(), "members")
     sets = materialise(hashed.select("set_id", "words").groupBy("set_id").agg(F.first("words").alias("words")), "sets")
-    return members, similar_sets(sets, num, den)
+    return members, similar_sets(sets, num, den, max(1, min_words))
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
