@@ -195,6 +195,35 @@ def build_counters(events: DataFrame, receipts: DataFrame) -> dict:
     return {"occurrences": sum(d.values()), "receipts": sum(d.values()), "semantic_events": n, "emitted_events": d["EMITTED"], "by_disposition": d, "by_event_class": c, "by_reason_code": {r["reason_code"]: r["n"] for r in reason_counts(receipts).collect()}}
 
 
+def recount(events: DataFrame, receipts: DataFrame) -> dict:
+    """The same counters by another way: classes from the events, contributors from their sources, only drops and the rest from the receipts."""
+    by_class = {c: dict.fromkeys(("semantic_events", "emitted_events", "contributing_occurrences", "dropped_occurrences"), 0) for c in EVENT_CLASSES}
+    for r in events.groupBy("event_class").agg(F.count("*").alias("n"), F.sum(F.size("source_occurrence_ids")).alias("k")).collect():
+        by_class[r["event_class"]] |= {"semantic_events": r["n"], "emitted_events": r["n"], "contributing_occurrences": r["k"]}
+    disposition, reason = dict.fromkeys(DISPOSITIONS, 0), {}
+    for r in receipts.groupBy("disposition", "reason_code", "event_class").agg(F.count("*").alias("n")).collect():  # a few dozen combinations
+        disposition[r["disposition"]] += r["n"]
+        reason[r["reason_code"]] = reason.get(r["reason_code"], 0) + r["n"]
+        if r["disposition"] == "DROPPED":
+            by_class[r["event_class"]]["dropped_occurrences"] += r["n"]
+    total, emitted = sum(disposition.values()), sum(c["emitted_events"] for c in by_class.values())
+    return {"occurrences": total, "receipts": total, "semantic_events": emitted, "emitted_events": emitted, "by_disposition": disposition, "by_event_class": by_class, "by_reason_code": reason}
+
+
+def counter_violations(counters: dict) -> list[str]:
+    """What is wrong with the shape of counters: missing or unknown names, and numbers that are no integers of at least 0."""
+    numbers = lambda d, where: [f"{where}.{k}" for k, v in d.items() if type(v) is not int or v < 0]
+    out = [f"names: {k}" for k in {"occurrences", "receipts", "semantic_events", "emitted_events", "by_disposition", "by_event_class", "by_reason_code"} ^ counters.keys()]
+    if out:
+        return out
+    out += numbers({k: counters[k] for k in ("occurrences", "receipts", "semantic_events", "emitted_events")}, "total") + numbers(counters["by_disposition"], "by_disposition") + numbers(counters["by_reason_code"], "by_reason_code")
+    out += [f"by_disposition: {k}" for k in set(DISPOSITIONS) ^ counters["by_disposition"].keys()] + [f"by_event_class: {k}" for k in set(EVENT_CLASSES) ^ counters["by_event_class"].keys()]
+    out += [f"by_reason_code: {k}" for k in counters["by_reason_code"] if k not in REASON_CODES]
+    for name, row in counters["by_event_class"].items():
+        out += numbers(row, name)
+    return out
+
+
 def event_violations(events: DataFrame) -> DataFrame:
     """Events that break the contract, with the first violation."""
     c = F.col

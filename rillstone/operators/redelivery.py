@@ -81,6 +81,7 @@ class DeliveryStore:
         context.rename(temp, self._p("MANIFEST"), array)
 
     def winners(self) -> DataFrame | None:
+        """The kept deliveries, with the store's columns ``id_key``, ``set_key`` and ``store_period``."""
         m = self.manifest()
         return self._read(m, sorted(m["partitions"]))
 
@@ -93,18 +94,19 @@ class DeliveryStore:
         return self.spark.read.schema(StructType.fromJson(m["schema"])).parquet(*paths) if paths else None
 
     def merge(self, incoming: DataFrame) -> dict:
-        """Merge a batch; returns ``{"version", "affected", "rewritten"}``. Deliveries that the store has seen already change nothing."""
+        """Merge a batch; returns ``{"version", "affected", "rewritten"}``. Deliveries that the store has seen already change nothing. Columns of
+        the batch besides those that identify are kept, but for ones named ``id_key``, ``set_key`` or ``store_period``, which the store sets."""
         m, token = self.manifest(), uuid.uuid4().hex
-        new = identify(incoming).withColumn("period", F.coalesce(F.date_format("delivered_at", "yyyy-MM"), F.lit("none")))
+        new = identify(incoming).withColumn("store_period", F.coalesce(F.date_format("delivered_at", "yyyy-MM"), F.lit("none")))
         new = materialise(new.dropDuplicates(["delivery_id"]), "incoming")
-        identity = ["delivery_id", "id_key", "set_key", "period"]
+        identity = ["delivery_id", "id_key", "set_key", "store_period"]
         old_index = self.index()
         if old_index is None:
             related, affected = new.select(*identity), set()
         else:
             new = new.join(old_index.select("delivery_id"), "delivery_id", "left_anti")
             related = self._related(new.select(*identity), old_index)
-            affected = {r[0] for r in related.select("period").distinct().collect()}  # periods: bounded by time, not by rows
+            affected = {r[0] for r in related.select("store_period").distinct().collect()}  # periods: bounded by time, not by rows
         keys = message_keys(related.select("delivery_id", "id_key", "set_key"))
         winning = keys.groupBy("message").agg(F.min("delivery_id").alias("delivery_id")).select("delivery_id")
         stored = self._read(m, sorted(affected))
@@ -117,8 +119,8 @@ class DeliveryStore:
         else:
             result = payload.join(winning, "delivery_id", "left_semi")
         staged = f"{self.path}/data-{token}"
-        result.dropDuplicates(["delivery_id"]).withColumn("p", F.col("period")).write.partitionBy("p").option("compression", "zstd").parquet(staged)
-        entries = {s.getPath().getName()[2:]: f"{staged}/{s.getPath().getName()}" for s in self._fs.listStatus(self._p(f"data-{token}")) if s.getPath().getName().startswith("p=")}
+        result.dropDuplicates(["delivery_id"]).withColumn("store_part", F.col("store_period")).write.partitionBy("store_part").option("compression", "zstd").parquet(staged)
+        entries = {s.getPath().getName().partition("=")[2]: f"{staged}/{s.getPath().getName()}" for s in self._fs.listStatus(self._p(f"data-{token}")) if s.getPath().getName().startswith("store_part=")}
         indexed = f"{self.path}/index-{token}"
         new.select(*identity).write.option("compression", "zstd").parquet(indexed)
         partitions = {p: d for p, d in m["partitions"].items() if p not in affected} | entries

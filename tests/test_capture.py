@@ -26,6 +26,8 @@ def test_mixed_fixture(spark):
     assert events.count() == 1 and C.event_violations(events).count() == 0 and C.receipt_violations(receipts).count() == 0
     assert C.packet_violations(lines(spark, MIXED), events, receipts).count() == 0
     counters = C.build_counters(events, receipts)
+    assert counters == C.recount(events, receipts) and C.counter_violations(counters) == []
+    assert C.counter_violations(counters | {"receipts": -1}) == ["total.receipts"] and C.counter_violations({}) != []
     assert counters["by_disposition"] == {"EMITTED": 1, "CONTRIBUTED": 0, "SUPPRESSED": 1, "DROPPED": 0, "REJECTED": 6}
     assert counters["by_event_class"]["ordinary_user_turn"] == {"semantic_events": 1, "emitted_events": 1, "contributing_occurrences": 1, "dropped_occurrences": 0}
 

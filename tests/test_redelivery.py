@@ -3,11 +3,11 @@ import random
 
 from rillstone.operators import redelivery as R
 
-SCHEMA = "delivery_id bigint, event_id string, source_record_ids array<string>, delivered_at timestamp, period string"
+SCHEMA = "delivery_id bigint, event_id string, source_record_ids array<string>, delivered_at timestamp, p string, period string, of_id string"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, e, s, dt.datetime(2026, 1 + i % 5, 1) + dt.timedelta(minutes=i), "x") for i, e, s in rows], SCHEMA).drop("period")
+    return spark.createDataFrame([(i, e, s, dt.datetime(2026, 1 + i % 5, 1) + dt.timedelta(minutes=i), "x", None, "y") for i, e, s in rows], SCHEMA)
 
 
 def losers(rows):
