@@ -95,25 +95,28 @@ def orphan_cascade(references: list[Reference], targets: list[Target], rounds: i
     """Direct orphans, and the references that inherit their fate: ``src_table, src_key, src_field, ref_key, at, orphaned, round``.
 
     A reference to a living record is orphaned indirectly if that record is itself an orphan. Each round semi-joins the references down
-    the foreign-key graph with the keys orphaned in the round before, until nothing is added (cycles end there, too). A record counts as
-    orphaned from its first orphaned reference. ``rounds`` only guards against an endless loop; reaching it raises an error.
+    the foreign-key graph with the keys first orphaned in the round before, until nothing is added (cycles end there, too). A record counts
+    as orphaned from its first orphaned reference; its other references are still judged each on their own. ``rounds`` only guards against
+    an endless loop; reaching it raises an error.
     """
+    one = ["src_table", "src_key", "src_field", "ref_key"]
+    keys = lambda df: df.select("src_table", fold_key(F.col("own_key")).alias("k")).filter("k IS NOT NULL").distinct()
     found = materialise(direct_orphans(references, targets), "orphans")
-    all_found, fresh = [found], found
-    seen = found.select("src_table", "src_key").distinct()
+    all_found, newly = [found], keys(found)
+    seen, spread = found.select(*one).distinct(), newly
     for n in range(1, rounds + 1):
         parts = []
         for ref in references:
             if not any(r.table == ref.target and r.own_key for r in references):
                 continue
-            parents = fresh.filter(F.col("src_table") == ref.target).select(fold_key(F.col("own_key")).alias("k")).filter("k IS NOT NULL").distinct()
+            parents = newly.filter(F.col("src_table") == ref.target).select("k")
             rows = ref.rows.filter(ref.when) if ref.when else ref.rows
             is_array = dict(rows.dtypes)[ref.field].startswith("array")
             refs = rows.select(
                 F.lit(ref.table).alias("src_table"), F.col(ref.row_key).cast("string").alias("src_key"), F.lit(ref.field).alias("src_field"), F.col(ref.at).alias("at"),
                 (F.col(ref.own_key) if ref.own_key else F.lit(None).cast("string")).alias("own_key"), (F.explode(F.array_distinct(ref.field)) if is_array else F.col(ref.field)).alias("ref_key"),
             )
-            parts.append(refs.withColumn("k", fold_key(F.col("ref_key"))).join(parents, "k", "left_semi").drop("k").join(seen, ["src_table", "src_key"], "left_anti").distinct())
+            parts.append(refs.withColumn("k", fold_key(F.col("ref_key"))).join(parents, "k", "left_semi").drop("k").join(seen, one, "left_anti").distinct())
         if not parts:
             break
         step = parts[0]
@@ -123,7 +126,9 @@ def orphan_cascade(references: list[Reference], targets: list[Target], rounds: i
         if fresh.isEmpty():
             break
         all_found.append(fresh)
-        seen = seen.unionByName(fresh.select("src_table", "src_key").distinct())
+        seen = seen.unionByName(fresh.select(*one).distinct())
+        newly = keys(fresh).join(spread, ["src_table", "k"], "left_anti")
+        spread = spread.unionByName(newly)
     else:
         raise RuntimeError(f"the cascade did not settle within {rounds} rounds")
     out = all_found[0]

@@ -46,6 +46,24 @@ def test_cascade_and_report(spark):
     assert ("receipts", "event_id", "2026-01-01", "inherited", 1, 1) in report
 
 
+def test_cascade_by_reference(spark):
+    """A row with one direct orphan still has its other reference, which is inherited, reported."""
+    refs, targets = tables(spark, [("a", at(0), None)], [("e1", 1, ["zz"], at(1), ""), ("e2", 2, ["a"], at(1), "")], [("r1", "zz", "E1", at(2)), ("r2", "zz", "e2", at(2)), ("r3", "a", "e1", at(2))])
+    refs.append(O.Reference("receipts", refs[1].rows, "receipt_id", "occurrence_id", "ingested_at", "lines"))
+    got = rows(O.orphan_cascade(refs, targets).select("src_table", "src_key", "src_field", "ref_key", "orphaned"))
+    assert got == [
+        ("events", "1", "sources", "zz", "direct"), ("receipts", "r1", "event_id", "E1", "inherited"), ("receipts", "r1", "occurrence_id", "zz", "direct"),
+        ("receipts", "r2", "occurrence_id", "zz", "direct"), ("receipts", "r3", "event_id", "e1", "inherited"),
+    ]
+
+
+def test_cascade_ends_on_cycles(spark):
+    nodes = spark.createDataFrame([("a", "b", at(2)), ("b", "a", at(2)), ("b", "nope", at(2)), ("c", "b", at(2))], "id string, parent string, t timestamp")
+    refs = [O.Reference("nodes", nodes, "id", "parent", "t", "nodes", own_key="id")]
+    got = rows(O.orphan_cascade(refs, [O.Target("nodes", nodes, "id", "t")]).select("src_key", "ref_key", "orphaned"))
+    assert got == [("a", "b", "inherited"), ("b", "a", "inherited"), ("b", "nope", "direct"), ("c", "b", "inherited")]
+
+
 def test_empty(spark):
     refs, targets = tables(spark, [], [], [])
     assert O.orphan_cascade(refs, targets).count() == 0
