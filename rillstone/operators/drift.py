@@ -212,32 +212,85 @@ def _as_text(value: object) -> str | None:
     return json.dumps(value)
 
 
+_BLOCK = pa.struct([*[(n, pa.string()) for n in ("path", "type", "text", "id", "name", "mime_type")], ("byte_count", pa.int64()), ("extras", pa.map_(pa.string(), pa.string()))])
+_BLOCK_SQL = "struct<path:string,type:string,text:string,id:string,name:string,mime_type:string,byte_count:bigint,extras:map<string,string>>"
+
+
+def _levels(mapping: dict[str, str]) -> dict[int, dict[str, str]]:
+    """New names of fields with their base names, by level: 0 for messages, 1 for their blocks and so on."""
+    out: dict[int, dict[str, str]] = {}
+    for path, to in sorted(mapping.items()):
+        level = path.count(".")
+        if to.rpartition(".")[0] == ".".join(["content"] * level):
+            out.setdefault(level, {})[path.rpartition(".")[2]] = to.rpartition(".")[2]
+    return out
+
+
+def _names_at(levels: dict[int, dict[str, str]], level: int) -> dict[str, str]:
+    """The renames of a level; blocks inside blocks are called what the blocks of their file are called, unless they have names of their own."""
+    if level < 2:
+        return levels.get(level, {})
+    return {k: v for k, v in levels.get(0, {}).items() if v == "content"} | levels.get(1, {}) | levels.get(level, {})
+
+
+def _renamed(fields: dict, names: dict[str, str]) -> dict:
+    """The fields under their base names; one whose base name has a value already keeps its own."""
+    out = dict(fields)
+    for k in fields:
+        if k in names and out.get(names[k]) is None:
+            out[names[k]] = out.pop(k)
+    return out
+
+
+def _split(fields: dict, texts: tuple[str, ...]) -> tuple[dict, list, dict[str, str]]:
+    """``(values, inner, extras)``: the texts as strings, the elements of ``content``, and as JSON all that neither holds as it came."""
+    fields = dict(fields)
+    values, extras = {}, {}
+    for name in texts:
+        value = fields.pop(name, None)
+        values[name] = _as_text(value)
+        if isinstance(value, (dict, list)):
+            extras[name] = json.dumps(value)
+    inner = fields.pop("content", None)
+    if inner is not None and not isinstance(inner, (dict, str, list)):
+        extras["content"] = json.dumps(inner)
+    inner = [inner] if isinstance(inner, (dict, str)) else inner if isinstance(inner, list) else []
+    return values, inner, extras | {k: json.dumps(v) for k, v in fields.items() if k not in extras}
+
+
+def _blocks(content: list, levels: dict[int, dict[str, str]]) -> list[dict]:
+    """Blocks at every depth, outermost first, each with its path of positions."""
+    out, todo = [], [(str(i), 1, b) for i, b in enumerate(content)][::-1]
+    while todo:
+        path, level, block = todo.pop()
+        fields = _renamed(block, _names_at(levels, level)) if isinstance(block, dict) else {"type": "text", "text": block}
+        size = fields.get("byte_count")
+        whole = isinstance(size, int) and not isinstance(size, bool) and abs(size) < 2**63
+        if whole or size is None:
+            fields = {k: v for k, v in fields.items() if k != "byte_count"}
+        values, inner, extras = _split(fields, ("type", "text", "id", "name", "mime_type"))
+        out.append({"path": path, **values, "byte_count": size if whole else None, "extras": list(extras.items())})
+        todo += [(f"{path}.{i}", level + 1, b) for i, b in enumerate(inner)][::-1]
+    return out
+
+
 def _unifier(names: list[str]):
-    block = pa.struct([("type", pa.string()), ("text", pa.string())])
+    flat = pa.struct([("type", pa.string()), ("text", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key, file, text, mapping in zip(*(c.to_pylist() for c in batch.columns)):
-                to = dict(mapping or ())
-                top = {k: v for k, v in to.items() if "." not in k}
-                low = {k.rpartition(".")[2]: v.rpartition(".")[2] for k, v in to.items() if k.startswith("content.") and k.count(".") == 1}
+                levels = _levels(dict(mapping or ()))
                 value = tolerant_loads(text)
                 for i, m in enumerate(value if isinstance(value, list) else ()):
                     if not isinstance(m, dict):
                         continue
-                    m = m | {top[k]: v for k, v in m.items() if k in top and m.get(top[k]) is None}
-                    content = m.get("content")
-                    content = [content] if isinstance(content, (dict, str)) else content if isinstance(content, list) else []
-                    blocks = []
-                    for b in content:
-                        if isinstance(b, dict):
-                            b = b | {low[k]: v for k, v in b.items() if k in low and b.get(low[k]) is None}
-                            blocks.append({"type": _as_text(b.get("type")), "text": _as_text(b.get("text"))})
-                        else:
-                            blocks.append({"type": "text", "text": _as_text(b)})
-                    out.append((key, file, i, *(_as_text(m.get(k)) for k in ("uuid", "sender", "created_at", "text")), blocks))
-            types = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.list_(block)]
+                    values, content, extras = _split(_renamed(m, _names_at(levels, 0)), ("uuid", "sender", "created_at", "text"))
+                    blocks = _blocks(content, levels)
+                    first = [{"type": b["type"], "text": b["text"]} for b in blocks if "." not in b["path"]]
+                    out.append((key, file, i, *values.values(), first, blocks, list(extras.items())))
+            types = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.list_(flat), pa.list_(_BLOCK), pa.map_(pa.string(), pa.string())]
             cols = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
@@ -245,11 +298,14 @@ def _unifier(names: list[str]):
 
 
 def unify_messages(rows: DataFrame, row_key: str, file_col: str, json_col: str, report: DataFrame) -> DataFrame:
-    """``row_key, file, position, uuid, sender, created_at, text, content``: all messages in the base shape, renamed fields under their base name.
+    """``row_key, file, position, uuid, sender, created_at, text, content, blocks, extras``: all messages in the base shape, renamed fields
+    under their base name.
 
-    Texts in other wrappings become strings; elements that are no objects give no rows, an empty table none.
+    ``content`` holds type and text of the first-level blocks, ``blocks`` all fields of the blocks of every depth with their ``path`` of
+    positions (``2``, ``0.1``). Texts in other wrappings become strings. ``extras`` of messages and blocks hold, as JSON by name, added fields
+    and what was unwrapped or does not fit its type. Elements that are no objects give no rows, an empty table none.
     """
     mapping = report.filter("renamed_to IS NOT NULL").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("path", "renamed_to"))).alias("__map"))
     joined = rows.select(F.col(row_key).alias("row_key"), F.col(file_col).alias("file"), F.col(json_col).alias("__json")).join(mapping, "file", "left").select("row_key", "file", "__json", "__map")
-    names = ["row_key", "file", "position", "uuid", "sender", "created_at", "text", "content"]
-    return joined.mapInArrow(_unifier(names), "row_key bigint, file string, position bigint, uuid string, sender string, created_at string, text string, content array<struct<type:string,text:string>>")
+    names = ["row_key", "file", "position", "uuid", "sender", "created_at", "text", "content", "blocks", "extras"]
+    return joined.mapInArrow(_unifier(names), f"row_key bigint, file string, position bigint, uuid string, sender string, created_at string, text string, content array<struct<type:string,text:string>>, blocks array<{_BLOCK_SQL}>, extras map<string,string>")

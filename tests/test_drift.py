@@ -30,6 +30,23 @@ def test_unify(spark):
     assert got == {(1, 0): ("some words here", [("text", "block words")]), (2, 0): ("deep", [("text", "flat")]), (2, 1): ("plain", [("text", "flat")])}
 
 
+def test_unify_keeps_everything(spark):
+    deep = {"type": "attachment", "body": {"value": "third", "lang": "en"}, "id": "a1", "name": "n.txt", "mime_type": "text/plain", "byte_count": 12, "content": [{"type": "text", "text": "fourth"}]}
+    top = {"type": "text", "body": "first", "lang": None, "byte_count": "many", "content": [{"type": "text", "body": "second", "text": None, "content": [deep]}, "bare"]}
+    message = {k: v for k, v in OK.items() if k not in ("text", "content")} | {"text": "t", "message_text": "other", "edited": True, "parts": [top, {"body": "x", "text": "y"}], "sender": ["a", "b"]}
+    df = spark.createDataFrame([(1, "a", json.dumps([message])), (2, "b", json.dumps([OK | {"content": 5}]))], "k bigint, file string, j string")
+    rep = spark.createDataFrame([("a", "message_text", "text"), ("a", "content.body", "content.text"), ("a", "parts", "content")], "file string, path string, renamed_to string")
+    got = {r["row_key"]: r for r in drift.unify_messages(df, "k", "file", "j", rep).collect()}
+    assert [tuple(b) for b in got[1]["blocks"]] == [
+        ("0", "text", "first", None, None, None, None, {"lang": "null", "byte_count": '"many"'}), ("0.0", "text", "second", None, None, None, None, {}),
+        ("0.0.0", "attachment", "third", "a1", "n.txt", "text/plain", 12, {"text": '{"value": "third", "lang": "en"}'}), ("0.0.0.0", "text", "fourth", None, None, None, None, {}),
+        ("0.1", "text", "bare", None, None, None, None, {}), ("1", None, "y", None, None, None, None, {"body": '"x"'}),
+    ]
+    assert got[1]["extras"] == {"message_text": '"other"', "edited": "true", "sender": '["a", "b"]'} and got[1]["sender"] == "a\nb"
+    assert [tuple(b) for b in got[1]["content"]] == [("text", "first"), (None, "y")]
+    assert got[2]["blocks"] == [] and got[2]["extras"] == {"content": "5"}
+
+
 def test_assignment_is_optimal():
     r = random.Random(4)
     for n, m in [(1, 1), (2, 3), (3, 3), (4, 5), (5, 5)]:
