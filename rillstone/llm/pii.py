@@ -54,8 +54,7 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]|\.\
 _AT = re.compile(r" at | AT | ?[(\[{](?:at|AT)[)\]}] ?")
 _DOT = r"(?: ?[(\[{](?:dot|DOT)[)\]}] ?| dot | DOT |\.)"
 _HIDDEN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}[A-Za-z]{{2,10}}(?![\w@-]|{_DOT}\w)")
-_CHUNK = re.compile(r"\d[\d ()./-]{4,}\d|[A-Z]\d+[A-Z]{2}\d{3}")
-_DATE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){2,3}")
+_DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"(?<![\w.,#/+@-])(?<!\w[:=])(?:\+\d{1,3}[ .-]?|00\d{1,3}[ .-])?(?:\(\d{1,5}\)[ .-]?)?\d+(?:[ ./-]{1,2}\d+)*(?![\w@]|[.:]\d)|(?<=[a-z][:=])\+?\(?\d[\d ()./-]{5,}\d(?!\w)")
 _LABEL = re.compile(
     r"(?<![\w-])(?:tax (?:id|number|no\.?)|steuer-?id(?:nummer)?|steuernummer|ssn|social security(?: number| no\.?)?|nir|dni|nie|nif|nino|ni number|national insurance(?: number| no\.?)?|passport(?: number| no\.?)?|reisepass(?:nummer)?|passeport|pasaporte|"
@@ -166,6 +165,12 @@ def _phone_form(value: str) -> str:
         return "00"
     if re.fullmatch(r"\(9{3}\) ?9{3}[ -.]9{4}", digits) or re.fullmatch(r"9{3}([-. ])9{3}\1[9]{4}", digits):
         return "nanp"
+    if re.fullmatch(r"9{3}([. ])9{3}\1[9]{3}", digits):
+        return "triples"
+    if re.fullmatch(r"9{4}-99-99|99\.99\.9{4}", digits):
+        return "date"
+    if not value.startswith("0") and re.fullmatch(r"9{1,3}(?:\.9{1,3}){3}", digits):
+        return "quads"
     if value.startswith("("):
         return "bracket"
     if re.fullmatch(r"0\d(?:[ .]\d\d){4}", value):
@@ -175,19 +180,17 @@ def _phone_form(value: str) -> str:
     return "other"
 
 
-def _lines_with_numbers(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the lines that hold more than dates and small numbers."""
-    done = -1
-    for m in _CHUNK.finditer(text):
-        if m.start() < done or _DATE.fullmatch(m.group().strip(" ()./-")):
-            continue
+def _lines_with_digits(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the lines with a digit, which every number form holds."""
+    done = 0
+    while m := _DIGIT.search(text, done):
         done = text.find("\n", m.end())
         done = len(text) if done < 0 else done
         yield text.rfind("\n", 0, m.start()) + 1, done
 
 
 def _numbers(text: str, out: list[Candidate]) -> None:
-    for low, high in _lines_with_numbers(text):
+    for low, high in _lines_with_digits(text):
         for m in _DIGITS.finditer(text, low, high):
             value = m.group()
             n = sum(ch.isdigit() for ch in value)

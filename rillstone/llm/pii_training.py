@@ -43,6 +43,7 @@ _WITHOUT = [
     "Topic Registry and Storage Review are separate chests.", "Monday Planning and Cold Storage moved.", "Friday and April are the quiet slots.", "Step {n} of Lane {n} is still on the road map.", "checksum {h} matches", "see src/{w}/{w}.py#L{n}",
     "meet at noon dot matrix style", "ratio 0.{n} at {n}%", "look at {w}.py or at {w}.md", "serial {N}-{n} of {w}", "ssh admin@db-{n}.internal:22", "order {n} Main drive bays", "ticket {n} {n} {n}", "version 1.{n}.{n}", "Rosa is the colour of the {w}",
     "I looked at {w} dot {w}", "read {n} close calls", "held {n} court dates", "- {n} rows on the road", "docker pull registry.example/{w}:{n}", "the id card reader is slow", "passport renewal took {n} days", "date: 2026-0{d}-1{d}",
+    "host 192.168.{o}.{o} is down", "ping 10.{o}.{o}.{o} and 172.16.{o}.{o}", "From 2026-0{d}-1{d} to 2026-0{d}-2{d}", "am 1{d}.0{d}.2026 fertig", "Das lief nie {n} Mal durch.", "nie 202{d} wieder", "a tin {n} wide", "offset {o}.{o}.{o} of {w}", "{w} took {n} {n} {n} ms",
 ]
 
 
@@ -88,7 +89,8 @@ class Maker:
         area = r.choice(["212", "415", "617", "206", "312", "503"])
         return r.choice([
             f"+1-{area}-555-{d(4)}", f"+1 {area} 555 {d(4)}", f"({area}) 555-{d(4)}", f"{area}-555-{d(4)}", f"{area}.555.{d(4)}", f"+44 20 7946 {d(4)}", f"020 7946 {d(4)}", f"+44 (0)1632 960 {d(3)}", f"01632 960{d(3)}",
-            f"+49 30 23125 {d(3)}", f"030/23125-{d(3)}", f"0049 30 23125{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"01 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+61 2 5550 {d(4)}", f"(02) 5550 {d(4)}", f"+34 91 {d(3)} {d(4)}",
+            f"+49 30 23125 {d(3)}", f"030/23125-{d(3)}", f"0049 30 23125{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"01 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+61 2 5550 {d(4)}", f"(02) 5550 {d(4)}", f"+34 91 {d(3)} {d(4)}", f"6{d(2)}.{d(3)}.{d(3)}", f"6{d(2)} {d(3)} {d(3)}",
+            f"0{d(1)}.{d(3)}.{d(2)}.{d(2)}",
         ])
 
     def LI(self) -> tuple[str, str]:
@@ -97,7 +99,7 @@ class Maker:
         return r.choice([
             ("tax ID", f"{d(3)}-{d(3)}-{d(3)}"), ("SSN", f"9{d(2)}-{d(2)}-{d(4)}"), ("social security number:", f"9{d(2)} {d(2)} {d(4)}"), ("NI number", f"QQ {d(2)} {d(2)} {d(2)} C"), ("NINO", f"QQ{d(6)}A"),
             ("Steuer-ID", f"{d(2)} {d(3)} {d(3)} {d(3)}"), ("passport", f"ZZ{d(7)}"), ("passport no.", f"X{d(7)}K"), ("id card", f"L{d(6)}TX"), ("Personalausweis", f"L{d(2)}TX{d(4)}"), ("DNI", f"00{d(6)}M"), ("DNI", f"00{d(6)}-{r.choice('AGRT')}"),
-            ("NIR", f"2 {d(2)} 13 99 {d(3)} {d(3)} {d(2)}"), ("Tax number:", f"{d(10)}"),
+            ("NIR", f"2 {d(2)} 13 99 {d(3)} {d(3)} {d(2)}"), ("Tax number:", f"{d(10)}"), ("tax number", d(5)), ("Personalausweis", f"L{d(2)}X{d(2)}T{d(2)}"), ("passport", f"C{d(2)}X{d(2)}T{d(2)}"), ("NIE", f"X{d(7)}R"), ("TIN", d(9)),
         ])
 
     def _town(self, code_first: bool) -> str:
@@ -128,7 +130,7 @@ class Maker:
 
     def fill(self, text: str) -> str:
         r = self.r
-        for slot, make in (("{w}", self.word), ("{n}", lambda: str(r.randint(2, 9999))), ("{N}", lambda: str(r.randint(10**7, 10**10))), ("{d}", lambda: str(r.randint(1, 9))), ("{h}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 16]))))):
+        for slot, make in (("{w}", self.word), ("{n}", lambda: str(r.randint(2, 9999))), ("{N}", lambda: str(r.randint(10**7, 10**10))), ("{d}", lambda: str(r.randint(1, 9))), ("{o}", lambda: str(r.randint(1, 255))), ("{W}", lambda: self.word().title()), ("{h}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 16]))))):
             while slot in text:
                 text = text.replace(slot, make(), 1)
         return text

@@ -63,3 +63,14 @@ def test_columns(spark):
     assert pii.redact_personal(df).filter("text = 'Ask [PERSON]' AND kind = 'a'").count() == 2
     assert pii.redaction_report(df, "doc_id", "kind").count() == 1
     assert pii.find_personal(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Personalausweis L01X00T47", [("id_number", "L01X00T47")]), ("passport C01X00T47", [("id_number", "C01X00T47")]), ("tax number 12345", [("id_number", "12345")]), ("call 612.345.678", [("phone", "612.345.678")]),
+        ("no digit here\nnor here\ntax number 12345\n", [("id_number", "12345")]), ("host 192.168.100.200 is down", []), ("date: 2026-03-24", []), ("Das lief nie 2025 Mal durch.", []),
+    ],
+)
+def test_every_line_with_digits_is_looked_at(text, want):
+    assert [(k, text[s:e]) for s, e, k in pii.find(text)] == want
