@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -49,6 +50,12 @@ _NAME = rf"(?:{_CAP})(?:-(?:{_CAP}))*"
 _INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
 _RUN = re.compile(rf"(?<![\w@.+/'-])(?:{_INITIAL}|{_NAME})(?:,? (?:{_INITIAL}|{_NAME}|(?:van|von|de|del|della|der|den|da|di|du|bin|al|ibn|ter|ten|zu)(?= )))*(?![\w@])")
 _PART = re.compile(r"[^\s,]+")
+_TITLED = re.compile(
+    r"(?<![\w-])(?:(?:dr|mr|mrs|ms|prof)\.? |(?:herr|herrn|frau|mme|madame|monsieur|sra|sr|señora|señor)\.? |"
+    r"(?:author|committer|signed-off-by|co-authored-by|reviewed-by|tested-by|reviewer|assignee|owner|contact|name|attention|attn|cc|from|firmado|firma)[\"'*]{0,3} ?:[\"'* ]{0,4})(?=[^\W\d_])",
+    re.I,
+)
+_ANY_NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?(?![\w@]|[./+-]\w)")
 _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'-]*$")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]|\.\w)")
 _AT = re.compile(r" at | AT | ?[(\[{](?:at|AT)[)\]}] ?")
@@ -118,7 +125,7 @@ def _name_class(token: str) -> str:
     return "n" if parts[0] in PLAIN else "c"
 
 
-_STRONG = frozenset("gf")
+_NAMELIKE = frozenset("gfc")
 
 
 def _persons(text: str, out: list[Candidate]) -> None:
@@ -126,26 +133,24 @@ def _persons(text: str, out: list[Candidate]) -> None:
         raw = run.group()
         if " " not in raw:
             c = _name_class(raw)
-            if c not in _STRONG:
+            if c not in _NAMELIKE:
                 continue
             s, e = run.span()
             out.append((s, e, "person", (f"name:{c}", f"up:{raw.isupper()}", *_context(text, s, e, "person"))))
             continue
         tokens = [(m.start(), m.end(), m.group()) for m in _PART.finditer(raw)]
         classes = [_name_class(t) for _, _, t in tokens]
-        if not _STRONG.intersection(classes):
+        if not _NAMELIKE.intersection(classes):
             continue
         base = run.start()
         for i in range(len(tokens)):
-            if classes[i] in "np":
+            if classes[i] == "p":
                 continue
             for j in range(i, min(len(tokens), i + 5)):
-                if classes[j] in "ni" and j > i and classes[j] == "n":
-                    break
                 if classes[j] == "p" or (classes[j] == "i" and j == i):
                     continue
                 shape = "".join(classes[i : j + 1])
-                if not _STRONG.intersection(shape):
+                if not _NAMELIKE.intersection(shape):
                     continue
                 s, e = base + tokens[i][0], base + tokens[j][1]
                 inner = raw[tokens[i][0] : tokens[j][1]]
@@ -154,7 +159,24 @@ def _persons(text: str, out: list[Candidate]) -> None:
                     shape = "".join(c + ("," if raw[tokens[k][1] : tokens[k][1] + 1] == "," and k < j else "") for k, c in zip(range(i, j + 1), shape))
                 left = classes[i - 1] if i and raw[tokens[i - 1][1] : tokens[i][0]] == " " else "|" if i else "^"
                 right = classes[j + 1] if j + 1 < len(tokens) and raw[tokens[j][1] : tokens[j + 1][0]] == " " else "|" if j + 1 < len(tokens) else "$"
-                out.append((s, e, "person", (f"name:{shape}", f"up:{inner.isupper()}", f"cut<{left}", f"cut>{right}", *_context(text, s, e, "person"))))
+                plain = [f"plain:{tokens[k][2].lower()}" for k in range(i, j + 1) if classes[k] == "n"]
+                out.append((s, e, "person", (f"name:{shape}", f"up:{inner.isupper()}", f"cut<{left}", f"cut>{right}", *plain, *_context(text, s, e, "person"))))
+
+
+def _titled_persons(text: str, out: list[Candidate]) -> None:
+    """Names after titles and labels that are not written in capitals."""
+    for label in _TITLED.finditer(text):
+        s = at = label.end()
+        shape = ""
+        while len(shape) < 4 and (m := _ANY_NAME.match(text, at)):
+            c = _name_class(m.group())
+            shape += c
+            e = m.end() - (c != "i" and m.group().endswith("."))
+            if c not in "ip" and any(w[0].islower() and w not in PARTICLES for w in text[s:e].split()):
+                out.append((s, e, "person", (f"titled:{shape}", f"titled:{len(shape)}", *_context(text, s, e, "person"))))
+            if m.end() > e or text[e : e + 1] != " ":
+                break
+            at = e + 1
 
 
 def _phone_form(value: str) -> str:
@@ -272,6 +294,7 @@ def candidates(text: str) -> list[Candidate]:
     """All candidate segments with their whole-span features, by start."""
     out: list[Candidate] = []
     _persons(text, out)
+    _titled_persons(text, out)
     _emails(text, out)
     _numbers(text, out)
     _addresses(text, out)
@@ -307,15 +330,23 @@ def decode(text: str, group: list[Candidate], weights: dict[str, float]) -> tupl
     if n == 1:
         return ([group[0]], own[0]) if own[0] > 0 else ([], 0.0)
     order = sorted(range(n), key=lambda k: (group[k][1], group[k][0]))
+    ends = [group[k][1] for k in order]
     best: dict[int, tuple[float, int]] = {}
-    for i, k in enumerate(order):
+    # the best so far of each kind, by position in the order: further apart than three characters, only kinds matter
+    tops: list[dict[str, int]] = [{}]
+    for k in order:
+        start, kind = group[k][0], group[k][2]
+        near, far = bisect_right(ends, start), bisect_right(ends, start - 4)
         top, link = own[k], -1
-        for j in order[:i]:
-            if group[j][1] <= group[k][0]:
-                score = best[j][0] + own[k] + get(transition(group[j], group[k], text), 0.0)
-                if score > top:
-                    top, link = score, j
+        for j in (*tops[far].values(), *order[far:near]):
+            score = best[j][0] + own[k] + get(transition(group[j], group[k], text), 0.0)
+            if score > top:
+                top, link = score, j
         best[k] = (top, link)
+        last = tops[-1]
+        if kind not in last or top > best[last[kind]][0]:
+            last = last | {kind: k}
+        tops.append(last)
     k = max(best, key=lambda x: best[x][0])
     if best[k][0] <= 0:
         return [], 0.0

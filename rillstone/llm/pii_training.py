@@ -36,6 +36,8 @@ _WITH = [
     '"assignee": "{P}", "home": "{A}"', "Frau {P} wohnt jetzt in der {G}.", "Herr {P} wohnt {G}", "Im Formular steht noch {L} {I}.", "Rückfragen bitte an {P}, {E} oder {T}.", "Gruß, {P}", "Mme {P} a relu la note.",
     "La fiche contient encore {L} {I}.", "Rappeler {P} au {T}.", "Le colis part au {R}.", "Écrire à {E} avant de relancer", "Firmado: {P}", "Llamar a {P} al {T}.", "En la ficha aparece {L} {I}.", "La dirección nueva es {C}.",
     "Preguntar a {P} ({E}) antes de cerrar.", "Merci de prévenir {P} avant de relancer, {E}.", "Neuer Ansprechpartner: {P}, {G}", "call {T} and ask for {P}", "{P} lives at {A}.", "write to {E} please", "{E}", "{T}", "{P} said so.",
+    "Signed-off-by: {P} <{E}>", "Reviewed-by: {P}", "Dr. {P} asked for the {w}.", "Herr {P} hat {w} gelesen.", "Signed-off-by: {Q} <{E}>", "reviewed-by: {Q}", "author: {Q}", "reviewer: {Q}", "owner: {Q}", "dr. {Q} asked for the log.",
+    "ms {Q} called.", "mr {Q} said so", "frau {Q} wohnt jetzt in der {G}.", "herr {Q} hat {w} gelesen.", "mme {Q} a relu la note.", '"assignee": "{Q}", "home": "{A}"', "contact: {Q}, {T}",
 ]
 _WITHOUT = [
     "git clone git@forge.example:{w}/{w}.git", "ping worker@{w} or @{w} in the queue", "root@build-{n}:~$ tail src/{w}/{w}.py", "uses @{w}/{w}@2.{n}.0 and the @cached decorator", "port {n}, shard {n}, offset {N}", "job {N} finished in {n} ms",
@@ -44,6 +46,8 @@ _WITHOUT = [
     "meet at noon dot matrix style", "ratio 0.{n} at {n}%", "look at {w}.py or at {w}.md", "serial {N}-{n} of {w}", "ssh admin@db-{n}.internal:22", "order {n} Main drive bays", "ticket {n} {n} {n}", "version 1.{n}.{n}", "Rosa is the colour of the {w}",
     "I looked at {w} dot {w}", "read {n} close calls", "held {n} court dates", "- {n} rows on the road", "docker pull registry.example/{w}:{n}", "the id card reader is slow", "passport renewal took {n} days", "date: 2026-0{d}-1{d}",
     "host 192.168.{o}.{o} is down", "ping 10.{o}.{o}.{o} and 172.16.{o}.{o}", "From 2026-0{d}-1{d} to 2026-0{d}-2{d}", "am 1{d}.0{d}.2026 fertig", "Das lief nie {n} Mal durch.", "nie 202{d} wieder", "a tin {n} wide", "offset {o}.{o}.{o} of {w}", "{w} took {n} {n} {n} ms",
+    "{W} {W} is a shared chest.", "The {W} {W} chest moved to {W}.", "{W} stopped at {n}.", "See {W} and {W} for {w}.", "{W}: {w} and {w}", "# {W} {W}", "Die {W} von {W} ist im {W}.", "owner: the {w} team", "author: unknown", "name: {w}", "cc: {w}",
+    "{W} {w} the {w} of {w}, and {w} keeps it.", "## {W} of {W} {W}", "- {W} {w}: {n}", "Next: {W} {w} {w}", "{W} it, then {w} {W}.", "contact: {w}-{n}", "from: {w}/{w}.md", "owner: {w}_{w}", "name: {w} {w} {n}", "Ask {w} about {W} {W}",
 ]
 
 
@@ -63,6 +67,9 @@ class Maker:
     def P(self) -> str:
         r = self.r
         g, f, x = r.choice(sorted(pii.GIVEN)).title(), self.family(), r.random()
+        # names that no list holds, or that are plain words, too
+        g = r.choice(["April", "May", "June", "August"]) if r.random() < 0.04 else g
+        g, f = self.word().title() if r.random() < 0.2 else g, self.word().title() if r.random() < 0.15 else f
         i = r.choice("ABCDEFGHJKLMNOPRSTVWYZ")
         name = (
             f"{g} {f}" if x < 0.4 else f"{f}, {g}" if x < 0.52 else f"{i}. {f}" if x < 0.62 else f"{g} {i}. {f}" if x < 0.7
@@ -70,6 +77,12 @@ class Maker:
         )
         return name.upper() if r.random() < 0.1 and " van " not in name and " de" not in name else name
 
+    def Q(self) -> str:
+        """A name in lower case."""
+        r = self.r
+        g = r.choice(sorted(pii.GIVEN)) if r.random() < 0.5 else self.word()
+        return f"{g} {self.family().lower() if r.random() < 0.5 else self.word()}" if r.random() < 0.85 else g
+
     def E(self) -> str:
         r = self.r
         g, f = r.choice(sorted(pii.GIVEN)), self.family().lower()
@@ -139,7 +152,7 @@ class Maker:
         r = self.r
         text, spans = "", []
         pieces = [r.choice(_OPENERS), r.choice(_WITH) if r.random() < 0.8 else r.choice(_WITHOUT), r.choice(_OPENERS + _WITHOUT) if r.random() < 0.7 else r.choice(_WITH)]
-        kinds = {"P": "person", "E": "email", "T": "phone", "I": "id_number", "A": "address", "G": "address", "R": "address", "C": "address"}
+        kinds = {"P": "person", "Q": "person", "E": "email", "T": "phone", "I": "id_number", "A": "address", "G": "address", "R": "address", "C": "address"}
         for piece in pieces:
             label, number = self.LI()
             body = self.fill(piece).replace("{{", "\x01").replace("}}", "\x02")

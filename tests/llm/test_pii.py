@@ -74,3 +74,14 @@ def test_columns(spark):
 )
 def test_every_line_with_digits_is_looked_at(text, want):
     assert [(k, text[s:e]) for s, e, k in pii.find(text)] == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Signed-off-by: Siobhan Murphy <a@b.example>", ["Siobhan Murphy"]), ("Frau Yusuf Demir wohnt", ["Yusuf Demir"]), ("Dr. Kim Nguyen asked", ["Kim Nguyen"]), ("Ask Siobhan Murphy before you rerun it.", ["Siobhan Murphy"]),
+        ("dr. kim nguyen asked for the log.", ["kim nguyen"]), ("Signed-off-by: siobhan murphy", ["siobhan murphy"]), ("frau yusuf demir wohnt jetzt", ["yusuf demir"]), ("Wagator Joorva is a shared chest.", []), ("owner: the wagator team", []),
+    ],
+)
+def test_names_outside_the_lists(text, want):
+    assert [text[s:e] for s, e, k in pii.find(text) if k == "person"] == want
