@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rillstone.llm.tokens import TOKENIZER_DIR, token_counts
 from rillstone.runtime import materialise
@@ -74,28 +75,39 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, doc_id: str = "doc_id
     """``capacity_name, container, doc_id, piece, start_token, end_token, n_tokens``: every text in containers of each capacity.
 
     Only texts above a capacity are split, at multiples of the capacity. Items are dealt by hash into blocks of about ``block_items``, each
-    packed by one task. Null texts come out with a null container and count, empty ones as items of length 0; capacities that are null or
+    packed by one task; there are as many blocks as the pieces of a capacity need. Containers of a capacity are numbered block by block, from
+    the numbers that the blocks filled. Null texts come out with a null container and count, empty ones as items of length 0; capacities that are null or
     below 1 are left out; repeated rows are items of their own.
     """
     counted = materialise(token_counts(docs.withColumnRenamed(doc_id, "__id"), ["__id"], text, folder).withColumnRenamed("__id", "doc_id"), "counted")
     sizes = capacities.filter("capacity_tokens >= 1").select("capacity_name", "capacity_tokens").distinct()
-    blocks = max(1, -(-counted.count() // block_items))
     each = _with_sizes(counted, sizes)
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens"))).cast("int")))
     items = each.filter("n_tokens IS NOT NULL").select("capacity_name", "capacity_tokens", "doc_id", "n_tokens", piece.alias("piece"))
     start = F.col("piece") * F.col("capacity_tokens")
     items = items.withColumn("start_token", start).withColumn("end_token", F.least(start + F.col("capacity_tokens"), "n_tokens")).withColumn("n_tokens", F.col("end_token") - F.col("start_token"))
-    items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "capacity_name"), F.lit(blocks)))
+    # one row per capacity; names may be null, and one name may have several capacities
+    pieces = each.groupBy("capacity_name", "capacity_tokens").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))).alias("n")).filter("n IS NOT NULL").collect()
+    blocks = F.when(F.lit(False), F.lit(1))
+    for r in pieces:
+        mine = F.col("capacity_name").eqNullSafe(F.lit(r["capacity_name"])) & (F.col("capacity_tokens") == r["capacity_tokens"])
+        blocks = blocks.when(mine, F.lit(-(-int(r["n"]) // block_items)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "capacity_name"), blocks))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "piece"], kind="stable")
         numbers = pack(group["n_tokens"].tolist(), int(group["capacity_tokens"].iloc[0]))
-        return group.assign(container=pd.Series(numbers, index=group.index) + int(group["block"].iloc[0]) * 4 * block_items)[names]
+        return group.assign(container=pd.Series(numbers, index=group.index))[["block", "capacity_tokens", *names]]
 
     names = ["capacity_name", "container", "doc_id", "piece", "start_token", "end_token", "n_tokens"]
     kind = dict(counted.dtypes)["doc_id"]
     schema = f"capacity_name string, container bigint, doc_id {kind}, piece int, start_token bigint, end_token bigint, n_tokens bigint"
-    packed = items.groupBy("capacity_name", "block").applyInPandas(fill, schema)
+    filled = materialise(items.groupBy("capacity_name", "capacity_tokens", "block").applyInPandas(fill, f"block bigint, capacity_tokens bigint, {schema}"), "filled")
+    used = filled.groupBy("capacity_name", "capacity_tokens", "block").agg((F.max("container") + 1).alias("n"))
+    before = W.partitionBy("capacity_name").orderBy("capacity_tokens", "block").rowsBetween(W.unboundedPreceding, -1)
+    used = used.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))  # one row per block
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"u.{c}")) for c in ("capacity_name", "capacity_tokens", "block")]
+    packed = filled.alias("f").join(used.alias("u"), same).select("f.capacity_name", (F.col("f.container") + F.col("u.first")).alias("container"), *[f"f.{n}" for n in names[2:]])
     none = each.filter("n_tokens IS NULL").select("capacity_name", F.lit(None).cast("bigint").alias("container"), "doc_id", F.lit(0).alias("piece"), *[F.lit(None).cast("bigint").alias(n) for n in names[4:]])
     return packed.unionByName(none)
 

@@ -44,3 +44,16 @@ def test_documents(spark):
     assert P.pack_documents(docs.limit(0), sizes).count() == 0 and P.pack_documents(docs, sizes.limit(0)).count() == 0
     report = {r["capacity_name"]: r for r in P.fill_report(P.pack_documents(docs, sizes), sizes).collect()}
     assert report["b"]["n_containers"] == 1 and 0 < report["b"]["fill"] <= 1
+
+
+def test_blocks_do_not_share_containers(spark):
+    """Texts of many pieces each, in several blocks: no container above its capacity, blocks near their size."""
+    docs = spark.createDataFrame([(i, "word " * 400) for i in range(12)], "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("a", 7), ("b", 50), ("b", 60)], "capacity_name string, capacity_tokens bigint")
+    out = P.pack_documents(docs, sizes, block_items=4).toPandas()
+    for name, cap in (("a", 7), ("b", 60)):
+        mine = out[out["capacity_name"] == name]
+        fill = mine.groupby("container")["n_tokens"].sum()
+        assert fill.max() <= cap and sorted(fill.index) == list(range(len(fill)))
+    pieces = out[out["capacity_name"] == "a"]
+    assert pieces["n_tokens"].sum() == 12 * len(encoding().encode_ordinary("word " * 400)) and not pieces.duplicated(["doc_id", "piece"]).any()
