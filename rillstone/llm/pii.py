@@ -240,10 +240,11 @@ def _numbers(text: str, out: list[Candidate]) -> None:
 def _places(text: str) -> Iterator[tuple[str, int, int]]:
     """Street addresses without their towns, by form."""
     low = text.lower()
-    if len(low) == len(text):
-        for m in _HOUSE.finditer(low):
-            door = _DOOR.search(low, max(0, m.start() - 24), m.start())
-            yield "house", door.start() if door else m.start(), m.end()
+    if len(low) != len(text):  # places must stay the same
+        low = "".join(x if len(x) == 1 else ch for ch, x in ((ch, ch.lower()) for ch in text))
+    for m in _HOUSE.finditer(low):
+        door = _DOOR.search(low, max(0, m.start() - 24), m.start())
+        yield "house", door.start() if door else m.start(), m.end()
     for m in _NUMBER_AFTER.finditer(text):
         at = m.start() - 1
         if text.endswith(_STRASSE, max(0, at - 12), at) and (stem := _STEM.search(text, max(0, at - 40), at)):

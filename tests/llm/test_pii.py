@@ -85,3 +85,8 @@ def test_every_line_with_digits_is_looked_at(text, want):
 )
 def test_names_outside_the_lists(text, want):
     assert [text[s:e] for s, e, k in pii.find(text) if k == "person"] == want
+
+
+def test_addresses_beside_letters_that_grow_in_lower_case():
+    text = "\u0130zmir\nMy new flat is at Flat 5, 10 Quarrymere Road, Ashby so it moves."
+    assert ("address", "Flat 5, 10 Quarrymere Road, Ashby") in [(k, text[s:e]) for s, e, k in pii.find(text)]
