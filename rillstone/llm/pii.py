@@ -1,8 +1,9 @@
 """Personal information inside free text, by a semi-Markov conditional random field (problem 10).
 
-Segments, not tokens, are scored: a candidate segment gets the sum of the weights of its whole-span features (form, lexicon, ending, words
-around it) and, between neighbouring entities, of a transition. Entities are bounded: their boundaries come from generous forms per
-kind that propose every reading of a place, overlapping ones too. Dynamic programming over the candidates of a window chooses the boundaries
+Segments, not tokens, are scored: a candidate segment gets the sum of the weights of its whole-span features (form, how its words are mostly
+written, their endings, words around it) and, between close neighbours, of a transition. Entities are bounded: a name has at most ``MAX_NAME`` words
+and a number 15 digits; their boundaries come from generous forms per kind that propose every reading of a place, overlapping ones too. No list of
+names, streets or towns decides what is a candidate or a finding. Dynamic programming over the candidates of a window chooses the boundaries
 and kinds together; text outside entities scores 0. The weights are trained here, on sentences made by ``pii_training``.
 """
 
@@ -19,161 +20,250 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.llm import wordforms
+from rillstone.llm.tokens import TOKENIZER_DIR
+from rillstone.llm.wordforms import form_class
+
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 MODEL = Path(__file__).with_name("pii_model.json")
-#: Candidates further apart than this, or on different lines, are decided apart.
-WINDOW_GAP = 48
-
-# Given names in wide use.
-GIVEN = frozenset(
-    "adam aisha alan albert alejandro alice amadou amelia amina amir ana andrea andreas anna anouk antonio arthur astrid aya beatriz ben bruno camille carla carlos carmen chen chloe "
-    "clara claire daniel dario david diego dmitri elena elif elin elsa emil emily emma emre erik esra eva farah fatima felix fiona francesca freya gabriel george gideon giulia greta "
-    "grace hana hannah hans hassan helena henrik hugo ibrahim ida igor ilse ines ingrid irene isabel ivan ivo jack jakob james jan jana jasmin jean johan john jonas jose juan julia "
-    "karim kaspar katarina kwame lars laura lea leander leila lena leo liam lina lisa louis lucas lucia lucie luis magnus maria marco marta mateo max maya mehmet mia michael milo mira "
-    "mohamed nadia nadine nina noah noemi nora olga oliver omar orla oskar paul pavel pedro petra priya quentin rafael rania rosa ruth salma sam samir sara signe sofia stellan tamsin "
-    "thomas tobias ulrike viggo wanda yara yuki zeno zoe zuzana".split()
-)
-# Endings of family names.
-ENDINGS = ("owitz", "owicz", "elli", "ello", "quist", "gaard", "brandt", "mond", "wick", "jara", "duro", "sson", "ssen", "stein", "berg", "mann", "ski", "ska", "ovic", "enko", "escu", "ez")
-PARTICLES = frozenset("van von de del della der den da di du la le bin al ibn ter ten zu zum".split())
-# Capitalised words of headings and plans that are no names.
-PLAIN = frozenset(
-    "after the nothing next open my let please done handoff it don if we think session goal human assistant what was next actions lane shard bucket step build topic registry storage review "
-    "planning cold monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december velvet harbour thanks best hi "
-    "ask according invoice delivery note emergency contact author signed sent pasted left ship ticket dr ms mr mrs herr frau mme sra flat street avenue road lane drive close court "
-    "der die das für gestern bitte im gruß rückfragen wir il la le les un une à même el los en según mañana antes firmado llamar preguntar rappeler signé don't topic friday road map so we you he she they write call send ship see meet versand lieferung rechnung kontakt adresse signature firma contacto dirección adresse contact envoi facture".split()
-)
-
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+|[A-ZÀ-ÖØ-Þ]{2,}"
-_NAME = rf"(?:{_CAP})(?:-(?:{_CAP}))*"
-_INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
-_RUN = re.compile(rf"(?<![\w@.+/'-])(?:{_INITIAL}|{_NAME})(?:,? (?:{_INITIAL}|{_NAME}|(?:van|von|de|del|della|der|den|da|di|du|bin|al|ibn|ter|ten|zu)(?= )))*(?![\w@])")
+#: The most words of a name, which bounds the segments of the field.
+MAX_NAME = 8
+#: Entities further apart than this, or on different lines, do not influence each other.
+NEAR = 6
+
+_U = "".join(ch for ch in map(chr, range(0x41, 0x530)) if ch.isupper())
+_L = "".join(ch for ch in map(chr, range(0x61, 0x588)) if ch.islower())
+_CAP = rf"[{_U}](?:['’][{_U}])?[{_L}]+(?:['’][{_L}]{{2,}})?(?:[{_U}][{_L}]+)*|[{_U}]['’]?[{_U}]+"
+_NAME = rf"(?:{_CAP})(?:-(?:{_CAP}|[{_L}]+))*"
+_INITIAL = rf"(?:[{_U}]\.)+(?:-[{_U}]\.)?|[{_U}](?= [{_U}])"
+# Small words inside names.
+PARTICLES = frozenset("van von vom de del della dello der den dei degli da das do dos du di la le el al bin binti ibn ben bar ter ten te zu zum zur af av y e und".split())
+_PARTICLE = "(?:" + "|".join(sorted(PARTICLES, key=lambda w: (-len(w), w))) + r")(?= )"
+_RUN = re.compile(rf"(?<![\w@.+/-])(?<!\w\w['’])(?:{_NAME}|{_INITIAL})(?:(?:,? | ?, )(?:{_NAME}|{_INITIAL}|{_PARTICLE}))*(?![\w@]|['’](?:\w\w|[dtDT]\b)|-\w)")
 _PART = re.compile(r"[^\s,]+")
-_TITLED = re.compile(
-    r"(?<![\w-])(?:(?:dr|mr|mrs|ms|prof)\.? |(?:herr|herrn|frau|mme|madame|monsieur|sra|sr|señora|señor)\.? |"
-    r"(?:author|committer|signed-off-by|co-authored-by|reviewed-by|tested-by|reviewer|assignee|owner|contact|name|attention|attn|cc|from|firmado|firma)[\"'*]{0,3} ?:[\"'* ]{0,4})(?=[^\W\d_])",
-    re.I,
+# Titles and labels that stand before names in whatever case.
+TITLES = "dr prof mr mrs ms miss mx sir dame herr herrn frau fr mme mlle madame monsieur m sr sra srta señor señora don doña sig signora signor dott mevr dhr meneer mevrouw pan pani".split()
+NAME_LABELS = (
+    "author|authors|committer|signed-off-by|co-authored-by|reviewed-by|tested-by|acked-by|reported-by|reviewer|assignee|assigned to|owner|contact|contact person|name|full name|first name|last name|surname|attention|attn|cc|bcc|from|to|sender|recipient|approved by|prepared by|signed|signature|patient|employee|"
+    "customer|firmado|firma|nombre|apellidos|autor|autora|nom|prénom|auteur|name des kunden|ansprechpartner|ansprechpartnerin|kontakt|unterschrift|nome|naam|imię i nazwisko"
 )
+#: Titles that names do not begin with; the others are names or initials, too.
+_NO_START = frozenset(TITLES) - {"don", "dame", "m", "pan", "sig", "fr"}
+_TITLED = re.compile(rf"(?<![\w-])(?:(?:{'|'.join(TITLES)})\.? |(?:{NAME_LABELS})[\"'*]{{0,3}} ?[:=][\"'* ]{{0,4}})(?=[^\W\d_])", re.I)
 _ANY_NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?(?![\w@]|[./+-]\w)")
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'-]*$")
+_LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+'-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]|\.\w)")
-_AT = re.compile(r" at | AT | ?[(\[{](?:at|AT)[)\]}] ?")
-_DOT = r"(?: ?[(\[{](?:dot|DOT)[)\]}] ?| dot | DOT |\.)"
+_AT = re.compile(r" at | AT | ?[(\[{<](?:at|AT)[)\]}>] ?")
+_DOT = r"(?: ?[(\[{<](?:dot|DOT)[)\]}>] ?| dot | DOT |\.)"
 _HIDDEN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}[A-Za-z]{{2,10}}(?![\w@-]|{_DOT}\w)")
 _DIGIT = re.compile(r"\d")
-_DIGITS = re.compile(r"(?<![\w.,#/+@-])(?<!\w[:=])(?:\+\d{1,3}[ .-]?|00\d{1,3}[ .-])?(?:\(\d{1,5}\)[ .-]?)?\d+(?:[ ./-]{1,2}\d+)*(?![\w@]|[.:]\d)|(?<=[a-z][:=])\+?\(?\d[\d ()./-]{5,}\d(?!\w)")
-_LABEL = re.compile(
-    r"(?<![\w-])(?:tax (?:id|number|no\.?)|steuer-?id(?:nummer)?|steuernummer|ssn|social security(?: number| no\.?)?|nir|dni|nie|nif|nino|ni number|national insurance(?: number| no\.?)?|passport(?: number| no\.?)?|reisepass(?:nummer)?|passeport|pasaporte|"
-    r"id card(?: number| no\.?)?|identity card(?: number| no\.?)?|personalausweis(?:nummer)?|ausweis(?:nummer)?|national id|carte d'identité|tin|id number)(?: is| ist| es| est)?[\s:#=.]*(?:\bno\.? ?)?(?=[A-Z0-9])",
-    re.I,
+_DIGITS = re.compile(r"(?<![\w.#/+@-])(?<!\d,)(?<!\w[:=])(?:\+\d{1,3}[ .-]?|00\d{1,3}[ .-])?(?:\(\d{1,5}\)[ .-]?)?\d+(?:(?:[ ./-]| ?[/-] ?)\d+)*(?![\w@]|[.:]\d)|(?<=[a-z][:=])\+?\(?\d[\d ()./-]{5,}\d(?!\w)")
+# What identity numbers are called.
+ID_LABELS = (
+    r"tax (?:id|identification|file|payer)(?: number| no\.?)?|taxpayer (?:id|number)|tax (?:number|no\.?)|tin|tfn|itin|ein|ssn|social security(?: number| no\.?)?|social insurance(?: number| no\.?)?|sin|nino|ni (?:number|no\.?)|national insurance(?: number| no\.?)?|nhs (?:number|no\.?)|"
+    r"passport(?: number| no\.?)?|identity (?:card|number)(?: number| no\.?)?|id card(?: number| no\.?)?|national id(?:entity)?(?: number| card)?|id (?:number|no\.?)|driver'?s licen[cs]e(?: number| no\.?)?|aadhaar(?: number)?|pan card|"
+    r"steuer-?id(?:nummer)?|steueridentifikationsnummer|steuernummer|sozialversicherungsnummer|reisepass(?:nummer)?|passnummer|personalausweis(?:nummer)?|ausweis(?:nummer)?|ahv(?:-?nummer)?|"
+    r"nir|numéro de sécurité sociale|sécurité sociale|numéro fiscal|passeport|carte d'identité|cni|niss|dni|nie|nif|cif|pasaporte|número de identidad|seguridad social|cédula|curp|rfc|cuit|cuil|rut|cpf|cnpj|passaporte|bilhete de identidade|cartão de cidadão|nif|"
+    r"codice fiscale|carta d'identità|bsn|burgerservicenummer|passaporto|paspoort(?: ?nummer)?|nip|rg|rijksregisternummer|pesel|dowód osobisty|personnummer|fødselsnummer|cpr(?:-nummer)?|henkilötunnus|rodné číslo|cnp|oib|egn|tc kimlik(?: no)?"
+)
+_LABEL = re.compile(rf"(?<![\w-])(?:{ID_LABELS})(?:,? (?:of|for|von|de|di) (?:[^\s\d]+ ){{1,5}}?(?=(?:is|ist|es|est|è|é|lautet)\b))?(?: ?(?:is|was|ist|war|lautet|es|est|è|é))?[\s:#=.]*(?:\b(?:no|nr|n[º°])\.? ?)?(?=[A-Z0-9])", re.I)
+_VALUE = re.compile(r"[A-Z]{0,6}[ -]?\d[A-Z0-9]*(?:[ /.-][A-Z0-9]*\d[A-Z0-9]*)*(?:[ -]?[A-Z](?![\w]))?")
+_BARE_ID = re.compile(
+    r"(?<![\w.+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d\d \d\d \d\d [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] \d\d (?:0[1-9]|1[0-3]) \d\d \d{3} \d{3} \d\d|\d{3}\.\d{3}\.\d{3}-\d\d|[A-Z]{6}\d\d[A-EHLMPR-T]\d\d[A-Z]\d{3}[A-Z]|756\.\d{4}\.\d{4}\.\d\d|"
+    r"[A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d|\d{6}[-+]\d{4}|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|\d{1,2}\.\d{3}\.\d{3}-[\dK])(?![\w-])"
 )
-_VALUE = re.compile(r"[A-Z]{0,3}[ -]?\d[A-Z0-9]*(?:[ /-][A-Z0-9]*\d[A-Z0-9]*)*(?:[ -]?[A-Z](?![\w]))?")
-_BARE_ID = re.compile(r"(?<![\w.+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d\d \d\d \d\d [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[12] \d\d (?:0[1-9]|1[0-3]) \d\d \d{3} \d{3} \d\d)(?![\w-])")
-_TOWN = r"(?:[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?)"
-_WAY = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|close|court|ct|square|sq|terrace|way|boulevard|blvd|place|row|crescent|gardens|hill|grove|mews|parkway|walk)"
-_HOUSE = re.compile(rf"\d(?<![\w.#/-]\d)\d{{0,4}}[a-z]? (?:[a-z0-9'’à-ÿ-]+ ){{1,3}}?{_WAY}\b(?:(?<=\bave)\.|(?<=\brd)\.|(?<=\bblvd)\.)?")
-_DOOR = re.compile(r"(?<![\w-])(?:flat|apt\.?|apartment|unit|suite|room) ?#?\w+, ?$")
-_NUMBER_AFTER = re.compile(r"\d(?<=[a-zß.] \d)\d{0,3} ?[a-z]?(?!\w)")
-_STRASSE = tuple(x for w in ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer") for x in (w, w.title()))
-_STEM = re.compile(r"(?<![\w-])[A-ZÄÖÜ][\wäöüß-]*(?: |-)?[\wß]+\.?$")
-_CALLE = re.compile(r"(?<![\w-])(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo|Camino) ?(?:de (?:la |los )?|del )?[A-ZÁÉÍÓÚÑ][\w'’-]+(?: [A-ZÁÉÍÓÚÑ][\w'’-]+)?,? \d{1,4}(?:, ?\d{1,2}[ºª°](?: ?[A-Z](?!\w))?)?")
-_RUE = re.compile(r"\d(?<![\w-]\d)\d{0,3}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route) (?:de la |de l'|des |du |de |d')?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?", re.I)
-_TAIL = re.compile(rf",? ?(?P<a>(?:\d{{4,6}} )?{_TOWN})(?P<b>,? \d{{4,6}}(?!\w|[-/. ]\d))?")
-_WORD = re.compile(r"[^\W_]+|[^\w\s]")
+_TOWN = rf"[{_U}][\w'’-]+"
+# Words that name a way.
+_WAY = (
+    r"(?:street|st|avenue|ave|av|road|rd|lane|ln|drive|dr|close|court|ct|square|sq|terrace|ter|way|boulevard|blvd|place|pl|row|crescent|cres|gardens|gdns|hill|grove|mews|parkway|pkwy|walk|highway|hwy|circle|cir|trail|trl|quay|rise|view|vale|"
+    r"green|park|loop|alley|plaza|wharf|caddesi|cad|sokak|sokağı)"
+)
+_HOUSE = re.compile(rf"\d(?<![\w.#/-]\d)\d{{0,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(?:,(?= \D))? (?:[a-z0-9'’à-ÿ-]+\.? ){{1,4}}?{_WAY}\b(?:(?<=\bave)\.|(?<=\bav)\.|(?<=\brd)\.|(?<=\bst)\.(?=,| \D)|(?<=\bdr)\.|(?<=\bln)\.|(?<=\bblvd)\.)?(?: (?:nw|ne|sw|se|north|south|east|west)\b)?(?:,? (?:apt\.?|apartment|suite|ste\.?|unit|flat|floor) ?#?\w+|,? #\d+\w?)?")
+_DOOR = re.compile(r"(?<![\w-])(?:flat|apt\.?|apartment|unit|suite|room) ?#?\w+, ?")
+# Words that end the name of a way.
+_WAY_END = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|hof|markt|steig|chaussee|straat|laan|gracht|kade|plein|dijk|singel|steenweg|gatan|gata|gate|vägen|gade|vej|veien|vei|katu|tie|stien"
+_STRASSE = re.compile(rf"(?:{_WAY_END}) ?(?P<n>\d{{1,4}}(?:[-/]\d{{1,3}})?)(?P<x> ?[a-z])?(?!\w)", re.I)
+_AM = re.compile(rf"(?<![\w-])(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Unter den|Unter der|Zum|Zur|Beim|Hinter der|Vor dem) [{_U}][\w-]+(?: [{_U}][\w-]+)? \d{{1,4}}(?: ?[a-z](?!\w))?(?!\w)")
+# Words that lead the name of a way.
+_LEAD = (
+    r"C/|c/|Calle|Cl\.|Avda\.|Av\.|Avenida|Plaza|Pza\.|Paseo|Camino|Carrer|Ronda|Travesía|Rua|R\.|Praça|Travessa|Alameda|Estrada|Largo|Via|Viale|V\.le|Piazza|P\.za|Corso|C\.so|Vicolo|Strada|Contrada|ul\.|ulica|Ul\.|al\.|aleja|pl\.|Strada|Str\.|Bulevardul|Bd\."
+)
+_CALLE = re.compile(rf"(?<![\w-])(?:{_LEAD}|calle|avenida|plaza|paseo|rua|praça|travessa|largo|via|piazza|viale|corso|[Rr]ue|[Aa]venue|[Cc]hemin) ?(?:(?:de|di|da|do|dos|das|du|des|del|della|dei|d[’']|de la|de los|de las|San|Santa)(?: |(?<=['’])))*\w[\w'’.-]+(?:(?: (?:de|di|da|do|del|della|dei|y|e|la))* [{_U}][\w'’-]+)*,? (?:(?:n\.?|nº|n°|[Nn]o[.:]?|nr\.?) ?)?\d{{1,4}}(?:/?[a-zA-Z](?!\w))?(?:, ?\d{{1,2}}[ºª°](?: ?[A-Z](?!\w)| (?:dcha|izda|izq)\.?)?)?(?:/\d{{1,3}})?")
+_RUE = re.compile(rf"\d(?<![\w-]\d)\d{{0,3}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Cc]ours|[Rr]oute|[Ss]quare|[Pp]assage|[Ss]entier) (?:de la |de l['’]|des |du |de |d['’])?\w[\w'’-]+(?: (?:de |du |des |la )?[{_U}][\w'’-]+)?")
+_BOX = re.compile(r"(?<![\w-])(?:P\.? ?O\.? ?Box|PO Box|Postfach|Apartado|Casella Postale|Boîte postale|BP) \d{1,6}(?!\w)", re.I)
+_CODE = r"(?:\d{4,6}|\d{3}-\d{4}|\d{3} \d{2}|\d{2}-\d{3}|\d{5}-\d{3,4}|\d{4} ?[A-Z]{2}|[A-Z]{1,2}\d[A-Z0-9]? ?\d[A-Z]{2}|[A-Z]\d[A-Z] ?\d[A-Z]\d|[A-Z]{1,2}-\d{4,5})(?![\w-]|[/.]\d)"
+_TAIL = re.compile(rf"(?P<gap>,? )(?:(?P<code>{_CODE})|(?P<state>[A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?![\w-])|[A-Z]{{2}}(?!\w))|(?P<town>{_TOWN}))|(?P<glued>,)(?P<tight>{_TOWN})")
+_TOKEN_BEFORE = re.compile(r"[^\W_]+|[^\w\s]")
 
 Span = tuple[int, int, str]
-Candidate = tuple[int, int, str, tuple[str, ...]]
+#: Start, end, kind and features in groups; equal groups are the same objects, so that their weights are summed once.
+Candidate = tuple[int, int, str, tuple[tuple[str, ...], ...]]
+
+
+def _words_before(text: str, at: int) -> tuple[str, str]:
+    """The last two tokens before a place, nearest first, within its line; ``^`` where there is none."""
+    found: list[str] = []
+    i = at
+    while len(found) < 2:
+        while i > 0 and text[i - 1] in " \t_":
+            i -= 1
+        if i == 0 or text[i - 1] == "\n":
+            found.append("^")
+            break
+        end = i
+        if text[i - 1].isalnum():
+            while i > 0 and text[i - 1].isalnum():
+                i -= 1
+        else:
+            i -= 1
+        found.append(text[i:end].lower())
+    return found[0], found[1] if len(found) > 1 else "^"
+
+
+def _words_after(text: str, at: int) -> tuple[str, str]:
+    found: list[str] = []
+    i, n = at, len(text)
+    while len(found) < 2:
+        while i < n and text[i] in " \t_":
+            i += 1
+        if i == n or text[i] in "\r\n":
+            found.append("$")
+            break
+        start = i
+        if text[i].isalnum():
+            while i < n and text[i].isalnum():
+                i += 1
+        else:
+            i += 1
+        found.append(text[start:i].lower())
+    return found[0], found[1] if len(found) > 1 else "$"
 
 
-def _before(text: str, at: int) -> list[str]:
-    """The last tokens before a place, nearest first, within its line."""
-    piece = text[max(0, at - 40) : at]
-    piece = piece[piece.rfind("\n") + 1 :]
-    return [w.lower() for w in _WORD.findall(piece)[-3:]][::-1]
+@lru_cache(maxsize=200_000)
+def _word_kind(word: str) -> str:
+    """A coarse kind of a neighbouring word: punctuation is itself, numbers 0, words by how they are mostly written."""
+    if not word[0].isalnum():
+        return word
+    return "0" if word[0].isdigit() else form_class(word)
+
+
+_LABEL_WORDS = frozenset(NAME_LABELS.split("|"))
+
+
+def _called(text: str, at: int) -> str:
+    """Whether a title (``title``) or the label of a name (``label``) stands before a place, quotes and stars apart."""
+    i = at
+    while i > 0 and text[i - 1] in " \"'*|_":
+        i -= 1
+    sign = text[i - 1 : i]
+    if sign in (":", "=") or (sign.isalnum() and "|" in text[i:at]):
+        i -= sign in (":", "=")
+        while i > 0 and text[i - 1] in " \"'*":
+            i -= 1
+        start = max(text.rfind(ch, 0, i) for ch in "\n|,;{(&\"*.")
+        return "label" if text[start + 1 : i].strip(" -#>").lower() in _LABEL_WORDS else "-"
+    if i == at - 1 and (sign == "." or sign.isalpha()):
+        end = i - (sign == ".")
+        start = end
+        while start > 0 and text[start - 1].isalpha():
+            start -= 1
+        return "title" if text[start:end].lower() in _NO_START else "-"
+    return "-"
 
 
-def _after(text: str, at: int) -> list[str]:
-    piece = text[at : at + 24].partition("\n")[0]
-    return [w.lower() for w in _WORD.findall(piece)[:2]]
+@lru_cache(maxsize=200_000)
+def _left(kind: str, one: str, two: str) -> tuple[str, ...]:
+    return f"{kind}<{one}", f"{kind}<<{two} {one}", f"{kind}<k{_word_kind(one)}", f"{kind}<<k{_word_kind(two)}{_word_kind(one)}"
 
 
-def _context(text: str, start: int, end: int, kind: str) -> list[str]:
-    b, a = _before(text, start), _after(text, end)
-    one, two = (b[0] if b else "^"), (b[1] if len(b) > 1 else "^")
-    right = a[0] if a else "$"
-    return [f"{kind}<{one}", f"{kind}<<{two} {one}", f"{kind}>{right}", f"{kind}>>{right} {a[1] if len(a) > 1 else '$'}"]
+@lru_cache(maxsize=200_000)
+def _right(kind: str, one: str, two: str) -> tuple[str, ...]:
+    return f"{kind}>{one}", f"{kind}>>{one} {two}", f"{kind}>k{_word_kind(one)}", f"{kind}>>k{_word_kind(one)}{_word_kind(two)}"
 
 
-def _ending(word: str) -> str | None:
-    w = word.lower()
-    return next((e for e in ENDINGS if len(w) > len(e) + 1 and w.endswith(e)), None)
+@lru_cache(maxsize=100_000)
+def _group(*features: str) -> tuple[str, ...]:
+    return features
 
 
 @lru_cache(maxsize=200_000)
-def _name_class(token: str) -> str:
-    """What a token of a capitalised run is: i(nitial), p(article), g(iven name), f(amily name by ending), n (plain word), c (other)."""
-    if len(token) == 2 and token[1] == ".":
-        return "i"
+def token_class(token: str) -> str:
+    """``i`` initial, ``p`` particle, else how the word, or the rarest part of a word with hyphens, is mostly written."""
     if token in PARTICLES:
         return "p"
-    parts = token.lower().split("-")
-    if all(_ending(x) for x in parts):
-        return "f"
-    if parts[0] in GIVEN:
-        return "g"
-    return "n" if parts[0] in PLAIN else "c"
+    if token.endswith(".") or len(token) == 1:
+        return "i"
+    parts = [form_class(x) for x in re.split(r"['’-]", token) if len(x) > 1] or ["u"]
+    return max(parts, key="anocmlku".index)
+
+
+@lru_cache(maxsize=200_000)
+def _token_features(role: str, token: str) -> tuple[str, ...]:
+    low, c = token.lower(), token_class(token)
+    shape = "U" if token.isupper() and len(token) > 1 else "l" if token.islower() else "C" if token[1:].islower() else "x"
+    return f"{role}:{c}", f"{role}:{shape}{min(len(token), 10)}", f"{role}:-{low[-3:]}", f"{role}:-{low[-2:]}", f"{role}:{low[:2]}-", f"{role}:{c}-{low[-2:]}"
 
 
-_NAMELIKE = frozenset("gfc")
+def _shape(classes: list[str], commas: list[bool], left: tuple[str, str], right: tuple[str, str], called: str) -> tuple[str, ...]:
+    l, r = _word_kind(left[0]), _word_kind(right[0])
+    whole = "".join(c + ("," if m else "") for c, m in zip(classes, commas))
+    kinds = "".join("N" if c in "cmlku" else "w" if c in "ano" else c for c in whole)
+    return _group(f"name:{whole if len(classes) < 4 else 'long'}", f"name:{kinds if len(classes) < 6 else 'long'}", f"name:n{len(classes)}", f"name:w{sum(c in 'ano' for c in classes)}", f"name:,{sum(commas)}", f"name:{kinds[:6]}<{l}", f"name:{kinds[:6]}>{r}", f"name:{kinds[:6]}<{l}>{r}", f"name:<{l}>{r}", f"called:{called}", f"called:{called}:{kinds[:6]}")
 
 
 def _persons(text: str, out: list[Candidate]) -> None:
     for run in _RUN.finditer(text):
-        raw = run.group()
-        if " " not in raw:
-            c = _name_class(raw)
-            if c not in _NAMELIKE:
-                continue
+        raw, base = run.group(), run.start()
+        if " " not in raw and "," not in raw:
             s, e = run.span()
-            out.append((s, e, "person", (f"name:{c}", f"up:{raw.isupper()}", *_context(text, s, e, "person"))))
+            if raw.lower() not in _NO_START:
+                left, right = _words_before(text, s), _words_after(text, e)
+                out.append((s, e, "person", (_shape([token_class(raw)], [False], left, right, _called(text, s)), _token_features("one", raw), _left("one", *left), _right("one", *right))))
             continue
         tokens = [(m.start(), m.end(), m.group()) for m in _PART.finditer(raw)]
-        classes = [_name_class(t) for _, _, t in tokens]
-        if not _NAMELIKE.intersection(classes):
-            continue
-        base = run.start()
-        for i in range(len(tokens)):
-            if classes[i] == "p":
+        n = len(tokens)
+        classes = [token_class(t) for _, _, t in tokens]
+        comma = ["," in raw[tokens[k][1] : tokens[k + 1][0]] for k in range(n - 1)] + [False]
+        rights = [None] * n
+        for i in range(n):
+            if classes[i] == "p" or tokens[i][2].lower().rstrip(".") in _NO_START:
                 continue
-            for j in range(i, min(len(tokens), i + 5)):
-                if classes[j] == "p" or (classes[j] == "i" and j == i):
-                    continue
-                shape = "".join(classes[i : j + 1])
-                if not _NAMELIKE.intersection(shape):
+            left = None
+            for j in range(i, min(n, i + MAX_NAME)):
+                if classes[j] == "p" or (classes[j] == "i" and all(c in "ip" for c in classes[i : j + 1])):
                     continue
+                if sum(comma[i:j]) > 1:
+                    break
                 s, e = base + tokens[i][0], base + tokens[j][1]
-                inner = raw[tokens[i][0] : tokens[j][1]]
-                commas = inner.count(",")
-                if commas:
-                    shape = "".join(c + ("," if raw[tokens[k][1] : tokens[k][1] + 1] == "," and k < j else "") for k, c in zip(range(i, j + 1), shape))
-                left = classes[i - 1] if i and raw[tokens[i - 1][1] : tokens[i][0]] == " " else "|" if i else "^"
-                right = classes[j + 1] if j + 1 < len(tokens) and raw[tokens[j][1] : tokens[j + 1][0]] == " " else "|" if j + 1 < len(tokens) else "$"
-                plain = [f"plain:{tokens[k][2].lower()}" for k in range(i, j + 1) if classes[k] == "n"]
-                out.append((s, e, "person", (f"name:{shape}", f"up:{inner.isupper()}", f"cut<{left}", f"cut>{right}", *plain, *_context(text, s, e, "person"))))
+                role = "one" if i == j else "person"
+                if left is None:
+                    left, called = _words_before(text, s), _called(text, s)
+                if rights[j] is None:
+                    rights[j] = _words_after(text, e)
+                before = classes[i - 1] + "," * comma[i - 1] if i else "^"
+                after = "," * comma[j] + classes[j + 1] if j + 1 < n else "$"
+                ends = (_token_features("one", tokens[i][2]),) if i == j else (_token_features("first", tokens[i][2]), _token_features("last", tokens[j][2]))
+                out.append((s, e, "person", (_shape(classes[i : j + 1], comma[i:j] + [False], left, rights[j], called), _group(f"cut<{before}", f"cut>{after}", f"cut<{before}{classes[i]}", f"cut>{classes[j]}{after}"), *ends, _left(role, *left), _right(role, *rights[j]))))
 
 
 def _titled_persons(text: str, out: list[Candidate]) -> None:
     """Names after titles and labels that are not written in capitals."""
     for label in _TITLED.finditer(text):
         s = at = label.end()
-        shape = ""
-        while len(shape) < 4 and (m := _ANY_NAME.match(text, at)):
-            c = _name_class(m.group())
-            shape += c
-            e = m.end() - (c != "i" and m.group().endswith("."))
+        classes: list[str] = []
+        tokens: list[str] = []
+        while len(classes) < MAX_NAME and (m := _ANY_NAME.match(text, at)):
+            word = m.group()
+            short = len(word.rstrip(".")) == 1
+            c = "i" if short else token_class(word.rstrip("."))
+            e = m.end() - (not short and word.endswith("."))
+            classes.append(c)
+            tokens.append(word.rstrip("."))
             if c not in "ip" and any(w[0].islower() and w not in PARTICLES for w in text[s:e].split()):
-                out.append((s, e, "person", (f"titled:{shape}", f"titled:{len(shape)}", *_context(text, s, e, "person"))))
+                kind = "title" if label.group()[-1] == " " and ":" not in label.group() and "=" not in label.group() else "label"
+                nice = sum(x in "cmlku" for x in classes)
+                out.append((s, e, "person", (_group(f"{kind}:{''.join(classes) if len(classes) < 4 else 'long'}", f"{kind}:n{len(classes)}", f"{kind}:N{nice}:{len(classes) - nice}"), _token_features("lowfirst", tokens[0]), _token_features("lowlast", tokens[-1]), _right("low", *_words_after(text, e)))))
             if m.end() > e or text[e : e + 1] != " ":
                 break
             at = e + 1
@@ -189,7 +279,7 @@ def _phone_form(value: str) -> str:
         return "nanp"
     if re.fullmatch(r"9{3}([. ])9{3}\1[9]{3}", digits):
         return "triples"
-    if re.fullmatch(r"9{4}-99-99|99\.99\.9{4}", digits):
+    if re.fullmatch(r"9{4}([-/.])99?\1?99?|99?([-/.])99?\2(?:99)?99", digits):
         return "date"
     if not value.startswith("0") and re.fullmatch(r"9{1,3}(?:\.9{1,3}){3}", digits):
         return "quads"
@@ -214,81 +304,132 @@ def _lines_with_digits(text: str) -> Iterator[tuple[int, int]]:
 def _numbers(text: str, out: list[Candidate]) -> None:
     for low, high in _lines_with_digits(text):
         for m in _DIGITS.finditer(text, low, high):
-            value = m.group()
-            n = sum(ch.isdigit() for ch in value)
-            if not 7 <= n <= 15 or value.count("(") != value.count(")"):
-                continue
             s, e = m.span()
-            groups = len(re.findall(r"\d+", value))
-            out.append((s, e, "phone", (f"phone:{_phone_form(value)}", f"digits:{n}", f"groups:{min(groups, 6)}", *_context(text, s, e, "phone"))))
+            spans = [(s, e, "whole")]
+            if " " in (value := m.group()):  # a number of something else may stand right before or after
+                spans += [(s, s + value.rindex(" "), "head"), (s + value.index(" ") + 1, e, "tail")]
+                parts = re.split(" ?/ | /", value)
+                spans += [(s + (at := value.index(x)), s + at + len(x), "part") for x in dict.fromkeys(parts) if x != value]
+            for s, e, how in spans:
+                value = text[s:e]
+                n = sum(ch.isdigit() for ch in value)
+                if not 7 <= n <= 15 or value.count("(") != value.count(")") or value[-1] in " /-":
+                    continue
+                groups, form = len(re.findall(r"\d+", value)), _phone_form(value)
+                signs = "".join(sorted(set(value) - set("0123456789")))
+                if form in ("date", "quads"):
+                    out.append((s, e, "phone", (_group(f"phone:{form}"), _left("phone", *_words_before(text, s)))))
+                    continue
+                out.append((s, e, "phone", (_group(f"phone:{form}", f"digits:{n}", f"groups:{min(groups, 6)}", f"phone:{form}:{min(groups, 6)}", f"signs:{signs}", f"phone:{how}"), _left("phone", *_words_before(text, s)), _right("phone", *_words_after(text, e)))))
         for m in _LABEL.finditer(text, low, high):
             v = _VALUE.match(text, m.end(), high)
             if v and sum(ch.isdigit() for ch in v.group()) >= 4:
-                s, e = v.span()
-                label = re.sub(r"[^a-z]", "", m.group().lower())[:8]
                 value = v.group()
-                out.append((s, e, "id_number", (f"id:label:{label}", "id:labelled", f"id:n:{min(sum(ch.isdigit() for ch in value), 15)}", *_context(text, s, e, "id_number")[2:3])))
-                # the label may be followed by prose that begins with a short word of capitals
-                short = re.match(r"\S+", value).end()
-                if short != len(value) and sum(ch.isdigit() for ch in value[:short]) >= 4:
-                    out.append((s, s + short, "id_number", (f"id:label:{label}", "id:part", *_context(text, s, s + short, "id_number")[2:3])))
+                # the number may be followed by prose that begins with a number or a short word of capitals
+                cuts = [k for k in (x.start() for x in re.finditer(" ", value)) if sum(ch.isdigit() for ch in value[:k]) >= 4]
+                for k in [*cuts, len(value)]:
+                    s, e = v.start(), v.start() + k
+                    digits = sum(ch.isdigit() for ch in value[:k])
+                    form = re.sub(r"\d+", "9", re.sub(r"[A-Z]+", "A", value[:k]))
+                    short = m.group().strip().lower() in ("nie", "tin", "sin", "pan", "rut", "nir", "cif", "rfc", "egn", "cnp")
+                    out.append((s, e, "id_number", (_group("id:labelled", f"id:short:{short}", f"id:part:{k < len(value)}", f"id:n:{min(digits, 15)}", f"id:signs:{''.join(sorted(set(value[:k]) & set(' -./')))}", f"id:form:{form if len(form) < 8 else 'long'}"), _right("id", *_words_after(text, e)))))
         for m in _BARE_ID.finditer(text, low, high):
             s, e = m.span()
-            out.append((s, e, "id_number", ("id:bare", "id:form:" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m.group())), *_context(text, s, e, "id_number"))))
+            out.append((s, e, "id_number", (_group("id:bare", "id:form:" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m.group()))), _left("id", *_words_before(text, s)), _right("id", *_words_after(text, e)))))
+
+
+def _word_start(text: str, end: int) -> int:
+    """Where the word, hyphens and apostrophes included, that reaches to ``end`` begins."""
+    while end > 0 and (text[end - 1].isalnum() or text[end - 1] in "'’-"):
+        end -= 1
+    return end
 
 
 def _places(text: str) -> Iterator[tuple[str, int, int]]:
     """Street addresses without their towns, by form."""
+    if not _DIGIT.search(text):
+        return
     low = text.lower()
     if len(low) != len(text):  # places must stay the same
         low = "".join(x if len(x) == 1 else ch for ch, x in ((ch, ch.lower()) for ch in text))
+    doors: dict[int, int] | None = None
     for m in _HOUSE.finditer(low):
-        door = _DOOR.search(low, max(0, m.start() - 24), m.start())
-        yield "house", door.start() if door else m.start(), m.end()
-    for m in _NUMBER_AFTER.finditer(text):
-        at = m.start() - 1
-        if text.endswith(_STRASSE, max(0, at - 12), at) and (stem := _STEM.search(text, max(0, at - 40), at)):
-            yield "strasse", stem.start(), m.end()
-    for name, form in (("calle", _CALLE), ("rue", _RUE)):
+        if doors is None:
+            doors = {d.end(): d.start() for d in _DOOR.finditer(low)}
+        yield "house", doors.get(m.start(), m.start()), m.end()
+    for m in _STRASSE.finditer(text):
+        start, words = _word_start(text, m.start()), 0
+        if start == m.start() and (start == 0 or text[start - 1] not in " -"):
+            continue
+        while words < 3:
+            if start < m.start():
+                yield f"strasse{words}", start, m.end()
+                if m["x"] and m["x"][0] == " ":
+                    yield f"strasse{words}", start, m.end("n")
+            if start < 2 or text[start - 1] != " " or not text[start - 2].isalnum():
+                break
+            start = _word_start(text, start - 1)
+            words += 1
+            if not text[start].isupper():
+                break
+    for name, form in (("am", _AM), ("calle", _CALLE), ("rue", _RUE), ("box", _BOX)):
         for m in form.finditer(text):
             yield name, m.start(), m.end()
 
 
 def _addresses(text: str, out: list[Candidate]) -> None:
     for name, s, e in _places(text):
-        ends = [(e, "0")]
-        if t := _TAIL.match(text, e):
-            comma = text[e : e + 1] == ","
-            if comma or t.group("a")[0].isdigit():
-                ends.append((t.end("a"), "town" if not t.group("a")[0].isdigit() else "code"))
-                if t.group("b"):
-                    ends.append((t.end("b"), "town+code"))
-                if " " in t.group("a").lstrip("0123456789 "):
-                    ends.append((t.start("a") + t.group("a").rindex(" "), "short"))
-        lower = text[s:e].islower()
-        for end, tail in ends:
-            out.append((s, end, "address", (f"addr:{name}", f"addr:tail:{tail}", f"addr:{name}:{tail}", f"addr:lower:{lower}", *_context(text, s, end, "address"))))
+        ends = [(e, "", "")]
+        at, tail, towns = e, "", 0
+        # postcode, town of up to three words, state: each further piece is another reading
+        while len(tail) < 6 and (t := _TAIL.match(text, at)):
+            kind = "C" if t["code"] else "S" if t["state"] else "T"
+            towns = towns + 1 if kind == "T" and tail[-1:] == "T" and not (t["gap"] or ",").startswith(",") else int(kind == "T")
+            if towns > 3 or (kind == "C" and "C" in tail) or (kind == "S" and "S" in tail):
+                break
+            tail += ("," if (t["glued"] or t["gap"]).startswith(",") else "") + kind
+            at = t.end()
+            ends.append((at, tail, form_class(t["town"] or t["tight"]) if kind == "T" else ""))
+        inner = text[s:e]
+        lower = inner == inner.lower()
+        case = "".join("0" if w[0].isdigit() else "C" if w[0].isupper() else "l" for w in re.findall(r"\w+", inner))
+        named = [w for w in re.findall(r"[^\W\d_]+", inner)]
+        kinds = "".join(sorted({form_class(w) for w in named[:-1]})) if named else ""
+        for k, (end, tail, last) in enumerate(ends):
+            more = ends[k + 1][1][len(tail) :] + ends[k + 1][2] if k + 1 < len(ends) else "$"
+            out.append((s, end, "address", (_group(f"addr:{name}", f"addr:{name}:{lower}", f"addr:{name}:w{kinds}", f"addr:{lower}:small{'a' in kinds}", f"addr:{name}:{case if len(case) < 7 else 'long'}", f"addr:{case[-2:]}:{inner[-1].isalpha()}", f"addr:tail:{tail}", f"addr:last:{last}", f"addr:tail:{tail}:{last}", f"addr:more:{more}", f"addr:more:{tail[-2:]}:{more}"), _left("addr", *_words_before(text, s)), _right("addr", *_words_after(text, end)))))
+
+
+def _local_before(text: str, at: int) -> int:
+    """Where the name before an at sign begins; ``at`` if there is none."""
+    i = at
+    while i > 0 and text[i - 1] in _LOCAL_CHARS:
+        i -= 1
+    while i < at and not text[i].isalnum():
+        i += 1
+    return i
 
 
 def _emails(text: str, out: list[Candidate]) -> None:
     at = text.find("@")
     while at >= 0:
-        local, host = _LOCAL.search(text, max(0, at - 64), at), _HOST.match(text, at + 1)
-        if local and host:
-            s, e = local.start(), host.end()
-            name, after = local.group().lower(), text[e : e + 2]
-            out.append((s, e, "email", ("email:plain", f"email:local:{name if name in ('git', 'root', 'noreply', 'www', 'svn', 'hg') else '-'}", f"email:path:{after[:1] == ':' and after[1:].strip() != ''}", *_context(text, s, e, "email"))))
+        s, host = _local_before(text, at), _HOST.match(text, at + 1)
+        if s < at and host:
+            e = host.end()
+            name, after = text[s:at].lower(), text[e : e + 2]
+            out.append((s, e, "email", (_group("email:plain", f"email:local:{name if name in ('git', 'root', 'noreply', 'www', 'svn', 'hg', 'admin') else '-'}", f"email:path:{after[:1] == ':' and after[1:].strip() != ''}"), _left("email", *_words_before(text, s)), _right("email", *_words_after(text, e)))))
         at = text.find("@", at + 1)
     for m in _AT.finditer(text):
         host = _HIDDEN_HOST.match(text, m.end())
-        local = host and _LOCAL.search(text, max(0, m.start() - 64), m.start())
-        if local:
-            s, e = local.start(), host.end()
-            raw, marker = host.group().lower(), m.group()
+        s = _local_before(text, m.start()) if host else m.start()
+        if s < m.start() and text[m.start() - 1].isalnum():
+            e = host.end()
+            raw, marker, local = host.group().lower(), m.group(), text[s : m.start()]
             at_form = "word" if marker[0] == " " and marker.strip().isalpha() else "mark"
-            dot = "mark" if re.search(r"[\[({]dot", raw) else "word" if " dot " in raw else "none"
+            dot = "mark" if re.search(r"[\[({<]dot", raw) else "word" if " dot " in raw else "none"
             deep = len(re.findall(_DOT, raw)) > 1
-            out.append((s, e, "email", (f"email:hidden:{at_form}:{dot}", f"email:deep:{deep}", f"email:sign:{any(ch in local.group() for ch in '._+-0123456789')}:{at_form}:{dot}", *_context(text, s, e, "email"))))
+            sign = any(ch in local for ch in "._+-0123456789")
+            out.append((s, e, "email", (_group(f"email:hidden:{at_form}:{dot}", f"email:deep:{deep}:{at_form}:{dot}", f"email:sign:{sign}:{at_form}:{dot}"), _left("email", *_words_before(text, s)), _right("email", *_words_after(text, e)))))
 
 
 def candidates(text: str) -> list[Candidate]:
@@ -304,11 +445,11 @@ def candidates(text: str) -> list[Candidate]:
 
 
 def windows(text: str, found: list[Candidate]) -> Iterator[list[Candidate]]:
-    """Candidates near one another on a line."""
+    """Candidates that overlap or lie close to one another on a line; no transition reaches from one window to another."""
     group: list[Candidate] = []
     reach = -1
     for c in found:
-        if group and (c[0] - reach > WINDOW_GAP or "\n" in text[reach : c[0]]):
+        if group and (c[0] - reach > NEAR or "\n" in text[reach : c[0]]):
             yield group
             group, reach = [], -1
         group.append(c)
@@ -317,63 +458,71 @@ def windows(text: str, found: list[Candidate]) -> Iterator[list[Candidate]]:
         yield group
 
 
-def transition(a: Candidate, b: Candidate, text: str) -> str:
-    """The feature of two neighbouring entities: their kinds and what is between them."""
+def transition(a: Candidate, b: Candidate, text: str) -> str | None:
+    """The feature of two close entities: their kinds and what is between them; None if they are further apart."""
     gap = text[a[1] : b[0]]
-    return f"{a[2]}~{b[2]}:{gap if len(gap) < 4 else 'far'}"
+    return f"{a[2]}~{b[2]}:{gap}" if len(gap) <= NEAR else None
 
 
-def decode(text: str, group: list[Candidate], weights: dict[str, float]) -> tuple[list[Candidate], float]:
-    """The best set of disjoint segments of a window, by dynamic programming over segment ends."""
+def decode(text: str, group: list[Candidate], score) -> tuple[list[Candidate], float]:
+    """The best set of disjoint segments of a window, by dynamic programming over segment ends. ``score`` sums the weights of a group of features."""
     n = len(group)
-    get = weights.get
-    own = [sum(get(f, 0.0) for f in c[3]) + get(f"bias:{c[2]}", 0.0) for c in group]
+    own = [sum(map(score, c[3])) + score((f"bias:{c[2]}",)) for c in group]
     if n == 1:
         return ([group[0]], own[0]) if own[0] > 0 else ([], 0.0)
     order = sorted(range(n), key=lambda k: (group[k][1], group[k][0]))
     ends = [group[k][1] for k in order]
-    best: dict[int, tuple[float, int]] = {}
-    # the best so far of each kind, by position in the order: further apart than three characters, only kinds matter
-    tops: list[dict[str, int]] = [{}]
+    best: list[tuple[float, int]] = [(0.0, -1)] * n
+    # the best so far, by position in the order: what ends further away than NEAR has no transition
+    tops: list[tuple[float, int]] = [(0.0, -1)]
     for k in order:
-        start, kind = group[k][0], group[k][2]
-        near, far = bisect_right(ends, start), bisect_right(ends, start - 4)
-        top, link = own[k], -1
-        for j in (*tops[far].values(), *order[far:near]):
-            score = best[j][0] + own[k] + get(transition(group[j], group[k], text), 0.0)
-            if score > top:
-                top, link = score, j
+        start = group[k][0]
+        near, far = bisect_right(ends, start), bisect_right(ends, start - NEAR - 1)
+        top, link = tops[far]
+        top += own[k]
+        for j in order[far:near]:
+            total = best[j][0] + own[k] + score((transition(group[j], group[k], text),))
+            if total > top:
+                top, link = total, j
         best[k] = (top, link)
-        last = tops[-1]
-        if kind not in last or top > best[last[kind]][0]:
-            last = last | {kind: k}
-        tops.append(last)
-    k = max(best, key=lambda x: best[x][0])
-    if best[k][0] <= 0:
-        return [], 0.0
-    total, out = best[k][0], []
+        tops.append(max(tops[-1], (top, k)))
+    total, k = tops[-1]
+    out = []
     while k >= 0:
         out.append(group[k])
         k = best[k][1]
     return out[::-1], total
 
 
+class Scorer:
+    """Sums of weights of groups of features, each summed once."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.known = weights, {}
+
+    def __call__(self, group: tuple[str, ...]) -> float:
+        got = self.known.get(group)
+        if got is None:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            got = self.known[group] = sum(self.weights.get(f, 0.0) for f in group)
+        return got
+
+
 @lru_cache(maxsize=1)
-def model() -> dict[str, float]:
-    return json.loads(MODEL.read_text())
+def model() -> Scorer:
+    return Scorer(json.loads(MODEL.read_text()))
 
 
-def find(text: str | None, weights: dict[str, float] | None = None) -> list[Span]:
+def find(text: str | None, score: Scorer | None = None) -> list[Span]:
     """``(start, end, kind)`` of the personal information in a text, in code points, disjoint and in order."""
     if not text:
         return []
-    w = model() if weights is None else weights
+    score = score or model()
     out = []
     for group in windows(text, candidates(text)):
-        out += [(c[0], c[1], c[2]) for c in decode(text, group, w)[0]]
+        out += [(c[0], c[1], c[2]) for c in decode(text, group, score)[0]]
     return out
-
-
 def redact(text: str | None) -> str | None:
     """The text with each finding replaced by the placeholder of its kind, all else unchanged."""
     if not text:
@@ -385,8 +534,9 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _finder(names: list[str]):
+def _finder(names: list[str], folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordforms.use(folder)
         for batch in batches:
             rows = [(d, kind, s, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s, e, kind in find(t)]
             cols = list(zip(*rows)) or [(), (), (), ()]
@@ -396,18 +546,19 @@ def _finder(names: list[str]):
     return run
 
 
-def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``doc_id, kind, start_pos, end_pos`` of every finding; null and empty texts have none, repeated rows have theirs repeated."""
     names = ["doc_id", "kind", "start_pos", "end_pos"]
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(doc_id, text).mapInArrow(_finder(names), f"doc_id {kind}, kind string, start_pos bigint, end_pos bigint")
+    return docs.select(doc_id, text).mapInArrow(_finder(names, folder), f"doc_id {kind}, kind string, start_pos bigint, end_pos bigint")
 
 
-def redact_personal(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact_personal(docs: DataFrame, text: str = "text", folder: str = TOKENIZER_DIR) -> DataFrame:
     """All rows and columns, ``text`` with placeholders; null and empty texts stay as they are."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordforms.use(folder)
         for batch in batches:
             done = pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
