@@ -50,7 +50,10 @@ NAME_LABELS = (
 )
 #: Titles that names do not begin with; the others are names or initials, too.
 _NO_START = frozenset(TITLES) - {"don", "dame", "m", "pan", "sig", "fr"}
-_TITLED = re.compile(rf"(?<![\w-])(?:(?:{'|'.join(TITLES)})\.? |(?:{NAME_LABELS})[\"'*]{{0,3}} ?[:=][\"'* ]{{0,4}})(?=[^\W\d_])", re.I)
+#: What may stand before a title or a label; texts are searched in lower case with a line end put before them.
+_OPEN = r"[\s()\[\]{}<>\"'*,;:.|/#&=]"
+_TITLE = re.compile(rf"{_OPEN}(?:{'|'.join(TITLES)})\.? (?=[^\W\d_])")
+_NAMED = re.compile(r"[:=][\"'* ]{0,4}(?=[^\W\d_])")
 _ANY_NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?(?![\w@]|[./+-]\w)")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+'-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]|\.\w)")
@@ -58,7 +61,7 @@ _AT = re.compile(r" at | AT | ?[(\[{<](?:at|AT)[)\]}>] ?")
 _DOT = r"(?: ?[(\[{<](?:dot|DOT)[)\]}>] ?| dot | DOT |\.)"
 _HIDDEN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}[A-Za-z]{{2,10}}(?![\w@-]|{_DOT}\w)")
 _DIGIT = re.compile(r"\d")
-_DIGITS = re.compile(r"(?<![\w.#/+@-])(?<!\d,)(?<!\w[:=])(?:\+\d{1,3}[ .-]?|00\d{1,3}[ .-])?(?:\(\d{1,5}\)[ .-]?)?\d+(?:(?:[ ./-]| ?[/-] ?)\d+)*(?![\w@]|[.:]\d)|(?<=[a-z][:=])\+?\(?\d[\d ()./-]{5,}\d(?!\w)")
+_DIGITS = re.compile(r"(?=[\d+(])(?<![\w.#/+@-])(?<!\d,)(?<!\w[:=])(?:\+\d{1,3}[ .-]?|00\d{1,3}[ .-])?(?:\(\d{1,5}\)[ .-]?)?\d+(?:(?:[ ./-]| ?[/-] ?)\d+)*(?![\w@]|[.:]\d)|(?<=[a-z][:=])\+?\(?\d[\d ()./-]{5,}\d(?!\w)")
 # What identity numbers are called.
 ID_LABELS = (
     r"tax (?:id|identification|file|payer)(?: number| no\.?)?|taxpayer (?:id|number)|tax (?:number|no\.?)|tin|tfn|itin|ein|ssn|social security(?: number| no\.?)?|social insurance(?: number| no\.?)?|sin|nino|ni (?:number|no\.?)|national insurance(?: number| no\.?)?|nhs (?:number|no\.?)|"
@@ -67,10 +70,10 @@ ID_LABELS = (
     r"nir|numéro de sécurité sociale|sécurité sociale|numéro fiscal|passeport|carte d'identité|cni|niss|dni|nie|nif|cif|pasaporte|número de identidad|seguridad social|cédula|curp|rfc|cuit|cuil|rut|cpf|cnpj|passaporte|bilhete de identidade|cartão de cidadão|nif|"
     r"codice fiscale|carta d'identità|bsn|burgerservicenummer|passaporto|paspoort(?: ?nummer)?|nip|rg|rijksregisternummer|pesel|dowód osobisty|personnummer|fødselsnummer|cpr(?:-nummer)?|henkilötunnus|rodné číslo|cnp|oib|egn|tc kimlik(?: no)?"
 )
-_LABEL = re.compile(rf"(?<![\w-])(?:{ID_LABELS})(?:,? (?:of|for|von|de|di) (?:[^\s\d]+ ){{1,5}}?(?=(?:is|ist|es|est|è|é|lautet)\b))?(?: ?(?:is|was|ist|war|lautet|es|est|è|é))?[\s:#=.]*(?:\b(?:no|nr|n[º°])\.? ?)?(?=[A-Z0-9])", re.I)
+_LABEL = re.compile(rf"{_OPEN}(?:{ID_LABELS})(?:,? (?:of|for|von|de|di) (?:[^\s\d]+ ){{1,5}}?(?=(?:is|ist|es|est|è|é|lautet)\b))?(?: ?(?:is|was|ist|war|lautet|es|est|è|é))?[\s:#=.]*(?:\b(?:no|nr|n[º°])\.? ?)?(?=[a-z0-9])")
 _VALUE = re.compile(r"[A-Z]{0,6}[ -]?\d[A-Z0-9]*(?:[ /.-][A-Z0-9]*\d[A-Z0-9]*)*(?:[ -]?[A-Z](?![\w]))?")
 _BARE_ID = re.compile(
-    r"(?<![\w.+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d\d \d\d \d\d [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] \d\d (?:0[1-9]|1[0-3]) \d\d \d{3} \d{3} \d\d|\d{3}\.\d{3}\.\d{3}-\d\d|[A-Z]{6}\d\d[A-EHLMPR-T]\d\d[A-Z]\d{3}[A-Z]|756\.\d{4}\.\d{4}\.\d\d|"
+    r"(?=[A-Z0-9])(?<![\w.+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d\d \d\d \d\d [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] \d\d (?:0[1-9]|1[0-3]) \d\d \d{3} \d{3} \d\d|\d{3}\.\d{3}\.\d{3}-\d\d|[A-Z]{6}\d\d[A-EHLMPR-T]\d\d[A-Z]\d{3}[A-Z]|756\.\d{4}\.\d{4}\.\d\d|"
     r"[A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d|\d{6}[-+]\d{4}|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|\d{1,2}\.\d{3}\.\d{3}-[\dK])(?![\w-])"
 )
 _TOWN = rf"[{_U}][\w'’-]+"
@@ -83,7 +86,8 @@ _HOUSE = re.compile(rf"\d(?<![\w.#/-]\d)\d{{0,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(
 _DOOR = re.compile(r"(?<![\w-])(?:flat|apt\.?|apartment|unit|suite|room) ?#?\w+, ?")
 # Words that end the name of a way.
 _WAY_END = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|hof|markt|steig|chaussee|straat|laan|gracht|kade|plein|dijk|singel|steenweg|gatan|gata|gate|vägen|gade|vej|veien|vei|katu|tie|stien"
-_STRASSE = re.compile(rf"(?:{_WAY_END}) ?(?P<n>\d{{1,4}}(?:[-/]\d{{1,3}})?)(?P<x> ?[a-z])?(?!\w)", re.I)
+_WAY_ENDS = tuple(_WAY_END.replace("\\.", ".").split("|"))
+_NUMBER_OF = re.compile(r"\d(?<=\D\d)\d{0,3}(?P<n>(?:[-/]\d{1,3})?)(?P<x> ?[a-zA-Z])?(?!\w)")
 _AM = re.compile(rf"(?<![\w-])(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Unter den|Unter der|Zum|Zur|Beim|Hinter der|Vor dem) [{_U}][\w-]+(?: [{_U}][\w-]+)? \d{{1,4}}(?: ?[a-z](?!\w))?(?!\w)")
 # Words that lead the name of a way.
 _LEAD = (
@@ -91,7 +95,13 @@ _LEAD = (
 )
 _CALLE = re.compile(rf"(?<![\w-])(?:{_LEAD}|calle|avenida|plaza|paseo|rua|praça|travessa|largo|via|piazza|viale|corso|[Rr]ue|[Aa]venue|[Cc]hemin) ?(?:(?:de|di|da|do|dos|das|du|des|del|della|dei|d[’']|de la|de los|de las|San|Santa)(?: |(?<=['’])))*\w[\w'’.-]+(?:(?: (?:de|di|da|do|del|della|dei|y|e|la))* [{_U}][\w'’-]+)*,? (?:(?:n\.?|nº|n°|[Nn]o[.:]?|nr\.?) ?)?\d{{1,4}}(?:/?[a-zA-Z](?!\w))?(?:, ?\d{{1,2}}[ºª°](?: ?[A-Z](?!\w)| (?:dcha|izda|izq)\.?)?)?(?:/\d{{1,3}})?")
 _RUE = re.compile(rf"\d(?<![\w-]\d)\d{{0,3}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Cc]ours|[Rr]oute|[Ss]quare|[Pp]assage|[Ss]entier) (?:de la |de l['’]|des |du |de |d['’])?\w[\w'’-]+(?: (?:de |du |des |la )?[{_U}][\w'’-]+)?")
-_BOX = re.compile(r"(?<![\w-])(?:P\.? ?O\.? ?Box|PO Box|Postfach|Apartado|Casella Postale|Boîte postale|BP) \d{1,6}(?!\w)", re.I)
+_BOX = re.compile(r"(?=[PACBp])(?<![\w-])(?:P\.? ?O\.? ?Box|PO Box|Postfach|Apartado|Casella Postale|Boîte postale|BP) \d{1,6}(?!\w)")
+_FORMS = (
+    ("am", _AM, ("Am ", "An de", "Auf de", "Im ", "In de", "Unter de", "Zum ", "Zur ", "Beim ", "Hinter de", "Vor de")),
+    ("calle", _CALLE, ("c/", "calle", "cl.", "avda", "av.", "avenida", "plaza", "pza.", "paseo", "camino", "carrer", "ronda", "travesía", "rua ", "r.", "praça", "travessa", "alameda", "estrada", "largo", "via", "v.le", "piazza", "p.za", "corso", "c.so", "vicolo", "strada", "contrada", "ul.", "ulica", "al.", "aleja", "pl.", "str.", "bulevardul", "bd.", "rue", "avenue", "chemin")),
+    ("rue", _RUE, ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "allée", "quai", "cours", "route", "square", "passage", "sentier")),
+    ("box", _BOX, ("box", "postfach", "apartado", "casella", "boîte", "bp ")),
+)
 _CODE = r"(?:\d{4,6}|\d{3}-\d{4}|\d{3} \d{2}|\d{2}-\d{3}|\d{5}-\d{3,4}|\d{4} ?[A-Z]{2}|[A-Z]{1,2}\d[A-Z0-9]? ?\d[A-Z]{2}|[A-Z]\d[A-Z] ?\d[A-Z]\d|[A-Z]{1,2}-\d{4,5})(?![\w-]|[/.]\d)"
 _TAIL = re.compile(rf"(?P<gap>,? )(?:(?P<code>{_CODE})|(?P<state>[A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?![\w-])|[A-Z]{{2}}(?!\w))|(?P<town>{_TOWN}))|(?P<glued>,)(?P<tight>{_TOWN})")
 _TOKEN_BEFORE = re.compile(r"[^\W_]+|[^\w\s]")
@@ -121,23 +131,12 @@ def _words_before(text: str, at: int) -> tuple[str, str]:
     return found[0], found[1] if len(found) > 1 else "^"
 
 
+_NEXT = re.compile(r"[ \t_]*([^\W_]+|[^\w\s])?[ \t_]*([^\W_]+|[^\w\s])?")
+
+
 def _words_after(text: str, at: int) -> tuple[str, str]:
-    found: list[str] = []
-    i, n = at, len(text)
-    while len(found) < 2:
-        while i < n and text[i] in " \t_":
-            i += 1
-        if i == n or text[i] in "\r\n":
-            found.append("$")
-            break
-        start = i
-        if text[i].isalnum():
-            while i < n and text[i].isalnum():
-                i += 1
-        else:
-            i += 1
-        found.append(text[start:i].lower())
-    return found[0], found[1] if len(found) > 1 else "$"
+    one, two = _NEXT.match(text, at).groups("$")
+    return one.lower(), two.lower()
 
 
 @lru_cache(maxsize=200_000)
@@ -172,14 +171,23 @@ def _called(text: str, at: int) -> str:
     return "-"
 
 
-@lru_cache(maxsize=200_000)
-def _left(kind: str, one: str, two: str) -> tuple[str, ...]:
-    return f"{kind}<{one}", f"{kind}<<{two} {one}", f"{kind}<k{_word_kind(one)}", f"{kind}<<k{_word_kind(two)}{_word_kind(one)}"
+@lru_cache(maxsize=50_000)
+def _beside(kind: str, side: str, word: str) -> tuple[str, ...]:
+    return f"{kind}{side}{word}", f"{kind}{side}k{_word_kind(word)}"
 
 
-@lru_cache(maxsize=200_000)
-def _right(kind: str, one: str, two: str) -> tuple[str, ...]:
-    return f"{kind}>{one}", f"{kind}>>{one} {two}", f"{kind}>k{_word_kind(one)}", f"{kind}>>k{_word_kind(one)}{_word_kind(two)}"
+@lru_cache(maxsize=50_000)
+def _beside_kinds(kind: str, side: str, kinds: str) -> tuple[str, ...]:
+    return (f"{kind}{side}{side}k{kinds}",)
+
+
+def _left(kind: str, one: str, two: str) -> tuple[tuple[str, ...], ...]:
+    """Features of the two words before a span, the nearest first. Pairs of words are too many to be kept."""
+    return _beside(kind, "<", one), _beside_kinds(kind, "<", _word_kind(two) + _word_kind(one)), (f"{kind}<<{two} {one}",)
+
+
+def _right(kind: str, one: str, two: str) -> tuple[tuple[str, ...], ...]:
+    return _beside(kind, ">", one), _beside_kinds(kind, ">", _word_kind(one) + _word_kind(two)), (f"{kind}>>{one} {two}",)
 
 
 @lru_cache(maxsize=100_000)
@@ -205,11 +213,16 @@ def _token_features(role: str, token: str) -> tuple[str, ...]:
     return f"{role}:{c}", f"{role}:{shape}{min(len(token), 10)}", f"{role}:-{low[-3:]}", f"{role}:-{low[-2:]}", f"{role}:{low[:2]}-", f"{role}:{c}-{low[-2:]}"
 
 
-def _shape(classes: list[str], commas: list[bool], left: tuple[str, str], right: tuple[str, str], called: str) -> tuple[str, ...]:
-    l, r = _word_kind(left[0]), _word_kind(right[0])
-    whole = "".join(c + ("," if m else "") for c, m in zip(classes, commas))
-    kinds = "".join("N" if c in "cmlku" else "w" if c in "ano" else c for c in whole)
-    return _group(f"name:{whole if len(classes) < 4 else 'long'}", f"name:{kinds if len(classes) < 6 else 'long'}", f"name:n{len(classes)}", f"name:w{sum(c in 'ano' for c in classes)}", f"name:,{sum(commas)}", f"name:{kinds[:6]}<{l}", f"name:{kinds[:6]}>{r}", f"name:{kinds[:6]}<{l}>{r}", f"name:<{l}>{r}", f"called:{called}", f"called:{called}:{kinds[:6]}")
+@lru_cache(maxsize=200_000)
+def _shape(classes: str, l: str, r: str, called: str) -> tuple[str, ...]:
+    """Features of the classes of a name's words, commas among them, and of the kinds of words around it."""
+    plain = classes.replace(",", "")
+    n, commas = len(plain), len(classes) - len(plain)
+    kinds = "".join("N" if c in "cmlku" else "w" if c in "ano" else c for c in classes)
+    return (
+        f"name:{classes if n < 4 else 'long'}", f"name:{kinds if n < 6 else 'long'}", f"name:n{n}", f"name:w{sum(c in 'ano' for c in plain)}", f"name:,{commas}", f"name:{kinds[:6]}<{l}", f"name:{kinds[:6]}>{r}",
+        f"name:{kinds[:6]}<{l}>{r}", f"name:<{l}>{r}", f"called:{called}", f"called:{called}:{kinds[:6]}",
+    )
 
 
 def _persons(text: str, out: list[Candidate]) -> None:
@@ -219,7 +232,7 @@ def _persons(text: str, out: list[Candidate]) -> None:
             s, e = run.span()
             if raw.lower() not in _NO_START:
                 left, right = _words_before(text, s), _words_after(text, e)
-                out.append((s, e, "person", (_shape([token_class(raw)], [False], left, right, _called(text, s)), _token_features("one", raw), _left("one", *left), _right("one", *right))))
+                out.append((s, e, "person", (_shape(token_class(raw), _word_kind(left[0]), _word_kind(right[0]), _called(text, s)), _token_features("one", raw), *_left("one", *left), *_right("one", *right))))
             continue
         tokens = [(m.start(), m.end(), m.group()) for m in _PART.finditer(raw)]
         n = len(tokens)
@@ -244,13 +257,28 @@ def _persons(text: str, out: list[Candidate]) -> None:
                 before = classes[i - 1] + "," * comma[i - 1] if i else "^"
                 after = "," * comma[j] + classes[j + 1] if j + 1 < n else "$"
                 ends = (_token_features("one", tokens[i][2]),) if i == j else (_token_features("first", tokens[i][2]), _token_features("last", tokens[j][2]))
-                out.append((s, e, "person", (_shape(classes[i : j + 1], comma[i:j] + [False], left, rights[j], called), _group(f"cut<{before}", f"cut>{after}", f"cut<{before}{classes[i]}", f"cut>{classes[j]}{after}"), *ends, _left(role, *left), _right(role, *rights[j]))))
+                out.append((s, e, "person", (_shape("".join(c + "," * m for c, m in zip(classes[i:j], comma[i:j])) + classes[j], _word_kind(left[0]), _word_kind(rights[j][0]), called), _group(f"cut<{before}", f"cut>{after}", f"cut<{before}{classes[i]}", f"cut>{classes[j]}{after}"), *ends, *_left(role, *left), *_right(role, *rights[j]))))
 
 
-def _titled_persons(text: str, out: list[Candidate]) -> None:
+def _lower(text: str) -> str:
+    """The text in lower case with every place where it was."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else ch for ch, x in ((ch, ch.lower()) for ch in text))
+
+
+def _introduced(text: str, low: str) -> Iterator[tuple[str, int]]:
+    """``(kind, place)`` after titles and after the labels of names."""
+    for m in _TITLE.finditer("\n" + low):
+        yield "title", m.end() - 1
+    for m in _NAMED.finditer(low):
+        if _called(text, m.end()) == "label":
+            yield "label", m.end()
+
+
+def _titled_persons(text: str, low: str, out: list[Candidate]) -> None:
     """Names after titles and labels that are not written in capitals."""
-    for label in _TITLED.finditer(text):
-        s = at = label.end()
+    for kind, s in _introduced(text, low):
+        at = s
         classes: list[str] = []
         tokens: list[str] = []
         while len(classes) < MAX_NAME and (m := _ANY_NAME.match(text, at)):
@@ -261,9 +289,8 @@ def _titled_persons(text: str, out: list[Candidate]) -> None:
             classes.append(c)
             tokens.append(word.rstrip("."))
             if c not in "ip" and any(w[0].islower() and w not in PARTICLES for w in text[s:e].split()):
-                kind = "title" if label.group()[-1] == " " and ":" not in label.group() and "=" not in label.group() else "label"
                 nice = sum(x in "cmlku" for x in classes)
-                out.append((s, e, "person", (_group(f"{kind}:{''.join(classes) if len(classes) < 4 else 'long'}", f"{kind}:n{len(classes)}", f"{kind}:N{nice}:{len(classes) - nice}"), _token_features("lowfirst", tokens[0]), _token_features("lowlast", tokens[-1]), _right("low", *_words_after(text, e)))))
+                out.append((s, e, "person", (_group(f"{kind}:{''.join(classes) if len(classes) < 4 else 'long'}", f"{kind}:n{len(classes)}", f"{kind}:N{nice}:{len(classes) - nice}"), _token_features("lowfirst", tokens[0]), _token_features("lowlast", tokens[-1]), *_right("low", *_words_after(text, e)))))
             if m.end() > e or text[e : e + 1] != " ":
                 break
             at = e + 1
@@ -301,7 +328,8 @@ def _lines_with_digits(text: str) -> Iterator[tuple[int, int]]:
         yield text.rfind("\n", 0, m.start()) + 1, done
 
 
-def _numbers(text: str, out: list[Candidate]) -> None:
+def _numbers(text: str, lowered: str, out: list[Candidate]) -> None:
+    lowered = "\n" + lowered
     for low, high in _lines_with_digits(text):
         for m in _DIGITS.finditer(text, low, high):
             s, e = m.span()
@@ -318,11 +346,11 @@ def _numbers(text: str, out: list[Candidate]) -> None:
                 groups, form = len(re.findall(r"\d+", value)), _phone_form(value)
                 signs = "".join(sorted(set(value) - set("0123456789")))
                 if form in ("date", "quads"):
-                    out.append((s, e, "phone", (_group(f"phone:{form}"), _left("phone", *_words_before(text, s)))))
+                    out.append((s, e, "phone", (_group(f"phone:{form}"), *_left("phone", *_words_before(text, s)))))
                     continue
-                out.append((s, e, "phone", (_group(f"phone:{form}", f"digits:{n}", f"groups:{min(groups, 6)}", f"phone:{form}:{min(groups, 6)}", f"signs:{signs}", f"phone:{how}"), _left("phone", *_words_before(text, s)), _right("phone", *_words_after(text, e)))))
-        for m in _LABEL.finditer(text, low, high):
-            v = _VALUE.match(text, m.end(), high)
+                out.append((s, e, "phone", (_group(f"phone:{form}", f"digits:{n}", f"groups:{min(groups, 6)}", f"phone:{form}:{min(groups, 6)}", f"signs:{signs}", f"phone:{how}"), *_left("phone", *_words_before(text, s)), *_right("phone", *_words_after(text, e)))))
+        for m in _LABEL.finditer(lowered, low, high + 1):
+            v = _VALUE.match(text, m.end() - 1, high)
             if v and sum(ch.isdigit() for ch in v.group()) >= 4:
                 value = v.group()
                 # the number may be followed by prose that begins with a number or a short word of capitals
@@ -331,11 +359,11 @@ def _numbers(text: str, out: list[Candidate]) -> None:
                     s, e = v.start(), v.start() + k
                     digits = sum(ch.isdigit() for ch in value[:k])
                     form = re.sub(r"\d+", "9", re.sub(r"[A-Z]+", "A", value[:k]))
-                    short = m.group().strip().lower() in ("nie", "tin", "sin", "pan", "rut", "nir", "cif", "rfc", "egn", "cnp")
-                    out.append((s, e, "id_number", (_group("id:labelled", f"id:short:{short}", f"id:part:{k < len(value)}", f"id:n:{min(digits, 15)}", f"id:signs:{''.join(sorted(set(value[:k]) & set(' -./')))}", f"id:form:{form if len(form) < 8 else 'long'}"), _right("id", *_words_after(text, e)))))
+                    short = m.group()[1:].strip() in ("nie", "tin", "sin", "pan", "rut", "nir", "cif", "rfc", "egn", "cnp")
+                    out.append((s, e, "id_number", (_group("id:labelled", f"id:short:{short}", f"id:part:{k < len(value)}", f"id:n:{min(digits, 15)}", f"id:signs:{''.join(sorted(set(value[:k]) & set(' -./')))}", f"id:form:{form if len(form) < 8 else 'long'}"), *_right("id", *_words_after(text, e)))))
         for m in _BARE_ID.finditer(text, low, high):
             s, e = m.span()
-            out.append((s, e, "id_number", (_group("id:bare", "id:form:" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m.group()))), _left("id", *_words_before(text, s)), _right("id", *_words_after(text, e)))))
+            out.append((s, e, "id_number", (_group("id:bare", "id:form:" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m.group()))), *_left("id", *_words_before(text, s)), *_right("id", *_words_after(text, e)))))
 
 
 def _word_start(text: str, end: int) -> int:
@@ -345,40 +373,42 @@ def _word_start(text: str, end: int) -> int:
     return end
 
 
-def _places(text: str) -> Iterator[tuple[str, int, int]]:
+def _places(text: str, low: str) -> Iterator[tuple[str, int, int]]:
     """Street addresses without their towns, by form."""
     if not _DIGIT.search(text):
         return
-    low = text.lower()
-    if len(low) != len(text):  # places must stay the same
-        low = "".join(x if len(x) == 1 else ch for ch, x in ((ch, ch.lower()) for ch in text))
     doors: dict[int, int] | None = None
     for m in _HOUSE.finditer(low):
         if doors is None:
             doors = {d.end(): d.start() for d in _DOOR.finditer(low)}
         yield "house", doors.get(m.start(), m.start()), m.end()
-    for m in _STRASSE.finditer(text):
-        start, words = _word_start(text, m.start()), 0
-        if start == m.start() and (start == 0 or text[start - 1] not in " -"):
+    for m in _NUMBER_OF.finditer(text):
+        way = m.start() - (text[m.start() - 1] == " ")
+        if not low.endswith(_WAY_ENDS, 0, way):
             continue
+        end = m.end("n")
+        start, words = _word_start(text, way - 1), 0
+        own = low[start:way] in _WAY_ENDS
         while words < 3:
-            if start < m.start():
+            if not own or words:
                 yield f"strasse{words}", start, m.end()
                 if m["x"] and m["x"][0] == " ":
-                    yield f"strasse{words}", start, m.end("n")
+                    yield f"strasse{words}", start, end
             if start < 2 or text[start - 1] != " " or not text[start - 2].isalnum():
                 break
             start = _word_start(text, start - 1)
             words += 1
             if not text[start].isupper():
                 break
-    for name, form in (("am", _AM), ("calle", _CALLE), ("rue", _RUE), ("box", _BOX)):
-        for m in form.finditer(text):
-            yield name, m.start(), m.end()
+    for name, form, words in _FORMS:
+        # each form holds one of its words, which is found faster than the form
+        if any(w in (text if name == "am" else low) for w in words):
+            for m in form.finditer(text):
+                yield name, m.start(), m.end()
 
 
-def _addresses(text: str, out: list[Candidate]) -> None:
-    for name, s, e in _places(text):
+def _addresses(text: str, low: str, out: list[Candidate]) -> None:
+    for name, s, e in _places(text, low):
         ends = [(e, "", "")]
         at, tail, towns = e, "", 0
         # postcode, town of up to three words, state: each further piece is another reading
@@ -397,7 +427,7 @@ def _addresses(text: str, out: list[Candidate]) -> None:
         kinds = "".join(sorted({form_class(w) for w in named[:-1]})) if named else ""
         for k, (end, tail, last) in enumerate(ends):
             more = ends[k + 1][1][len(tail) :] + ends[k + 1][2] if k + 1 < len(ends) else "$"
-            out.append((s, end, "address", (_group(f"addr:{name}", f"addr:{name}:{lower}", f"addr:{name}:w{kinds}", f"addr:{lower}:small{'a' in kinds}", f"addr:{name}:{case if len(case) < 7 else 'long'}", f"addr:{case[-2:]}:{inner[-1].isalpha()}", f"addr:tail:{tail}", f"addr:last:{last}", f"addr:tail:{tail}:{last}", f"addr:more:{more}", f"addr:more:{tail[-2:]}:{more}"), _left("addr", *_words_before(text, s)), _right("addr", *_words_after(text, end)))))
+            out.append((s, end, "address", (_group(f"addr:{name}", f"addr:{name}:{lower}", f"addr:{name}:w{kinds}", f"addr:{lower}:small{'a' in kinds}", f"addr:{name}:{case if len(case) < 7 else 'long'}", f"addr:{case[-2:]}:{inner[-1].isalpha()}", f"addr:tail:{tail}", f"addr:last:{last}", f"addr:tail:{tail}:{last}", f"addr:more:{more}", f"addr:more:{tail[-2:]}:{more}"), *_left("addr", *_words_before(text, s)), *_right("addr", *_words_after(text, end)))))
 
 
 def _local_before(text: str, at: int) -> int:
@@ -417,7 +447,7 @@ def _emails(text: str, out: list[Candidate]) -> None:
         if s < at and host:
             e = host.end()
             name, after = text[s:at].lower(), text[e : e + 2]
-            out.append((s, e, "email", (_group("email:plain", f"email:local:{name if name in ('git', 'root', 'noreply', 'www', 'svn', 'hg', 'admin') else '-'}", f"email:path:{after[:1] == ':' and after[1:].strip() != ''}"), _left("email", *_words_before(text, s)), _right("email", *_words_after(text, e)))))
+            out.append((s, e, "email", (_group("email:plain", f"email:local:{name if name in ('git', 'root', 'noreply', 'www', 'svn', 'hg', 'admin') else '-'}", f"email:path:{after[:1] == ':' and after[1:].strip() != ''}"), *_left("email", *_words_before(text, s)), *_right("email", *_words_after(text, e)))))
         at = text.find("@", at + 1)
     for m in _AT.finditer(text):
         host = _HIDDEN_HOST.match(text, m.end())
@@ -429,17 +459,18 @@ def _emails(text: str, out: list[Candidate]) -> None:
             dot = "mark" if re.search(r"[\[({<]dot", raw) else "word" if " dot " in raw else "none"
             deep = len(re.findall(_DOT, raw)) > 1
             sign = any(ch in local for ch in "._+-0123456789")
-            out.append((s, e, "email", (_group(f"email:hidden:{at_form}:{dot}", f"email:deep:{deep}:{at_form}:{dot}", f"email:sign:{sign}:{at_form}:{dot}"), _left("email", *_words_before(text, s)), _right("email", *_words_after(text, e)))))
+            out.append((s, e, "email", (_group(f"email:hidden:{at_form}:{dot}", f"email:deep:{deep}:{at_form}:{dot}", f"email:sign:{sign}:{at_form}:{dot}"), *_left("email", *_words_before(text, s)), *_right("email", *_words_after(text, e)))))
 
 
 def candidates(text: str) -> list[Candidate]:
     """All candidate segments with their whole-span features, by start."""
     out: list[Candidate] = []
+    low = _lower(text)
     _persons(text, out)
-    _titled_persons(text, out)
+    _titled_persons(text, low, out)
     _emails(text, out)
-    _numbers(text, out)
-    _addresses(text, out)
+    _numbers(text, low, out)
+    _addresses(text, low, out)
     out.sort(key=lambda c: (c[0], c[1], c[2]))
     return out
 
@@ -501,6 +532,8 @@ class Scorer:
         self.weights, self.known = weights, {}
 
     def __call__(self, group: tuple[str, ...]) -> float:
+        if len(group) == 1:
+            return self.weights.get(group[0], 0.0)
         got = self.known.get(group)
         if got is None:
             if len(self.known) > 1_000_000:
