@@ -92,21 +92,6 @@ def profile(rows: DataFrame, file_col: str, json_col: str, sketched: bool = True
     return raw.groupBy("file", "path", "kind").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), smallest.alias("sketch"))
 
 
-def deviations(profiled: DataFrame, shape: Shape) -> DataFrame:
-    """``file, path, change, kinds``: paths that deviate from the shape; change is ``missing``, ``added`` or ``retyped``.
-
-    A required path without a non-null value in the file is missing, also where the file has no messages; a path in neither list that has a
-    non-null value is added; a listed path with a value of another type is retyped.
-    """
-    expected = F.create_map(*[F.lit(x) for p, k in {**shape.required, **shape.optional}.items() for x in (p, k)])
-    seen = profiled.filter("path <> '' AND kind <> 'null'").groupBy("file", "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    want = F.element_at(expected, F.col("path"))
-    off = seen.withColumn("change", F.when(want.isNull(), "added").when(F.array_contains("kinds", want) & (F.size("kinds") == 1), F.lit(None)).otherwise("retyped")).filter("change IS NOT NULL")
-    files = profiled.filter("path = ''").select("file", F.explode(F.array(*[F.lit(p) for p in shape.required])).alias("path"))
-    missing = files.join(seen.select("file", "path"), ["file", "path"], "left_anti").select("file", "path", F.array().cast("array<string>").alias("kinds"), F.lit("missing").alias("change"))
-    return off.select("file", "path", "change", "kinds").unionByName(missing)
-
-
 def assign(cost: list[list[float]]) -> list[int]:
     """Column of each row in a cheapest perfect matching of the rows (rows <= columns): shortest augmenting paths with potentials."""
     n, m = len(cost), len(cost[0]) if cost else 0
@@ -157,45 +142,54 @@ def similarity(path_a: str, path_b: str, kind_ok: bool, length_a: float, length_
     return 0.35 * name + 0.25 * kind_ok + 0.2 * length + 0.2 * min(1.0, 2 * values)
 
 
-def renames(profiled: DataFrame, deviating: DataFrame, shape: Shape, threshold: float = 0.6) -> DataFrame:
-    """``file, path, renamed_to, score``: added paths that are new names of required ones, by a cheapest bipartite matching per file.
+def matched(profiled: DataFrame, shape: Shape, threshold: float = 0.6) -> DataFrame:
+    """``file, path, change, kinds, renamed_to, score`` of the paths at which a file deviates from the shape.
 
-    A required path's profile is taken over all files that have it. Paths that the file lacks altogether are preferred to those that only
-    some of its messages lack. Each file's few deviating paths are matched in one task.
+    The fields of each file are matched with those of the shape: fields of the same name first, the required fields and the file's other fields by
+    a cheapest bipartite matching on names, types, lengths and value sketches. A required field without a partner of its name that has a
+    non-null value is ``missing``, also in a file without messages; a field of the file in neither list is ``added``, and has a new name of the
+    required field it is matched with; a listed field with a value of another type is ``retyped``. A required path's profile is taken over all
+    files that have it. Files are compared each by itself, and only their profiles, which have a row per path and type.
     """
     listed = F.col("path").isin([*shape.required])
     smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sketch")))), 1, SKETCH)
     known = profiled.filter(listed & (F.col("kind") != "null")).groupBy("path").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), smallest.alias("sketch"))
     base = {r["path"]: (r["chars"] / r["n"], list(r["sketch"])) for r in known.collect()}  # one row per required path
-    required = dict(shape.required)
-    stats = profiled.filter("path <> '' AND kind <> 'null'").groupBy("file", "path").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.array_distinct(F.flatten(F.collect_list("sketch"))).alias("sketch"))
-    todo = deviating.filter("change IN ('missing', 'added')").join(stats, ["file", "path"], "left").select("file", "path", "change", "kinds", "n", "chars", "sketch")
+    required, wanted = dict(shape.required), {**shape.required, **shape.optional}
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        gone = set(group.loc[group["change"] == "missing", "path"])
-        new = group[group["change"] == "added"].sort_values("path").to_dict("records")
-        old, out = sorted(required), []
+        file, fields = group["file"].iloc[0], {}
+        for path, kind, n, chars, sketch in zip(group["path"], group["kind"], group["n"], group["chars"], group["sketch"]):
+            if path and kind != "null":
+                kinds, total, length, words = fields.get(path, ((), 0, 0, frozenset()))
+                fields[path] = ((*kinds, kind), total + n, length + chars, words | frozenset(sketch))
+        old, new = sorted(required), sorted(p for p in fields if p not in wanted)
+        partner: dict[str, tuple[str, float]] = {}
         if new:
             scores = []
             for p in old:
                 length, sketch = base.get(p, (0.0, []))
-                of = [similarity(p, a["path"], required[p] in list(a["kinds"]), length, a["chars"] / a["n"], sketch, sorted(a["sketch"])[:SKETCH]) for a in new]
-                scores.append([s + 0.1 * (p in gone and s > 0) for s in of])
-            size = max(len(old), len(new))
-            cost = [[1 - scores[i][j] if i < len(old) and j < len(new) else 1.0 for j in range(size)] for i in range(size)]
-            for i, j in enumerate(assign(cost)):
-                if i < len(old) and j < len(new) and scores[i][j] >= threshold:
-                    out.append((group["file"].iloc[0], new[j]["path"], old[i], float(scores[i][j])))
-        return pd.DataFrame(out, columns=["file", "path", "renamed_to", "score"])
-
-    return todo.groupBy("file").applyInPandas(match, "file string, path string, renamed_to string, score double")
+                of = [similarity(p, q, required[p] in fields[q][0], length, fields[q][2] / fields[q][1], sketch, sorted(fields[q][3])[:SKETCH]) for q in new]
+                scores.append([x + 0.1 * (p not in fields and x > 0) for x in of])
+            # a required field may stay alone at the cost of no likeness
+            for i, j in enumerate(assign([[1 - x for x in row] + [1.0] * len(old) for row in scores])):
+                if j < len(new) and scores[i][j] >= threshold:
+                    partner[new[j]] = (old[i], float(scores[i][j]))
+        out = [(file, p, "missing", [], None, None) for p in old if p not in fields]
+        for p, (kinds, *_) in fields.items():
+            if p not in wanted:
+                out.append((file, p, "added", sorted(kinds), *partner.get(p, (None, None))))
+            elif set(kinds) != {wanted[p]}:
+                out.append((file, p, "retyped", sorted(kinds), None, None))
+        return pd.DataFrame(out, columns=["file", "path", "change", "kinds", "renamed_to", "score"])
+
+    return profiled.groupBy("file").applyInPandas(match, "file string, path string, change string, kinds array<string>, renamed_to string, score double")
 
 
 def drift_report(rows: DataFrame, file_col: str, json_col: str, shape: Shape) -> DataFrame:
-    """``file, path, change, kinds, renamed_to, score``: every deviation of every file, added paths with what they are a new name of."""
-    profiled = materialise(profile(rows, file_col, json_col), "profile")
-    deviating = deviations(profiled, shape)
-    return deviating.join(renames(profiled, deviating, shape), ["file", "path"], "left")
+    """``file, path, change, kinds, renamed_to, score``: every deviation of every file, added paths with what they are a new name of. A null file
+    name is a file of its own."""
+    return matched(materialise(profile(rows, file_col, json_col), "profile"), shape)
 
 
 def _as_text(value: object) -> str | None:

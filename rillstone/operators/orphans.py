@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,20 +92,20 @@ def direct_orphans(references: list[Reference], targets: list[Target]) -> DataFr
     return out.withColumn("orphaned", F.lit("direct")).withColumn("round", F.lit(0))
 
 
-def orphan_cascade(references: list[Reference], targets: list[Target], rounds: int = 20) -> DataFrame:
+def orphan_cascade(references: list[Reference], targets: list[Target]) -> DataFrame:
     """Direct orphans, and the references that inherit their fate: ``src_table, src_key, src_field, ref_key, at, orphaned, round``.
 
     A reference to a living record is orphaned indirectly if that record is itself an orphan. Each round semi-joins the references down
     the foreign-key graph with the keys first orphaned in the round before, until nothing is added (cycles end there, too). A record counts
-    as orphaned from its first orphaned reference; its other references are still judged each on their own. ``rounds`` only guards against
-    an endless loop; reaching it raises an error.
+    as orphaned from its first orphaned reference; its other references are still judged each on their own. Every round adds references or is
+    the last, so the loop ends however deep the graph is.
     """
     one = ["src_table", "src_key", "src_field", "ref_key"]
     keys = lambda df: df.select("src_table", fold_key(F.col("own_key")).alias("k")).filter("k IS NOT NULL").distinct()
     found = materialise(direct_orphans(references, targets), "orphans")
     all_found, newly = [found], keys(found)
     seen, spread = found.select(*one).distinct(), newly
-    for n in range(1, rounds + 1):
+    for n in count(1):
         parts = []
         for ref in references:
             if not any(r.table == ref.target and r.own_key for r in references):
@@ -129,8 +130,6 @@ def orphan_cascade(references: list[Reference], targets: list[Target], rounds: i
         seen = seen.unionByName(fresh.select(*one).distinct())
         newly = keys(fresh).join(spread, ["src_table", "k"], "left_anti")
         spread = spread.unionByName(newly)
-    else:
-        raise RuntimeError(f"the cascade did not settle within {rounds} rounds")
     out = all_found[0]
     for part in all_found[1:]:
         out = out.unionByName(part)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -56,59 +58,62 @@ def content_state(record: dict) -> str:
     return "t" * has_text + "a" * has_file
 
 
-def _token(record: dict, name: str, whole: bool) -> str:
-    """What the cast of a cell depends on: its JSON type and, if whole, its value; of other strings whether they are empty."""
-    if name not in record:
-        return "absent"
-    v = record[name]
-    k = kind_of(v)
-    if k == "string":
-        return "s:" + v if whole else "s:" + "x" * (v != "")
-    if k == "number":
-        return "f" if isinstance(v, float) else "i:" + ("1" if v >= 1 else "0")
-    return k
+#: The text of a cell whose name the record does not have; no JSON text is empty.
+ABSENT = ""
+REQUIRED, OPTIONAL = ("event_id", "record_id", "session_id", "record_type"), ("resume_of", "tool_call_id", "boundary")
+
+
+def _raw(record: dict, name: str) -> str:
+    return json.dumps(record[name], separators=(",", ":")) if name in record else ABSENT
 
 
 def cells_of(record: dict) -> list[tuple[str, str]]:
-    """The cells of a record that its rules look at."""
-    cells = [("sender", _token(record, "sender", True)), ("record_type", "s:malformed" if record.get("record_type") == "malformed" else "other"), ("content", content_state(record))]
+    """``(column, text)`` of the cells that a record's rules look at, as they stand in the record."""
+    cells = [("sender", _raw(record, "sender")), ("malformed", _raw(record, "record_type")), ("content", _raw(record, "content"))]
+    if _captured(record):
+        cells += [(n, _raw(record, n)) for n in (*REQUIRED, "logical_seq", *OPTIONAL, "timestamp")]
+    return cells
+
+
+def _captured(record: dict) -> bool:
     sender, kind = record.get("sender"), record.get("record_type")
     folded = kind.strip().lower() if isinstance(kind, str) else ""
-    owner = isinstance(sender, str) and sender.strip().lower() in ("human", "owner")
-    if owner and record.get("boundary") != ECHO and folded not in UNCAPTURED_TYPES:
-        cells += [(f"required.{n}", _token(record, n, False)) for n in ("event_id", "record_id", "session_id", "record_type")]
-        cells.append(("logical_seq", _token(record, "logical_seq", False)))
-        cells += [(f"optional.{n}", _token(record, n, False)) for n in ("resume_of", "tool_call_id", "boundary")]
-        cells.append(("timestamp", _token(record, "timestamp", True)))
-        shape = "resumed" if record.get("resume_of") is not None else folded if folded in TEXT_TYPES | {"message"} else "other"
-        cells.append(("shape", f"{shape}:{content_state(record)}"))
-    return cells
+    return isinstance(sender, str) and sender.strip().lower() in ("human", "owner") and record.get("boundary") != ECHO and folded not in UNCAPTURED_TYPES
+
+
+def shape_fault(record: dict) -> str | None:
+    """The structural check across the fields of a captured record: whether there is the text or attachment that its type asks for."""
+    if not _captured(record):
+        return None
+    kind = record.get("record_type")
+    folded, state = kind.strip().lower() if isinstance(kind, str) else "", content_state(record)
+    if record.get("resume_of") is not None or folded in TEXT_TYPES:
+        return None if "t" in state else "INVALID_SHAPE"
+    return None if folded == "message" and state else "INVALID_SHAPE"
 
 
-def cast_reason(column: str, token: str) -> str | None:
-    """Why a distinct cell cannot be cast; None if it can."""
+def cast_reason(column: str, text: str) -> str | None:
+    """Why a distinct cell cannot be cast to what its column asks for; None if it can."""
+    there = text != ABSENT
+    value = strict_loads(text) if there else None
+    full = isinstance(value, str) and value != ""
     if column == "sender":
-        return None if token.startswith("s:") and token[2:].strip() else "MISSING_ACTOR"
-    if column == "record_type":
-        return "MALFORMED_RECORD" if token == "s:malformed" else None
+        return None if full and value.strip() else "MISSING_ACTOR"
+    if column == "malformed":
+        return "MALFORMED_RECORD" if value == "malformed" else None
     if column == "content":
-        return "INVALID_ATTACHMENT" if token == "invalid" else None
-    if column.startswith("required."):
-        return None if token == "s:x" else "MISSING_REQUIRED_FIELD"
+        return "INVALID_ATTACHMENT" if content_state({"content": value}) == "invalid" else None
+    if column in REQUIRED:
+        return None if full else "MISSING_REQUIRED_FIELD"
     if column == "logical_seq":
-        return None if token == "i:1" else "MISSING_REQUIRED_FIELD"
-    if column.startswith("optional."):
-        return None if token in ("absent", "null", "s:x") else "MISSING_REQUIRED_FIELD"
-    if column == "timestamp":
-        return None if token.startswith("s:") and in_profile(token[2:]) else "INVALID_TIMESTAMP"
-    shape, _, state = token.partition(":")
-    if shape == "message":
-        return None if state else "INVALID_SHAPE"
-    return None if shape != "other" and "t" in state else "INVALID_SHAPE"
+        return None if type(value) is int and value >= 1 else "MISSING_REQUIRED_FIELD"
+    if column in OPTIONAL:
+        return None if value is None or full else "MISSING_REQUIRED_FIELD"
+    return None if in_profile(value) else "INVALID_TIMESTAMP"
 
 
 def _parser(keys: int, names: list[str]):
-    cell = pa.struct([("column", pa.string()), ("token", pa.string())])
+    cell = pa.struct([("column", pa.string()), ("digest", pa.binary()), ("text", pa.string())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,10 +123,11 @@ def _parser(keys: int, names: list[str]):
                 try:
                     value = strict_loads(text or "")
                     if isinstance(value, dict):
-                        found = [{"column": c, "token": t} for c, t in cells_of(value)]
+                        reason = shape_fault(value)
+                        found = [{"column": c, "digest": blake2b(t.encode(), digest_size=16).digest(), "text": t} for c, t in cells_of(value)]
                     else:
                         reason = "NON_OBJECT_JSON"
-                except ValueError:
+                except (ValueError, RecursionError):
                     reason = "MALFORMED_JSON"
                 reasons.append(reason)
                 cells.append(found)
@@ -130,32 +136,33 @@ def _parser(keys: int, names: list[str]):
     return parse
 
 
-def _reasons(column: pd.Series, token: pd.Series) -> pd.Series:
-    return pd.Series([cast_reason(c, t) for c, t in zip(column, token)], dtype=object)
+def _reasons(column: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([cast_reason(c, t) for c, t in zip(column, text)], dtype=object)
 
 
 def invalid_values(cells: DataFrame) -> DataFrame:
-    """``column, token, reason`` of the distinct cells that cannot be cast: each distinct value is cast once."""
-    return cells.distinct().withColumn("reason", F.pandas_udf(_reasons, "string")("column", "token")).filter("reason IS NOT NULL")
+    """``column, digest, reason`` of the distinct cells ``column, digest, text`` that cannot be cast: each distinct value of a column is cast once."""
+    return cells.distinct().withColumn("reason", F.pandas_udf(_reasons, "string")("column", "text")).filter("reason IS NOT NULL").select("column", "digest", "reason").distinct()
 
 
 def reject_lines(lines: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """``keys..., reason``: one row per distinct key of lines that must be rejected.
 
-    Structural faults are found by a strict parse of each line; all other faults come from a dictionary of invalid distinct values, joined
-    back to the lines. Null and blank lines are MALFORMED_JSON. Of several reasons the first of REASONS is given. An empty input gives no
+    Structural faults (no strict JSON, no object, a shape that does not fit the type) are found by a strict parse of each line; all other faults
+    come from the cells as they stand: each distinct value of a column is cast once, and the dictionary of invalid values with their reasons is
+    joined back to the lines by digests of 128 bits. Null and blank lines are MALFORMED_JSON. Of several reasons the first of REASONS is given. An empty input gives no
     rows; columns that ``lines`` has besides ``keys`` and ``text`` are not looked at.
     """
     chosen = lines.select(*keys, F.col(text).alias("__raw"))
     names = [*keys, "__structure", "__cells"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]] + ["`__structure` string", "`__cells` array<struct<column:string,token:string>>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]] + ["`__structure` string", "`__cells` array<struct<column:string,digest:binary,text:string>>"])
     parsed = materialise(chosen.mapInArrow(_parser(len(keys), names), schema), "parsed")
     structural = parsed.filter("__structure IS NOT NULL").select(*keys, F.col("__structure").alias("reason"))
-    dictionary = materialise(invalid_values(parsed.select(F.explode("__cells").alias("c")).select("c.column", "c.token")), "invalid")
+    dictionary = materialise(invalid_values(parsed.select(F.explode("__cells").alias("c")).select("c.*")), "invalid")
     small = dictionary.limit(DICTIONARY_BROADCAST_ROWS + 1).count() <= DICTIONARY_BROADCAST_ROWS
-    dictionary = dictionary.toDF("__column", "__token", "reason")
-    cells = parsed.select(*keys, F.explode("__cells").alias("__c")).select(*keys, F.col("__c.column").alias("__column"), F.col("__c.token").alias("__token"))
-    found = cells.join(F.broadcast(dictionary) if small else dictionary, ["__column", "__token"]).select(*keys, "reason")
+    dictionary = dictionary.toDF("__column", "__digest", "reason")
+    cells = parsed.select(*keys, F.explode("__cells").alias("__c")).select(*keys, F.col("__c.column").alias("__column"), F.col("__c.digest").alias("__digest"))
+    found = cells.join(F.broadcast(dictionary) if small else dictionary, ["__column", "__digest"]).select(*keys, "reason")
     order = F.create_map(*[F.lit(x) for i, r in enumerate(REASONS) for x in (r, i)])
     first = structural.unionByName(found).groupBy(*keys).agg(F.min(order[F.col("reason")]).alias("__rank"))
     return first.select(*keys, F.element_at(F.array(*map(F.lit, REASONS)), F.col("__rank") + 1).alias("reason"))

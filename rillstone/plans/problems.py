@@ -22,8 +22,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    bad = rejects.reject_lines(table(spark, sf, "occurrences"), "raw_text", ["stream_id", "occurrence_id"])
-    return bad.groupBy("stream_id", "reason").agg(F.count("*").alias("n_lines"))
+    """Rejected lines by stream and reason, beside what the capture tools said of them."""
+    lines = table(spark, sf, "occurrences").withColumn("claimed", F.lower(F.trim(F.coalesce("parse_status", F.lit("")))))
+    bad = rejects.reject_lines(lines, "raw_text", ["stream_id", "occurrence_id", "claimed"])
+    return bad.groupBy("stream_id", "claimed", "reason").agg(F.count("*").alias("n_lines"))
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[list[orphans.Reference], list[orphans.Target]]:
@@ -38,8 +40,8 @@ def _references(spark: SparkSession, sf: str) -> tuple[list[orphans.Reference],
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    direct = orphans.direct_orphans(*_references(spark, sf))
-    return direct.select("src_table", "src_key", "src_field", "ref_key").distinct()
+    cascade = orphans.orphan_cascade(*_references(spark, sf))
+    return cascade.filter("orphaned = 'direct'").select("src_table", "src_key", "src_field", "ref_key").distinct()
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,5 +104,5 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_report, p4_found, p4_tables, p5_found, p5_renames, p5_unified, p6_found, p6_status, p7_found)}
 _SHAPE = drift.message_shape()
 SQL: dict[str, str] = {
-    "p3_found": problem_sql.P3_FOUND, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.p5_found(_SHAPE.required, _SHAPE.optional, _SHAPE.prefix), "p7_found": problem_sql.P7_FOUND,
+    "p3_found": problem_sql.P3_FOUND, "p3_report": problem_sql.P3_REPORT, "p4_found": problem_sql.P4_FOUND, "p5_found": problem_sql.p5_found(_SHAPE.required, _SHAPE.optional, _SHAPE.prefix), "p7_found": problem_sql.P7_FOUND,
 }

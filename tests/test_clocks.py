@@ -1,8 +1,12 @@
+import datetime as dt
+import zoneinfo
+
 import pytest
 from conftest import rows
 
 from rillstone.functions.instants import read_time
-from rillstone.operators.clocks import normalise_times, zone_intervals
+from rillstone.operators import clocks
+from rillstone.operators.clocks import normalise_times, year_segments, zone_intervals
 
 
 @pytest.mark.parametrize(
@@ -33,5 +37,28 @@ def test_empty(spark):
 
 
 def test_intervals_touch_in_utc():
-    spans = zone_intervals("America/New_York", 2024, 2026)
-    assert all(a[1] - a[2] == b[0] - b[2] for a, b in zip(spans, spans[1:]))
+    spans = zone_intervals("America/New_York", 1704067200, 1798761600)
+    assert len(spans) == 7 and all(a[1] - a[2] == b[0] - b[2] for a, b in zip(spans, spans[1:]))
+
+
+def test_segments_are_disjoint():
+    for zone in ("Europe/Berlin", "Australia/Lord_Howe", "UTC", "Pacific/Apia"):
+        for year in (-50, 40, 41, 55, 56):
+            found = year_segments(zone, year)
+            assert found and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    assert any(o is None for _, _, o in year_segments("Europe/Berlin", 55))
+
+
+def test_every_year_has_its_offset(spark):
+    data = [(1, "1910-06-01 12:00:00", "Europe/Berlin"), (2, "2150-06-01 12:00:00", "Europe/Berlin"), (3, "0001-01-01 00:00:00", "UTC"), (4, "9999-12-31 23:59:59", "Asia/Tokyo"), (5, "1700-01-01 00:00:00", "Europe/Paris"), (6, "2150-03-29 02:30:00", "Europe/Berlin")]
+    got = {r["k"]: (r["status"], r["utc_us"]) for r in normalise_times(spark.createDataFrame(data, "k int, v string, z string"), ["k"], "v", "z").collect()}
+    of = lambda *at: int(dt.datetime(*at, tzinfo=zoneinfo.ZoneInfo("Europe/Berlin")).timestamp()) * 1_000_000
+    assert got[1] == ("instant", of(1910, 6, 1, 12)) and got[2] == ("instant", of(2150, 6, 1, 12))
+    assert got[3] == ("instant", -62135596800000000) and got[4] == ("instant", 253402268399000000) and got[5][0] == "instant" and got[6] == ("nonexistent", None)
+
+
+def test_intervals_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "2026-10-25 02:30:00", "Europe/Berlin"), (2, "2026-07-01 12:00:00", "Europe/Berlin")], "k int, v string, z string")
+    want = rows(normalise_times(df, ["k"], "v", "z"))
+    monkeypatch.setattr(clocks, "INTERVAL_BROADCAST_ROWS", 0)
+    assert rows(normalise_times(df, ["k"], "v", "z")) == want
