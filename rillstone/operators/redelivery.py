@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rillstone.operators.similarity import connected
 from rillstone.runtime import materialise, scratch_path
 
 
@@ -19,41 +20,61 @@ def identify(deliveries: DataFrame) -> DataFrame:
     return deliveries.withColumn("id_key", F.when(folded != "", folded)).withColumn("set_key", F.when(F.col("source_record_ids").isNotNull(), F.sha2(F.to_json(members), 256)))
 
 
-def message_keys(identities: DataFrame, rounds: int = 50) -> DataFrame:
+def message_keys(identities: DataFrame) -> DataFrame:
     """``delivery_id, message``: which message each delivery carries, from ``delivery_id, id_key, set_key``.
 
     Equal identifiers mean one message. A set of record ids joins deliveries if one of those with that set has no identifier; identifiers
-    and such sets form a bipartite graph whose components are the messages. A delivery with neither is a message of its own.
+    and such sets form a bipartite graph whose components, found by labels and pointer jumping, are the messages. A delivery with neither is a
+    message of its own.
     """
     loose = identities.filter("id_key IS NULL AND set_key IS NOT NULL").select("set_key").distinct()
-    edges = identities.filter("id_key IS NOT NULL AND set_key IS NOT NULL").select("id_key", "set_key").distinct().join(loose, "set_key", "left_semi")
-    edges = materialise(edges, "edges")
-    label = edges.select("id_key", "set_key", F.concat(F.lit("s:"), "set_key").alias("c"))
-    for _ in range(rounds):
-        by_id = label.groupBy("id_key").agg(F.min("c").alias("c"))
-        label = label.drop("c").join(by_id, "id_key")
-        by_set = label.groupBy("set_key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        moved = label.join(by_set, "set_key").select("id_key", "set_key", F.col("low").alias("c"), (F.col("low") != F.col("high")).alias("moved"))
-        label = materialise(moved, "labels")
-        if not label.filter("moved").limit(1).count():
-            break
-        label = label.drop("moved")
+    links = identities.filter("id_key IS NOT NULL AND set_key IS NOT NULL").select("id_key", "set_key").distinct().join(loose, "set_key", "left_semi")
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    links = materialise(links.select(named("i:", "id_key").alias("a"), named("s:", "set_key").alias("b")), "links")
+    label = connected(links.select(F.col("a").alias("item_id")).unionByName(links.select(F.col("b").alias("item_id"))).distinct(), links) if not links.isEmpty() else None
+    of_set, of_id = named("s:", "set_key"), named("i:", "id_key")
+    keyed = identities.select("delivery_id", of_id.alias("i"), of_set.alias("s"))
+    loose = loose.select(of_set.alias("s"))
+    if label is not None:
+        keyed = keyed.join(label.toDF("i", "of_id"), "i", "left")
+        loose = loose.join(label.toDF("s", "linked"), "s", "left").select("s", F.coalesce("linked", "s").alias("of_set"))
     else:
-        raise RuntimeError(f"identifiers did not settle within {rounds} rounds")
-    ids = label.groupBy("id_key").agg(F.min("c").alias("of_id"))
-    sets = label.groupBy("set_key").agg(F.min("c").alias("linked")).join(loose, "set_key", "right").select("set_key", F.coalesce("linked", F.concat(F.lit("s:"), "set_key")).alias("of_set"))
-    keyed = identities.select("delivery_id", "id_key", "set_key").join(ids, "id_key", "left").join(sets, "set_key", "left")
+        keyed, loose = keyed.withColumn("of_id", F.lit(None).cast("string")), loose.withColumn("of_set", F.col("s"))
     own = F.concat(F.lit("d:"), F.col("delivery_id").cast("string"))
-    return keyed.select("delivery_id", F.coalesce("of_set", "of_id", F.concat(F.lit("i:"), "id_key"), own).alias("message"))
+    return keyed.join(loose, "s", "left").select("delivery_id", F.coalesce("of_set", "of_id", "i", own).alias("message"))
+
+
+#: Directories of the identifier index, by hash of the identifier, and how many parts each version of it may have before they are written as one.
+INDEX_BUCKETS, INDEX_PARTS = 64, 8
+_IDENTITY = ["delivery_id", "id_key", "set_key", "store_period"]
+
+
+_INDEX = "of string, key string, delivery_id bigint, id_key string, set_key string, store_period string, bucket int"
+
+
+def _entries(identities: DataFrame) -> DataFrame:
+    """What the index holds of deliveries: a row for each identifier they have."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("key")) for c in ("id_key", "set_key")]), lambda x: x["key"].isNotNull())
+    return identities.withColumn("x", F.explode(pairs)).select("x.of", "x.key", *_IDENTITY).withColumn("bucket", _bucket(F.col("key")))
+
+
+class MergedMeanwhile(RuntimeError):
+    """Another merge has published the version that this one was about to publish."""
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(INDEX_BUCKETS)).cast("int")
 
 
 class DeliveryStore:
     """Winners of all messages seen so far, in partitions by period of delivery, with an identifier index over every delivery.
 
     A version is a manifest file naming the directory of each partition and the parts of the index. ``merge`` looks the incoming
-    identifiers up in the index, reads only the partitions that hold deliveries of the same messages, recomputes their winners, writes the
-    changed partitions to new directories and then renames a new manifest into place: readers see the old or the new version, never a
-    mixture. The winner of a message is its delivery with the smallest ``delivery_id``.
+    identifiers up in the index, whose directories are hash buckets of the identifiers, reads only the partitions that hold deliveries of the same
+    messages, recomputes their winners, writes the changed partitions to new directories and then renames a manifest of the next version into place:
+    readers see the old or the new version, never a mixture. A rename does not replace a manifest, so of two merges that began at the same version
+    one publishes and the other begins again. Parts of the index are compacted when there are more than ``INDEX_PARTS``. The winner of a message is its
+    delivery with the smallest ``delivery_id``.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -65,20 +86,28 @@ class DeliveryStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
     def manifest(self) -> dict:
-        if not self._fs.exists(self._p("MANIFEST")):
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._p())] if self._fs.exists(self._p()) else []
+        versions = sorted(n for n in names if n.startswith("MANIFEST-"))
+        if not versions:
             return {"version": 0, "partitions": {}, "index": [], "schema": None}
-        return json.loads(self.spark.read.text(f"{self.path}/MANIFEST", wholetext=True).head()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/{versions[-1]}", wholetext=True).head()[0])
 
     def _publish(self, manifest: dict) -> None:
-        temp = self._p(f"MANIFEST.{uuid.uuid4().hex}")
+        temp = self._p(f".manifest.{uuid.uuid4().hex}")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         array = self.spark.sparkContext._gateway.new_array(options, 1)
-        array[0] = options.OVERWRITE
+        array[0] = options.NONE
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(temp, self._p("MANIFEST"), array)
+        try:
+            context.rename(temp, self._p(f"MANIFEST-{manifest['version']:012d}"), array)
+        except Exception as e:
+            self._fs.delete(temp, False)
+            if "FileAlreadyExists" in str(e):
+                raise MergedMeanwhile(manifest["version"]) from e
+            raise
 
     def winners(self) -> DataFrame | None:
         """The kept deliveries, with the store's columns ``id_key``, ``set_key`` and ``store_period``."""
@@ -86,8 +115,16 @@ class DeliveryStore:
         return self._read(m, sorted(m["partitions"]))
 
     def index(self) -> DataFrame | None:
-        m = self.manifest()
-        return self.spark.read.parquet(*m["index"]) if m["index"] else None
+        """``of, key, delivery_id, id_key, set_key, store_period, bucket``: a row per delivery and identifier."""
+        return self._index_of(self.manifest())
+
+    def _index_of(self, m: dict) -> DataFrame | None:
+        # parts are read one by one, so that the buckets of each are its partitions
+        parts = [self.spark.read.schema(_INDEX).parquet(p) for p in m["index"]]
+        out = parts[0] if parts else None
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def _read(self, m: dict, periods: list[str]) -> DataFrame | None:
         paths = [m["partitions"][p] for p in periods if p in m["partitions"]]
@@ -96,49 +133,62 @@ class DeliveryStore:
     def merge(self, incoming: DataFrame) -> dict:
         """Merge a batch; returns ``{"version", "affected", "rewritten"}``. Deliveries that the store has seen already change nothing. Columns of
         the batch besides those that identify are kept, but for ones named ``id_key``, ``set_key`` or ``store_period``, which the store sets."""
-        m, token = self.manifest(), uuid.uuid4().hex
         new = identify(incoming).withColumn("store_period", F.coalesce(F.date_format("delivered_at", "yyyy-MM"), F.lit("none")))
-        new = materialise(new.dropDuplicates(["delivery_id"]), "incoming")
-        identity = ["delivery_id", "id_key", "set_key", "store_period"]
-        old_index = self.index()
+        if not new.groupBy("delivery_id").count().filter("count > 1").isEmpty():
+            new = materialise(new.dropDuplicates(["delivery_id"]), "incoming")
+        identities = materialise(new.select(*_IDENTITY), "identities")
+        while True:
+            try:
+                return self._merged(new, identities)
+            except MergedMeanwhile:
+                continue
+
+    def _merged(self, new: DataFrame, identities: DataFrame) -> dict:
+        m, token = self.manifest(), uuid.uuid4().hex
+        old_index = self._index_of(m)
         if old_index is None:
-            related, affected = new.select(*identity), set()
+            related, affected = identities, set()
         else:
-            new = new.join(old_index.select("delivery_id"), "delivery_id", "left_anti")
-            related = self._related(new.select(*identity), old_index)
+            related = self._related(identities, old_index)
             affected = {r[0] for r in related.select("store_period").distinct().collect()}  # periods: bounded by time, not by rows
-        keys = message_keys(related.select("delivery_id", "id_key", "set_key"))
+        keys = message_keys(related)
         winning = keys.groupBy("message").agg(F.min("delivery_id").alias("delivery_id")).select("delivery_id")
         stored = self._read(m, sorted(affected))
-        touched = related.select("delivery_id")
-        payload = new
-        if stored is not None:
-            payload = new.unionByName(stored.withColumn("fresh", F.lit(False)), allowMissingColumns=True).drop("fresh")
-            kept = stored.join(touched, "delivery_id", "left_anti")
-            result = payload.join(winning, "delivery_id", "left_semi").unionByName(kept)
+        if stored is None:
+            result = new.join(winning, "delivery_id", "left_semi")
         else:
-            result = payload.join(winning, "delivery_id", "left_semi")
+            unseen = new.join(stored.select("delivery_id"), "delivery_id", "left_anti")
+            # what is stored stays unless its message has another winner
+            lost = related.select("delivery_id").join(winning, "delivery_id", "left_anti")
+            result = unseen.join(winning, "delivery_id", "left_semi").unionByName(stored.join(lost, "delivery_id", "left_anti"), allowMissingColumns=True)
         staged = f"{self.path}/data-{token}"
-        result.dropDuplicates(["delivery_id"]).withColumn("store_part", F.col("store_period")).write.partitionBy("store_part").option("compression", "zstd").parquet(staged)
+        result.withColumn("store_part", F.col("store_period")).write.partitionBy("store_part").option("compression", "zstd").parquet(staged)
         entries = {s.getPath().getName().partition("=")[2]: f"{staged}/{s.getPath().getName()}" for s in self._fs.listStatus(self._p(f"data-{token}")) if s.getPath().getName().startswith("store_part=")}
-        indexed = f"{self.path}/index-{token}"
-        new.select(*identity).write.option("compression", "zstd").parquet(indexed)
         partitions = {p: d for p, d in m["partitions"].items() if p not in affected} | entries
-        self._publish({"version": m["version"] + 1, "partitions": partitions, "index": [*m["index"], indexed], "schema": m["schema"] or result.schema.jsonValue()})
+        index = [*m["index"], self._write_index(_entries(identities), f"index-{token}")]
+        if len(index) > INDEX_PARTS:
+            index = [self._write_index(self._index_of({"index": index}).dropDuplicates(["of", "key", "delivery_id"]), f"compact-{token}")]
+        self._publish({"version": m["version"] + 1, "partitions": partitions, "index": index, "schema": m["schema"] or result.schema.jsonValue()})
         return {"version": m["version"] + 1, "affected": sorted(affected), "rewritten": sorted(entries)}
 
-    def _related(self, new: DataFrame, index: DataFrame, rounds: int = 50) -> DataFrame:
-        """The new identities and all indexed ones that may carry the same messages, found by repeated lookup until none is added."""
+    def _write_index(self, entries: DataFrame, name: str) -> str:
+        entries.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return f"{self.path}/{name}"
+
+    def _related(self, new: DataFrame, index: DataFrame) -> DataFrame:
+        """The new identities and all indexed ones that may carry the same messages, found by repeated lookup until none is added. Only the buckets of
+        the identifiers asked for are read."""
         found, fresh = new, new
-        for _ in range(rounds):
-            ids = fresh.select("id_key").filter("id_key IS NOT NULL").distinct()
-            sets = fresh.select("set_key").filter("set_key IS NOT NULL").distinct()
-            hit = index.join(ids, "id_key", "left_semi").unionByName(index.join(sets, "set_key", "left_semi"))
-            fresh = materialise(hit.dropDuplicates(["delivery_id"]).join(found.select("delivery_id"), "delivery_id", "left_anti").select(*new.columns), "related")
-            if not fresh.limit(1).count():
+        while True:
+            hit = None
+            for key in ("id_key", "set_key"):
+                asked = fresh.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), _bucket(F.col(key)).alias("bucket")).distinct()
+                part = index.filter(F.col("of") == key).join(asked, ["bucket", "key"], "left_semi")
+                hit = part if hit is None else hit.unionByName(part)
+            fresh = materialise(hit.select(*new.columns).dropDuplicates(["delivery_id"]).join(found.select("delivery_id"), "delivery_id", "left_anti"), "related")
+            if fresh.isEmpty():
                 return materialise(found, "found")
             found = found.unionByName(fresh)
-        raise RuntimeError(f"the lookup did not settle within {rounds} rounds")
 
 
 def redelivered(deliveries: DataFrame, cut: float = 0.9) -> DataFrame:

@@ -42,10 +42,15 @@ def jaccard_pairs(items: DataFrame, num: int, den: int) -> DataFrame:
 def containment_pairs(items: DataFrame, num: int, den: int, floor: int) -> DataFrame:
     """``a, b, shared, na, nb`` with at least ``floor`` shared tokens that are num/den of the smaller set.
 
-    The rarest of ``floor`` shared tokens is in neither item among its ``floor - 1`` most frequent ones.
+    Of the m = max(floor, ceil(n * num / den)) tokens that the smaller set of n shares, one is among its ``n - m + 1`` rarest: these few are joined
+    with all tokens of the sets that are no smaller.
     """
-    prefix = _rarest_first(items).filter(F.col("pos") <= F.col("size") - (floor - 1))
-    return _verify(_candidates(prefix), items).filter(F.expr(f"shared >= {floor} AND shared * {den} >= {num} * least(na, nb)"))
+    ordered = _rarest_first(items).filter(f"size >= {floor}")
+    need = f"greatest({floor}, CAST((size * {num} + {den - 1}) DIV {den} AS INT))"
+    probe = ordered.filter(F.expr(f"pos <= size - {need} + 1")).select("token", F.col("item_id").alias("small"), F.col("size").alias("ns"))
+    index = ordered.select("token", F.col("item_id").alias("large"), F.col("size").alias("nl"))
+    met = probe.join(index, "token").filter("ns < nl OR (ns = nl AND small < large)").select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b")).distinct()
+    return _verify(met, items).filter(F.expr(f"shared >= {floor} AND shared * {den} >= {num} * least(na, nb)"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
@@ -66,42 +71,37 @@ def overlap_pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> Data
     return pairs.join(ta, "a").join(tb, "b").filter(shared * den >= F.lit(num) * F.least(F.size("ta"), F.size("tb"))).select("a", "b")
 
 
-def connected(items: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """``item_id, cluster_id``: single-link clusters, named after their smallest member; the order of the items plays no part."""
+def connected(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``item_id, cluster_id``: single-link clusters, named after their smallest member; the order of the items plays no part.
+
+    Labels only get smaller, so the rounds end; the label of one's label shortens long chains, so they are few.
+    """
     edges = materialise(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
-    label = materialise(edges.select(F.col("x").alias("item_id")).distinct().withColumn("c", F.col("item_id")), "label")
-    for _ in range(rounds):
+    label = _settled(materialise(edges.select(F.col("x").alias("item_id")).distinct().withColumn("c", F.col("item_id")), "label"), edges)
+    return items.select("item_id").join(label, "item_id", "left").select("item_id", F.coalesce("c", "item_id").alias("cluster_id"))
+
+
+def _settled(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """``item_id, c`` when no item hears a smaller label over its edges ``x, y`` or from the item its label names any more."""
+    while True:
         heard = edges.join(label.toDF("y", "c"), "y").groupBy("x").agg(F.min("c").alias("low"))
-        near = label.join(heard.toDF("item_id", "low"), "item_id").select("item_id", "c", F.least("c", "low").alias("n"))
-        # the label of one's label shortens long chains
+        near = label.join(heard.toDF("item_id", "low"), "item_id", "left").select("item_id", "c", F.least("c", F.coalesce("low", "c")).alias("n"))
         jumped = near.join(near.select(F.col("item_id").alias("n"), F.col("n").alias("far")), "n", "left").select("item_id", "c", F.least("n", F.coalesce("far", "n")).alias("n"))
         step = materialise(jumped, "label")
-        if not step.filter("n <> c").limit(1).count():
-            break
         label = step.select("item_id", F.col("n").alias("c"))
-    else:
-        raise RuntimeError(f"clusters did not settle within {rounds} rounds")
-    return items.select("item_id").join(label, "item_id", "left").select("item_id", F.coalesce("c", "item_id").alias("cluster_id"))
+        if step.filter("n <> c").isEmpty():
+            return label
 
 
-def greedy(items: DataFrame, pairs: DataFrame, rounds: int = 500) -> DataFrame:
+def greedy(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """``item_id, cluster_id``: first-fit clusters in the order of ``item_id``, each item joining the earliest cluster it is linked to.
 
     An item's cluster is the smallest among its own number and the clusters of earlier items it is similar to; the labels travel from
-    earlier to later items only until they settle.
+    earlier to later items only until they settle. What the item of one's label has heard comes from earlier items, too.
     """
     back = materialise(pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "edges")
     label = materialise(items.select("item_id", F.col("item_id").alias("c")), "label")
-    for _ in range(rounds):
-        heard = back.join(label.toDF("y", "c"), "y").groupBy("x").agg(F.min("c").alias("low"))
-        step = label.join(heard.toDF("item_id", "low"), "item_id", "left").select("item_id", F.least("c", F.coalesce("low", "c")).alias("n"), "c")
-        step = materialise(step, "label")
-        if not step.filter("n <> c").limit(1).count():
-            break
-        label = step.select("item_id", F.col("n").alias("c"))
-    else:
-        raise RuntimeError(f"clusters did not settle within {rounds} rounds")
-    return label.select("item_id", F.col("c").alias("cluster_id"))
+    return _settled(label, back).select("item_id", F.col("c").alias("cluster_id"))
 
 
 def link_empty(items: DataFrame) -> DataFrame:

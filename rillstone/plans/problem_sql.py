@@ -15,14 +15,14 @@ SELECT DISTINCT src_table, src_key, src_field, ref_key FROM r WHERE ref_key IS N
 
 P3_REPORT = f"""
 WITH RECURSIVE t AS (SELECT 'occurrences' AS kind, {_FOLD.format('occurrence_id')} AS k, ingested_at AS a, deleted_at AS d FROM occurrences UNION ALL SELECT 'owner_events', {_FOLD.format('event_id')}, delivered_at, NULL FROM owner_events),
-r AS (SELECT DISTINCT * FROM (SELECT 'owner_events' AS src_table, delivery_id::VARCHAR AS src_key, 'source_occurrence_ids' AS src_field, unnest(source_occurrence_ids) AS ref_key, delivered_at AS at, 'occurrences' AS kind, {_FOLD.format('event_id')} AS own FROM owner_events
+r AS (SELECT DISTINCT * FROM (SELECT 'owner_events' AS src_table, delivery_id::VARCHAR AS src_key, 'source_occurrence_ids' AS src_field, unnest(source_occurrence_ids) AS ref_key, delivered_at AS wrote, 'occurrences' AS kind, {_FOLD.format('event_id')} AS own FROM owner_events
  UNION ALL SELECT 'receipts', receipt_id, 'occurrence_id', occurrence_id, ingested_at, 'occurrences', NULL FROM receipts
  UNION ALL SELECT 'receipts', receipt_id, 'event_id', event_id, ingested_at, 'owner_events', NULL FROM receipts WHERE disposition IN ('EMITTED', 'CONTRIBUTED', 'DROPPED')) WHERE ref_key IS NOT NULL),
-direct AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kind = r.kind AND t.k = {_FOLD.format('r.ref_key')} AND t.a <= r.at AND (t.d IS NULL OR t.d > r.at))),
-o AS (SELECT src_table, src_key, src_field, ref_key, at, own, 'direct' AS orphaned FROM direct
- UNION SELECT r.src_table, r.src_key, r.src_field, r.ref_key, r.at, r.own, 'inherited' FROM r JOIN o ON r.kind = o.src_table AND {_FOLD.format('r.ref_key')} = o.own
+direct AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kind = r.kind AND t.k = {_FOLD.format('r.ref_key')} AND t.a <= r.wrote AND (t.d IS NULL OR t.d > r.wrote))),
+o AS (SELECT src_table, src_key, src_field, ref_key, wrote, own, 'direct' AS orphaned FROM direct
+ UNION SELECT r.src_table, r.src_key, r.src_field, r.ref_key, r.wrote, r.own, 'inherited' FROM r JOIN o ON r.kind = o.src_table AND {_FOLD.format('r.ref_key')} = o.own
   WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.src_table = r.src_table AND d.src_key = r.src_key AND d.src_field = r.src_field AND d.ref_key = r.ref_key))
-SELECT src_table, src_field, strftime(date_trunc('month', at), '%Y-%m-%d') AS period, orphaned, count(*) AS n_refs, count(DISTINCT src_key) AS n_rows FROM (SELECT DISTINCT src_table, src_key, src_field, ref_key, at, own, orphaned FROM o) GROUP BY ALL
+SELECT src_table, src_field, strftime(date_trunc('month', wrote), '%Y-%m-%d') AS period, orphaned, count(*) AS n_refs, count(DISTINCT src_key) AS n_rows FROM (SELECT DISTINCT src_table, src_key, src_field, ref_key, wrote, own, orphaned FROM o) GROUP BY ALL
 """
 
 P4_FOUND = """

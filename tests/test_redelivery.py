@@ -58,3 +58,35 @@ def test_long_chain(spark):
     for i in range(12):
         rows += [(3 * i, f"e{i}", [str(i)]), (3 * i + 1, f"e{i}", [str(i + 1)]), (3 * i + 2, None, [str(i)])]
     assert {x[0] for x in R.redelivered(frame(spark, rows), 0.5).collect()} == losers(rows)
+
+
+def test_chain_of_two_hundred(spark):
+    rows = []
+    for i in range(200):
+        rows += [(3 * i, f"e{i}", [str(i)]), (3 * i + 1, f"e{i}", [str(i + 1)]), (3 * i + 2, None, [str(i)])]
+    keys = R.message_keys(R.identify(frame(spark, rows)).select("delivery_id", "id_key", "set_key"))
+    assert keys.select("message").distinct().count() == 1 and keys.count() == 600
+
+
+def test_of_two_merges_at_once_none_is_lost(spark, monkeypatch):
+    store = R.DeliveryStore(spark)
+    store.merge(frame(spark, [(10, "a", ["1"])]))
+    other, publish, done = R.DeliveryStore(spark, store.path), R.DeliveryStore._publish, []
+
+    def late(self, manifest):
+        if self is store and not done:  # another merge gets in between
+            done.append(1)
+            other.merge(frame(spark, [(5, "b", ["2"])]))
+        publish(self, manifest)
+
+    monkeypatch.setattr(R.DeliveryStore, "_publish", late)
+    assert store.merge(frame(spark, [(3, "A", ["7"])]))["version"] == 3
+    assert {x["delivery_id"] for x in store.winners().collect()} == {3, 5}
+
+
+def test_index_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr(R, "INDEX_PARTS", 2)
+    store = R.DeliveryStore(spark)
+    for i in range(4):
+        store.merge(frame(spark, [(10 - i, "a", [str(i)]), (20 + i, f"x{i}", None)]))
+    assert len(store.manifest()["index"]) <= 2 and {x["delivery_id"] for x in store.winners().collect()} == {7, 20, 21, 22, 23}
