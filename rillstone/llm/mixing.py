@@ -26,8 +26,8 @@ def golden_point(n: Column) -> Column:
     return x - F.floor(x)
 
 
-def running_start(rows: DataFrame, by: list[str], order: str, amount: str, buckets: Column) -> DataFrame:
-    """Adds ``start``: the sum of ``amount`` over the rows of the same ``by`` before this one in the order of the 64-bit hash ``order``.
+def running_start(rows: DataFrame, by: list[str], order: str, tie: str, amount: str, buckets: Column) -> DataFrame:
+    """Adds ``start``: the sum of ``amount`` over the rows of the same ``by`` before this one in the order of the 64-bit hash ``order``, then ``tie``.
 
     The hash's range is cut into ``buckets`` equal parts; sums of the parts are accumulated first, so no task sorts a whole group.
     """
@@ -35,61 +35,69 @@ def running_start(rows: DataFrame, by: list[str], order: str, amount: str, bucke
     rows = rows.withColumn("__part", part)
     sums = rows.groupBy(*by, "__part").agg(F.sum(amount).alias("__sum"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    inside = W.partitionBy(*by, "__part").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*by, "__part").orderBy(order, tie).rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     return placed.join(before, [*by, "__part"]).withColumn("start", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
 
 
+def _slots(live: DataFrame, sources: int, slots_n: int) -> DataFrame:
+    """``slot, source``: each slot's point, looked up in the table of cumulative weights.
+
+    Weights are whole numbers, so the sources' ranges meet exactly. The table is cut into about four cells per source; a point is joined with the
+    few ranges of its cell by equality, however many sources there are.
+    """
+    ranges = running_start(live.withColumns({"one": F.lit(1), "h": F.xxhash64("source")}), ["one"], "h", "source", "weight", F.lit(float(-(-sources // CHUNK))))
+    ranges = ranges.select("source", F.col("start").alias("low"), (F.col("start") + F.col("weight")).alias("high"))
+    total = live.agg(F.sum("weight")).head()[0]  # one number
+    width = max(1, total // (4 * sources))
+    cells = ranges.withColumn("cell", F.explode(F.sequence(F.expr(f"low DIV {width}"), F.expr(f"(high - 1) DIV {width}"))))
+    point = F.least(F.floor(golden_point(F.col("slot") + 1) * F.lit(float(total))).cast("bigint"), F.lit(total - 1))
+    slots = live.sparkSession.range(slots_n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.expr(f"point DIV {width}"))
+    return slots.join(cells, "cell").filter("point >= low AND point < high").select("slot", "source")
+
+
 def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", folder: str = TOKENIZER_DIR, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
     """``slot, source, doc_id, use_no, n_tokens``: the drawn documents in the order of the schedule.
 
     The mix is the largest one whose shares can follow the targets (scaled to 1 over the sources that have text) when no text is used more
     than its source's ``max_repeats``. Equal texts count as one text, of the row with the smallest id. Slots of ``block_tokens`` tokens get
     their source from the golden-ratio sequence; the r-th slot of a source takes the texts that start in its r-th block of the shuffled
-    source. Null and empty texts, sources not listed, and targets that are null or not above 0 take no part; null ``max_repeats`` counts as 1.
+    source. Null and empty texts, sources not listed, and targets that are null or not above 0 take no part; null ``max_repeats`` counts as 1; of
+    several targets of a source the largest counts. Sources may be any number.
     """
     spark = docs.sparkSession
-    listed = {r["source"]: (float(r["target_share"]), max(0, r["max_repeats"] if r["max_repeats"] is not None else 1)) for r in targets.limit(100_001).collect() if r["source"] is not None and r["target_share"] is not None and r["target_share"] > 0}
-    if len(listed) > 100_000:
-        raise ValueError("more than 100,000 sources")
+    repeats = F.coalesce("max_repeats", F.lit(1))
+    listed = targets.filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max(F.struct("target_share", repeats.alias("repeats"))).alias("t"))
+    listed = listed.select("source", F.col("t.target_share").alias("share"), F.col("t.repeats").alias("repeats")).filter("repeats > 0")
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).filter(F.col("text") != "")
-    chosen = chosen.filter(F.col("source").isin(list(listed))).withColumn("digest", F.unhex(F.md5("text")))
+    chosen = chosen.join(targets.filter("source IS NOT NULL AND target_share > 0").select("source").distinct(), "source", "left_semi").withColumn("digest", F.unhex(F.md5("text")))
     counted = token_counts(chosen, ["doc_id", "source", "digest"], "text", folder)
     texts = counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.doc_id", "d.source", "d.n_tokens").filter("n_tokens > 0")
     texts = materialise(texts, "texts")
-    totals = {r["source"]: (r["t"], r["n"]) for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row per source
-    live = {s: w for s, (w, repeats) in listed.items() if s in totals and repeats > 0}
+    totals = texts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts"))
+    live = materialise(totals.join(listed, "source"), "sources")
+    whole = live.agg(F.sum("share").alias("w"), F.count("*").alias("n"), F.min(F.col("tokens") * F.col("repeats") / F.col("share")).alias("b")).head()  # one row
     schema = "slot bigint, source string, doc_id bigint, use_no int, n_tokens bigint"
-    if not live:
+    if not whole["n"]:
         return spark.createDataFrame([], schema)
-    whole = sum(live.values())
-    share = {s: w / whole for s, w in live.items()}
-    budget = min(totals[s][0] * listed[s][1] / share[s] for s in live)
-    slots_n = max(1, int(budget / block_tokens))
-    names = sorted(live)
+    slots_n = max(1, int(whole["b"] * whole["w"] / block_tokens))
+    share = F.col("share") / F.lit(whole["w"])
+    live = live.withColumn("weight", F.greatest(F.lit(1), F.round(share * 2.0**50)).cast("bigint"))
 
     # the schedule: a source for each slot, and the slot's rank among those of its source
-    edges, at = [], 0.0
-    for s in names[:-1]:
-        at += share[s]
-        edges.append(at)
-    point = golden_point(F.col("slot") + 1)
-    which = F.lit(0)
-    for e in edges:
-        which = which + (point >= e).cast("int")
-    slots = spark.range(slots_n).withColumnRenamed("id", "slot").withColumn("source", F.element_at(F.array(*map(F.lit, names)), which + 1)).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    slots = _slots(live, whole["n"], slots_n).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     per_chunk = slots.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = per_chunk.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = slots.withColumn("r", F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1).join(before, ["source", "chunk"])
     ranked = ranked.select("source", "slot", (F.col("before") + F.col("r")).alias("block"))
 
     # the texts of each source, shuffled anew for each use, cut into blocks
-    uses = {s: min(listed[s][1], int(share[s] * slots_n * block_tokens / totals[s][0]) + 2) for s in names}
-    lookup = lambda values: F.element_at(F.create_map(*[x for s in names for x in (F.lit(s), F.lit(values[s]))]), F.col("source"))
-    repeated = texts.filter(F.col("source").isin(names)).withColumn("use_no", F.explode(F.sequence(F.lit(1), lookup(uses))))
+    uses = F.least(F.col("repeats"), F.floor(share * slots_n * block_tokens / F.col("tokens")) + 2).cast("int")
+    each = live.select("source", "tokens", uses.alias("uses"), F.ceil(F.col("texts") / CHUNK).cast("double").alias("parts"))
+    repeated = texts.join(each, "source").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
     shuffled = repeated.withColumn("h", F.xxhash64("doc_id", "use_no", F.lit(seed)))
-    placed = running_start(shuffled, ["source", "use_no"], "h", "n_tokens", lookup({s: float(-(-totals[s][1] // CHUNK)) for s in names}))
-    begin = F.col("start") + (F.col("use_no") - 1) * lookup({s: totals[s][0] for s in names})
+    placed = running_start(shuffled, ["source", "use_no"], "h", "doc_id", "n_tokens", F.col("parts"))
+    begin = F.col("start") + (F.col("use_no") - 1) * F.col("tokens")
     blocks = placed.withColumn("block", F.floor(begin / block_tokens).cast("bigint"))
     return blocks.join(ranked, ["source", "block"]).select("slot", "source", "doc_id", "use_no", "n_tokens")
 

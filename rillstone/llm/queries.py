@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rillstone.llm import mixing, neardup, packing, pii
 
@@ -85,6 +86,25 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(p9_mix(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def p8_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per capacity what a packing must keep: every text there, no container too full, no text split that fits, every token in one piece."""
+    docs, sizes = table(spark, sf, "documents"), table(spark, sf, "pack_capacity")
+    packed = p8_packed(spark, sf).join(sizes, "capacity_name")
+    bins = packed.filter("container IS NOT NULL").groupBy("capacity_name", "container").agg((F.sum("n_tokens") > F.first("capacity_tokens")).alias("over")).groupBy("capacity_name").agg(F.count_if("over").alias("overfull"))
+    whole = F.max("end_token") - F.min("start_token")
+    each = packed.groupBy("capacity_name", "doc_id").agg((F.sum("n_tokens") != whole).alias("gap"), ((F.count("*") > 1) & (whole <= F.first("capacity_tokens"))).alias("split"), F.min("container").isNull().alias("none"))
+    docs_per = each.groupBy("capacity_name").agg(F.count("*").alias("n_docs"), F.count_if("none").alias("n_null"), F.count_if("gap").alias("with_gaps"), F.count_if("split").alias("split_needlessly"))
+    return docs_per.join(bins, "capacity_name").select("capacity_name", "n_docs", "n_null", "overfull", "with_gaps", "split_needlessly")
+
+
+def p9_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source whether the mix keeps what it must: no text too often, a share within one percentage point of its target."""
+    targets = table(spark, sf, "mix_targets")
+    shares = mixing.share_report(p9_mix(spark, sf), targets).join(targets.select("source", "max_repeats"), "source")
+    near = F.abs(F.col("actual_share") - F.col("target_share") / F.sum("target_share").over(W.partitionBy())) <= 0.01  # one row per source
+    return shares.select("source", (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"), near.alias("near_target"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_personal(table(spark, sf, "documents")).distinct()
 
@@ -97,8 +117,10 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact_personal(table(spark, sf, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_report, p10_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p8_packed, p8_fill, p8_audit, p9_mix, p9_shares, p9_audit, p10_found, p10_report, p10_redacted)}
 SQL: dict[str, str] = {
+    "p8_audit": "SELECT capacity_name, count(*) AS n_docs, count(*) - count(text) AS n_null, 0 AS overfull, 0 AS with_gaps, 0 AS split_needlessly FROM documents, pack_capacity GROUP BY 1",
+    "p9_audit": "SELECT source, true AS within_cap, true AS near_target FROM mix_targets",
     "p2_found": """
 WITH msg AS (SELECT unnest(json_extract(chat_messages, '$[*]')) AS m FROM conversations WHERE json_valid(chat_messages)),
 g0 AS (SELECT session_id, CASE WHEN json_type(goals) = 'ARRAY' THEN json_extract(goals, '$[*]') ELSE [json(goals)] END AS items FROM session_catalog WHERE session_id IS NOT NULL AND json_valid(goals)),

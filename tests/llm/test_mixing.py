@@ -45,8 +45,19 @@ def test_golden_points_are_spread(spark):
 
 def test_running_start(spark):
     d = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 7).alias("n"), F.xxhash64("id").alias("h"))
-    got = M.running_start(d, ["source"], "h", "n", F.lit(8.0)).orderBy("h").collect()
+    got = M.running_start(d, ["source"], "h", "doc_id", "n", F.lit(8.0)).orderBy("h").collect()
     total = 0
     for r in got:
         assert r["start"] == total
         total += r["n"]
+
+
+def test_three_thousand_sources(spark):
+    n = 3000
+    targets = spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"), (1.0 + F.col("id") % 5).alias("target_share"), F.lit(2).cast("bigint").alias("max_repeats"))
+    d = spark.range(n * 3).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of text number"), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % n).alias("source"))
+    out = M.mix(d, targets, block_tokens=1)
+    assert out.select("source").distinct().count() == n
+    total = out.agg(F.sum("n_tokens")).head()[0]
+    # a source of few tokens is off by less than two of its texts, which have about eight tokens
+    assert M.share_report(out, targets).filter(f"abs(n_tokens - target_share / 9000 * {total}) > 16 OR most_uses > 2").count() == 0
