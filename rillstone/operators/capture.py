@@ -295,9 +295,17 @@ def canonical_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns).mapInArrow(_canonical_rows(columns), "value string")
 
 
-EVENT_KEYS = "event_id source_record_ids source_occurrence_ids session_id resume_of logical_seq timestamp actor event_class text_blocks attachments tool_call_id boundary provenance".split()
-RECEIPT_KEYS = "receipt_id occurrence_id source_locator source_record_id event_id event_class disposition reason_code".split()
-LINE_KEYS = "occurrence_id stream_id source_locator line_number raw_line_sha256 raw_text".split()
+# The fields of the written records.
+EVENT_KEYS = [
+    "event_id", "source_record_ids", "source_occurrence_ids", "session_id", "resume_of", "logical_seq", "timestamp", "actor", "event_class",
+    "text_blocks", "attachments", "tool_call_id", "boundary", "provenance",
+]
+RECEIPT_KEYS = [
+    "receipt_id", "occurrence_id", "source_locator", "source_record_id", "event_id", "event_class", "disposition", "reason_code",
+]
+LINE_KEYS = [
+    "occurrence_id", "stream_id", "source_locator", "line_number", "raw_line_sha256", "raw_text",
+]
 
 
 def publish_bundle(lines: DataFrame, target: str, still_unchanged=lambda: True) -> dict[str, str]:

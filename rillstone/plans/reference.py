@@ -198,7 +198,7 @@ def tokens_docfreq(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-_PLACES = "[a-z]:[\\\\/]\\S+|(?:https?|file)://\\S+|\\.{0,2}[\\\\/]\\S+"
+_PLACES = T.PLACE
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
 
