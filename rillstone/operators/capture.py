@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from rillstone.functions.instants import canonical_instant
 from rillstone.functions.strictjson import canonical, strict_loads
@@ -109,13 +108,36 @@ def classify_lines(lines: DataFrame, keep: list[str], text: str = "raw_text") ->
 def occurrence_violations(lines: DataFrame) -> DataFrame:
     """Lines whose envelope breaks the contract, with the first violation; duplicate ids and locators are among them."""
     n = F.regexp_extract("source_locator", "#L([0-9]+)$", 1).try_cast("bigint")
-    counted = lines.withColumns({"__ids": F.count("*").over(W.partitionBy("occurrence_id")), "__locators": F.count("*").over(W.partitionBy("source_locator"))})
+    twice = lambda c: lines.groupBy(F.col(c).alias(f"__{c}")).count().filter("count > 1").select(f"__{c}", F.lit(True).alias(f"__twice_{c}"))
+    counted = lines
+    for c in ("occurrence_id", "source_locator"):
+        counted = counted.join(twice(c), F.col(c) == F.col(f"__{c}"), "left").drop(f"__{c}")
     violation = (
         F.when(F.coalesce("occurrence_id", F.lit("")) == "", "occurrence_id:empty").when(~valid_stream(F.col("stream_id")), "stream_id:form").when(~valid_locator(F.col("source_locator")), "source_locator:form")
         .when(F.coalesce(n != F.col("line_number"), F.lit(True)), "line_number:locator").when(F.coalesce(F.sha2("raw_text", 256) != F.col("raw_line_sha256"), F.lit(True)), "raw_line_sha256:mismatch")
-        .when(F.col("__ids") > 1, "occurrence_id:duplicate").when(F.col("__locators") > 1, "source_locator:duplicate")
+        .when(F.col("__twice_occurrence_id"), "occurrence_id:duplicate").when(F.col("__twice_source_locator"), "source_locator:duplicate")
     )
-    return counted.withColumn("violation", violation).filter("violation IS NOT NULL").drop("__ids", "__locators")
+    return counted.withColumn("violation", violation).filter("violation IS NOT NULL").drop("__twice_occurrence_id", "__twice_source_locator")
+
+
+def with_roles(rows: DataFrame, event: str, record: str, order: list[str]) -> DataFrame:
+    """Adds ``disposition``: the first row of an event is EMITTED, the first of each further record of it CONTRIBUTED, all others DROPPED. ``order`` tells the
+    rows apart; firsts are found by aggregation, so no event is sorted in one task."""
+    place = F.struct(*order)
+    records = rows.groupBy(event, record).agg(F.min(place).alias("__record"))
+    firsts = records.join(records.groupBy(event).agg(F.min("__record").alias("__event")), event).select(F.col("__record"), (F.col("__record") == F.col("__event")).alias("__emitted"))
+    # a row that is the first of its record is told by its place alone
+    marked = rows.withColumn("__record", place).join(firsts, "__record", "left")
+    return marked.withColumn("disposition", F.when(F.col("__emitted").isNull(), "DROPPED").when(F.col("__emitted"), "EMITTED").otherwise("CONTRIBUTED")).drop("__record", "__emitted")
+
+
+def joined_blocks(rows: DataFrame, event: str, order: str, blocks: str) -> DataFrame:
+    """``event, text``: the distinct blocks of an event's rows, in the order in which they first came, one a line. Copies collapse before an event is
+    gathered; null blocks are none."""
+    each = rows.select(event, order, F.posexplode(blocks).alias("__k", "__t")).filter("__t IS NOT NULL")
+    once = each.groupBy(event, "__t").agg(F.min(F.struct(order, "__k")).alias("__at"))
+    listed = once.groupBy(event).agg(F.array_sort(F.collect_list(F.struct("__at", "__t"))).alias("__l"))
+    return listed.select(event, F.array_join(F.transform("__l", lambda x: x["__t"]), "\n").alias("text"))
 
 
 def normalise(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,11 +149,9 @@ def normalise(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keep = ["occurrence_id", "stream_id", "source_locator", "line_number"]
     rows = materialise(classify_lines(lines.select(*keep, "raw_text"), keep), "classified")
-    by_event, by_record = W.partitionBy("event_id").orderBy("line_number", "occurrence_id"), W.partitionBy("event_id", "record_id").orderBy("line_number", "occurrence_id")
-    captured = rows.filter("action = 'CAPTURE'").withColumns({"n_event": F.row_number().over(by_event), "n_record": F.row_number().over(by_record)})
-    captured = captured.withColumn("disposition", F.when(F.col("n_record") > 1, "DROPPED").when(F.col("n_event") == 1, "EMITTED").otherwise("CONTRIBUTED"))
+    captured = with_roles(rows.filter("action = 'CAPTURE'"), "event_id", "record_id", ["line_number", "occurrence_id", "stream_id"])
     accepted = captured.filter("disposition <> 'DROPPED'")
-    member = F.struct("n_event", "record_id", "occurrence_id", "source_locator", "text_blocks", "attachments", "session_id", "resume_of", "logical_seq", "tool_call_id", "boundary", "timestamp", "event_class", "stream_id", "line_number")
+    member = F.struct(F.struct("line_number", "occurrence_id").alias("at"), "record_id", "occurrence_id", "source_locator", "text_blocks", "attachments", "session_id", "resume_of", "logical_seq", "tool_call_id", "boundary", "timestamp", "event_class", "stream_id", "line_number")
     distinct_scalars = F.count_distinct(F.struct("session_id", "resume_of", "logical_seq", "tool_call_id", "boundary", "timestamp"))
     copies = captured.groupBy("event_id", "record_id").agg(F.count_distinct("record").alias("v")).groupBy("event_id").agg(F.max("v").alias("record_versions"))
     groups = accepted.groupBy("event_id").agg(F.array_sort(F.collect_list(member)).alias("m"), distinct_scalars.alias("scalars"), F.count_distinct("stream_id").alias("streams"), F.collect_set("event_class").alias("classes"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from rillstone.functions.text import SPACES, blank, filled, safe_name, strip
 
@@ -38,6 +37,11 @@ def conversation_day(updated: Column, created: Column) -> Column:
     return F.when(raw.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")).cast("date"))
 
 
+def first_claims(rows: DataFrame, order: str) -> DataFrame:
+    """``safe_uuid`` and the smallest ``order`` of the rows that have it: the conversation that claims the identifier. The order tells rows apart."""
+    return rows.groupBy("safe_uuid").agg(F.min(order).alias(order))
+
+
 def decide(conversations: DataFrame, order: str, json_col: str, min_date: str | None = None) -> DataFrame:
     """Adds ``safe_uuid`` and ``decision``: the first of date_unknown, before_min_date, missing_uuid, duplicate_uuid, zero_human that holds, else written.
 
@@ -46,11 +50,11 @@ def decide(conversations: DataFrame, order: str, json_col: str, min_date: str |
     rows = conversations.withColumns({"safe_uuid": safe_name(F.col("uuid")), "__day": conversation_day(F.col("updated_at"), F.col("created_at"))})
     early = F.when(F.lit(min_date is not None) & F.col("__day").isNull(), "date_unknown").when(F.lit(min_date is not None) & (F.col("__day") < F.lit(min_date).cast("date")), "before_min_date").when(F.col("safe_uuid") == "", "missing_uuid")
     rows = rows.withColumn("__early", early)
-    rank = F.row_number().over(W.partitionBy(F.col("__early").isNull(), "safe_uuid").orderBy(order))
+    claims = first_claims(rows.filter("__early IS NULL"), order).select(order, F.lit(True).alias("__first"))
     prompts = human_prompts(conversations, order, json_col).select(order).distinct().withColumn("__human", F.lit(True))
-    rows = rows.withColumn("__rank", rank).join(prompts, order, "left")
-    decision = F.coalesce("__early", F.when(F.col("__rank") > 1, "duplicate_uuid"), F.when(F.col("__human").isNull(), "zero_human"), F.lit("written"))
-    return rows.withColumn("decision", decision).drop("__day", "__early", "__rank", "__human")
+    rows = rows.join(claims, order, "left").join(prompts, order, "left")
+    decision = F.coalesce("__early", F.when(F.col("__first").isNull(), "duplicate_uuid"), F.when(F.col("__human").isNull(), "zero_human"), F.lit("written"))
+    return rows.withColumn("decision", decision).drop("__day", "__early", "__first", "__human")
 
 
 def documents(conversations: DataFrame, order: str, json_col: str, min_date: str | None = None) -> DataFrame:

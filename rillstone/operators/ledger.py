@@ -64,10 +64,10 @@ def supersede(items: DataFrame, stronger: DataFrame) -> DataFrame:
 
 
 def collapse_echo(items: DataFrame) -> DataFrame:
-    """Of items alike but for case and white space, the earliest by date, session and text."""
-    key = F.lower(collapse_spaces(blank(F.col("text"))))
-    first = W.partitionBy("__key").orderBy("date", "session_id", "lane", "text")
-    return items.withColumn("__key", key).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__key", "__n")
+    """Of items alike but for case and white space, the earliest by date, session, lane and text."""
+    key = F.md5(F.lower(collapse_spaces(blank(F.col("text")))))
+    first = F.min(F.struct("date", "session_id", "lane", "text", *[c for c in items.columns if c not in ("date", "session_id", "lane", "text")]))
+    return items.groupBy(key.alias("__key")).agg(first.alias("f")).select(*[F.col("f")[c].alias(c) for c in items.columns])
 
 
 def cluster_items(items: DataFrame, num: int = 4, den: int = 5, floor: int = 5, least_tokens: int = 3) -> DataFrame:
@@ -83,8 +83,8 @@ def summarise(members: DataFrame, cutover: str, least_sessions: int = 0) -> Data
     c = F.col
     day, session = filled(c("date")), filled(c("session_id"))
     met = (c("verdict") == "met") & day.isNotNull()
-    first_met = F.min(F.when(met, day)).over(W.partitionBy("cluster_id"))
-    rows = members.withColumns({"__day": day, "__session": session, "__first_met": first_met})
+    first = members.groupBy("cluster_id").agg(F.min(F.when(met, day)).alias("__first_met")).withColumnRenamed("cluster_id", "__of")
+    rows = members.withColumns({"__day": day, "__session": session}).join(first, F.col("cluster_id").eqNullSafe(F.col("__of"))).drop("__of")
     order = F.struct("date", "session_id", "lane", "text")
     out = rows.groupBy("cluster_id").agg(
         F.count_distinct("__session").alias("n_sessions"), F.count("*").alias("records"), F.count_distinct("__day").alias("days"), F.min("__day").alias("first_seen"), F.max("__day").alias("last_seen"),
@@ -130,11 +130,19 @@ def ledger_order() -> list[Column]:
 
 
 def exemplars(members: DataFrame) -> DataFrame:
-    """``cluster_id, nth, text``: all of up to three members, else the first, the middle and the last by date and text."""
-    w = W.partitionBy("cluster_id").orderBy("date", "text", "item_id")
-    counted = members.withColumns({"__n": F.row_number().over(w), "__all": F.count("*").over(W.partitionBy("cluster_id"))})
-    keep = (F.col("__all") <= 3) | (F.col("__n") == 1) | (F.col("__n") == F.expr("__all DIV 2") + 1) | (F.col("__n") == F.col("__all"))
-    return counted.filter(keep).select("cluster_id", F.col("__n").alias("nth"), "text")
+    """``cluster_id, nth, text``: all of up to three members, else the first, the middle and the last by date and text.
+
+    Members are counted per date first; only dates that hold one of the places wanted are put in order, each by itself.
+    """
+    dates = members.groupBy("cluster_id", "date").agg(F.count("*").alias("k"))
+    upto = W.partitionBy("cluster_id").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    dates = dates.withColumns({"before": F.sum("k").over(upto) - F.col("k"), "all": F.sum("k").over(W.partitionBy("cluster_id"))})
+    places = F.when(F.col("all") <= 3, F.sequence(F.lit(1).cast("bigint"), F.col("all"))).otherwise(F.array(F.lit(1).cast("bigint"), F.expr("all DIV 2 + 1"), F.col("all")))
+    wanted = dates.withColumn("places", F.filter(places, lambda n: (n > F.col("before")) & (n <= F.col("before") + F.col("k")))).filter(F.size("places") > 0)
+    wanted = wanted.select(F.col("cluster_id").alias("__c"), F.col("date").alias("__d"), "before", "places")
+    near = members.join(wanted, F.col("cluster_id").eqNullSafe(F.col("__c")) & F.col("date").eqNullSafe(F.col("__d")))
+    nth = F.col("before") + F.row_number().over(W.partitionBy("cluster_id", "date").orderBy("text", "item_id"))
+    return near.withColumn("nth", nth).filter(F.array_contains("places", F.col("nth"))).select("cluster_id", "nth", "text")
 
 
 def seeded_threads(items: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from rillstone.functions import text as T
 from rillstone.functions.noise import without_noise
@@ -81,7 +80,7 @@ def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
 )
 def uuid_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("row_id", T.safe_name(F.col("uuid")).alias("safe_uuid"))
-    return rows.withColumn("n", F.row_number().over(W.partitionBy("safe_uuid").orderBy("row_id"))).filter("n = 1").drop("n")
+    return export.first_claims(rows, "row_id").select("row_id", "safe_uuid")
 
 
 # --- capture ------------------------------------------------------------------------------------------------------------------------
@@ -125,9 +124,7 @@ def reason_counters(spark: SparkSession, sf: str) -> DataFrame:
 )
 def receipt_role_window(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "owner_events").filter("event_id IS NOT NULL").withColumn("records", F.array_join(F.array_sort("source_record_ids"), ","))
-    n_event, n_record = (F.row_number().over(W.partitionBy(*p).orderBy("delivery_id")) for p in (["event_id"], ["event_id", "records"]))
-    ranked = rows.select("delivery_id", n_event.alias("n_event"), n_record.alias("n_record"))
-    return ranked.select("delivery_id", F.when(F.col("n_record") > 1, "DROPPED").when(F.col("n_event") == 1, "EMITTED").otherwise("CONTRIBUTED").alias("role"))
+    return capture.with_roles(rows, "event_id", "records", ["delivery_id"]).select("delivery_id", F.col("disposition").alias("role"))
 
 
 @query(
@@ -137,18 +134,17 @@ def receipt_role_window(spark: SparkSession, sf: str) -> DataFrame:
  SELECT e.event_id, count(*) AS deliveries, min(e.delivery_id) AS first_delivery, min(e.logical_seq) AS logical_seq, coalesce(any_value(j.text), '') AS text FROM owner_events e LEFT JOIN j ON j.event_id = e.event_id WHERE e.event_id IS NOT NULL GROUP BY 1"""
 )
 def event_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    member = F.struct("delivery_id", "text_blocks")
-    rows = table(spark, sf, "owner_events").filter("event_id IS NOT NULL").groupBy("event_id").agg(F.count("*").alias("deliveries"), F.min("delivery_id").alias("first_delivery"), F.min("logical_seq").alias("logical_seq"), F.array_sort(F.collect_list(member)).alias("m"))
-    blocks = F.array_distinct(F.flatten(F.transform("m", lambda x: F.coalesce(x["text_blocks"], F.array().cast("array<string>")))))
-    return rows.select("event_id", "deliveries", "first_delivery", "logical_seq", F.array_join(blocks, "\n").alias("text"))
+    rows = table(spark, sf, "owner_events").filter("event_id IS NOT NULL")
+    sums = rows.groupBy("event_id").agg(F.count("*").alias("deliveries"), F.min("delivery_id").alias("first_delivery"), F.min("logical_seq").alias("logical_seq"))
+    return sums.join(capture.joined_blocks(rows, "event_id", "delivery_id", "text_blocks"), "event_id", "left").fillna("", ["text"])
 
 
-@query("SELECT occurrence_id, printf('%s-O%09d', stream_id, line_number) AS made_id, split_part(source_locator, '#L', 1) || '#L' || line_number AS made_locator, sha256(raw_text) AS line_hash, 'RCPT-' || occurrence_id AS receipt_id FROM occurrences")
+@query("SELECT occurrence_id, printf('%s-O%06d', stream_id, line_number) AS made_id, split_part(source_locator, '#L', 1) || '#L' || line_number AS made_locator, sha256(raw_text) AS line_hash, 'RCPT-' || occurrence_id AS receipt_id FROM occurrences")
 def locators_ids(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("line_number")
     label = F.substring_index("source_locator", "#L", 1)
     return table(spark, sf, "occurrences").select(
-        "occurrence_id", F.format_string("%s-O%09d", "stream_id", n).alias("made_id"), T.locator(label, n).alias("made_locator"), F.sha2("raw_text", 256).alias("line_hash"), F.concat(F.lit("RCPT-"), "occurrence_id").alias("receipt_id")
+        "occurrence_id", T.occurrence_id(F.col("stream_id"), n).alias("made_id"), T.locator(label, n).alias("made_locator"), F.sha2("raw_text", 256).alias("line_hash"), F.concat(F.lit("RCPT-"), "occurrence_id").alias("receipt_id")
     )
 
 
@@ -228,18 +224,20 @@ def strip_noise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower({_FLAT.format('text')}) ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1")
 def echo_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.lower(T.collapse_spaces(F.col("text")))).alias("k"))
-    return rows.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL")
+    items = rows.select(F.format_string("%020d", "doc_id").alias("date"), F.lit("").alias("session_id"), F.lit("").alias("lane"), "text", "doc_id")
+    return ledger.collapse_echo(items).select("doc_id")
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS t FROM documents), q AS (SELECT ['handoff', 'prompt', 'registry', 'storage'] AS q)
- SELECT doc_id, score FROM (SELECT doc_id, len(list_intersect(t, q)) / 4.0::DOUBLE AS score FROM d, q) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"""
+    f"""WITH c AS (SELECT DISTINCT slug, project, outcome_summary, date, {_WORDS.format("outcome_summary || ' ' || coalesce(project, '')")} AS t FROM session_catalog WHERE outcome_summary IS NOT NULL AND slug IS NOT NULL),
+ s AS (SELECT slug, outcome_summary AS goal, project AS topic, len(list_intersect(t, ['atlas', 'handoff', 'registry', 'storage'])) / 4.0::DOUBLE AS score, coalesce(epoch(try_cast(date AS TIMESTAMP)), '-infinity'::DOUBLE) AS at_ FROM c)
+ SELECT slug, goal, topic, score FROM s WHERE score > 0 ORDER BY score DESC, at_ DESC, lower(goal), slug LIMIT 50"""
 )
 def query_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.array(*map(F.lit, ["handoff", "prompt", "registry", "storage"]))
-    scored = table(spark, sf, "documents").select("doc_id", T.coverage(q, T.tokens(F.col("text"))).alias("score")).filter("score > 0")
-    return scored.orderBy(F.desc("score"), "doc_id").limit(50)
+    rows = table(spark, sf, "session_catalog").filter("outcome_summary IS NOT NULL AND slug IS NOT NULL")
+    rows = rows.select("slug", F.col("outcome_summary").alias("goal"), F.col("project").alias("topic"), F.col("date").alias("last_touched")).distinct()
+    return threads.search(rows, "Registry, storage: handoff (Atlas)", 50).select("slug", "goal", "topic", "score")
 
 
 # --- threads ------------------------------------------------------------------------------------------------------------------------
@@ -255,18 +253,21 @@ def open_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GOALS = """
-WITH c AS (SELECT DISTINCT slug, session_id, date, goals, open_threads, open_text FROM session_catalog WHERE trim(coalesce(slug, '')) <> ''),
-g0 AS (SELECT slug, session_id, date, CASE WHEN json_type(goals) = 'VARCHAR' THEN [json(goals)] WHEN json_type(goals) = 'ARRAY' THEN json_extract(goals, '$[*]') END AS items FROM c WHERE json_valid(goals)),
-g1 AS (SELECT slug, session_id, date, unnest(items) AS v FROM g0),
-g2 AS (SELECT slug, session_id, date, trim(coalesce(CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.goal') END, '')) AS goal,
+WITH c AS (SELECT row_number() OVER () AS n, * FROM (SELECT DISTINCT slug, session_id, date, goals, open_threads, open_text, status_claimed FROM session_catalog WHERE trim(coalesce(slug, '')) <> '')),
+g0 AS (SELECT n, slug, session_id, date, CASE WHEN json_type(goals) = 'VARCHAR' THEN [json(goals)] WHEN json_type(goals) = 'ARRAY' THEN json_extract(goals, '$[*]') END AS items FROM c WHERE json_valid(goals)),
+g1 AS (SELECT n, slug, session_id, date, unnest(items) AS v FROM g0),
+g2 AS (SELECT n, slug, session_id, date, trim(coalesce(CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.goal') END, '')) AS goal,
   coalesce(nullif(trim(regexp_replace(lower(coalesce(CASE WHEN json_type(v) = 'OBJECT' THEN json_extract_string(v, '$.verdict') END, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') AS verdict FROM g1),
-goal AS (SELECT * FROM g2 WHERE goal <> '')
+goal AS (SELECT * FROM g2 WHERE goal <> ''),
+claim AS (SELECT slug, session_id, date, substring(trim(status_claimed, chr(32) || chr(9) || chr(10)), 1, 160) AS goal FROM c WHERE trim(coalesce(status_claimed, ''), chr(32) || chr(9) || chr(10)) <> '' AND n NOT IN (SELECT n FROM goal)),
+said AS (SELECT slug, session_id, date, goal, 'claimed-' || verdict || '@' || slug AS status, CASE WHEN verdict = 'met' THEN 'met' ELSE 'unknown' END AS state FROM goal
+ UNION ALL SELECT slug, session_id, date, goal, 'claimed-unknown@' || slug, 'unknown' FROM claim)
 """
 
 
-@query(_GOALS + "SELECT slug, session_id, date, goal, 'claimed-' || verdict || '@' || slug AS status, CASE WHEN verdict = 'met' THEN 'met' ELSE 'unknown' END AS state FROM goal")
+@query(_GOALS + "SELECT slug, session_id, date, goal, status, state FROM said")
 def goal_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    return threads.thread_rows(table(spark, sf, "session_catalog").withColumn("status_claimed", F.lit(None).cast("string"))).filter("state <> 'open'").select("slug", "session_id", "date", "goal", "status", "state")
+    return threads.thread_rows(table(spark, sf, "session_catalog")).filter("state <> 'open'").select("slug", "session_id", "date", "goal", "status", "state")
 
 
 @query()
@@ -279,11 +280,11 @@ def thread_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _GOALS
-    + f""", met AS (SELECT DISTINCT goal AS a, {_WORDS.format('goal')} AS ta FROM goal WHERE verdict = 'met'), o AS (SELECT DISTINCT goal AS b, {_WORDS.format('goal')} AS tb FROM goal WHERE verdict <> 'met')
+    + f""", met AS (SELECT DISTINCT goal AS a, {_WORDS.format('goal')} AS ta FROM said WHERE state = 'met'), o AS (SELECT DISTINCT goal AS b, {_WORDS.format('goal')} AS tb FROM said WHERE state <> 'met')
  SELECT a, b FROM met, o WHERE len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) * 5 >= 3 * least(len(ta), len(tb))"""
 )
 def conflict_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = threads.thread_rows(table(spark, sf, "session_catalog").withColumn("status_claimed", F.lit(None).cast("string"))).filter("state <> 'open'")
+    rows = threads.thread_rows(table(spark, sf, "session_catalog")).filter("state <> 'open'")
     items = rows.select("state", F.col("goal").alias("item_id"), T.tokens(F.col("goal")).alias("tokens")).distinct()
     met = items.filter("state = 'met'").select("item_id", "tokens")
     other = rows.filter("state <> 'met'").select(F.col("goal").alias("item_id"), T.tokens(F.col("goal")).alias("tokens")).distinct()
@@ -297,8 +298,8 @@ def source_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT d.doc_id, coalesce(t.topic, 'untagged') AS topic FROM documents d LEFT JOIN (SELECT DISTINCT session_id, project AS topic FROM session_catalog WHERE project <> '' AND session_id IS NOT NULL) t ON t.session_id = d.session_id")
 def membership_untagged(spark: SparkSession, sf: str) -> DataFrame:
-    topics = table(spark, sf, "session_catalog").select("session_id", F.col("project").alias("topic")).filter("topic <> ''").distinct()
-    return table(spark, sf, "documents").select("doc_id", "session_id").join(topics, "session_id", "left").select("doc_id", F.coalesce("topic", F.lit("untagged")).alias("topic"))
+    topics = table(spark, sf, "session_catalog").select(F.col("session_id").alias("slug"), F.col("project").alias("topic")).filter("topic <> '' AND slug IS NOT NULL")
+    return threads.with_topics(table(spark, sf, "documents").select("doc_id", F.col("session_id").alias("slug")), topics).select("doc_id", "topic")
 
 
 @query(
@@ -404,39 +405,47 @@ def recurrence_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.summarise(members, _CUTOVER, 2).join(ledger.keys_and_labels(members), "cluster_id").withColumn("lanes", F.array_join("lanes", ", "))
 
 
+_EVIDENCE = """WITH g AS (SELECT DISTINCT project AS k, session_id, date AS d, handoff_path AS h, slug, coalesce(had_incident, false) AS met FROM session_catalog WHERE project <> ''),
+ f AS (SELECT k, min(d) FILTER (met AND d <> '') AS first_met, max(d) FILTER (met AND d <> '') AS last_met FROM g GROUP BY 1),
+ s AS (SELECT g.k, count(*) AS records, count(DISTINCT nullif(d, '')) AS days, count(DISTINCT nullif(session_id, '')) AS sessions, min(nullif(d, '')) AS first_seen, max(nullif(d, '')) AS last_seen, any_value(first_met) AS first_met, any_value(last_met) AS last_met,
+   count(*) FILTER (d <> '' AND d > first_met) AS later, coalesce(arg_min(h, (coalesce(d, ''), coalesce(session_id, ''), coalesce(slug, ''))) FILTER (h <> ''), '') AS root_caused FROM g JOIN f ON f.k = g.k GROUP BY 1)
+"""
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The sessions of each project as the members of one cluster; those with an incident count as met."""
+    rows = table(spark, sf, "session_catalog").filter("project <> ''").select("project", "session_id", "date", "handoff_path", "slug", F.coalesce("had_incident", F.lit(False)).alias("met")).distinct()
+    given = {"session_id": F.col("session_id"), "date": F.col("date"), "handoff": F.col("handoff_path"), "text": F.col("slug"), "lane": F.lit("close-goal"), "verdict": F.when(F.col("met"), "met")}
+    return rows.select(F.col("project").alias("cluster_id"), *[F.coalesce(given[c], F.lit("")).alias(c) if c in given else F.lit("").alias(c) for c in ledger.ITEM_COLUMNS])
+
+
 @query(
-    """WITH g AS (SELECT project AS k, date AS d, status_claimed = 'met' AS met, session_id FROM session_catalog WHERE project <> '' AND date <> ''), f AS (SELECT k, min(d) FILTER (met) AS first_met FROM g GROUP BY 1)
- SELECT g.k AS project, count(*) AS records, count(DISTINCT g.d) AS days, count(DISTINCT g.session_id) AS sessions, min(g.d) AS first_seen, max(g.d) AS last_seen, any_value(f.first_met) AS first_met, count(*) FILTER (g.d > f.first_met) AS after FROM g JOIN f ON f.k = g.k GROUP BY 1 HAVING count(DISTINCT g.session_id) >= 2"""
+    _EVIDENCE
+    + """SELECT k AS project, CASE WHEN sessions > 0 THEN sessions ELSE records END AS times_seen, records, days, days <= 1 AS single_day, first_seen, last_seen, 'close-row' AS grade,
+ CASE WHEN first_met IS NULL THEN 'not met' WHEN later > 0 THEN 'met ' || first_met || ', recurred ' || later || 'x after' ELSE 'met ' || last_met || ', no recurrence since' END AS fix, CASE WHEN first_met IS NOT NULL AND later = 0 THEN 'no' ELSE 'yes' END AS still_open FROM s WHERE sessions >= 2"""
 )
 def project_recurrence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "session_catalog").filter("project <> '' AND date <> ''")
-    met = rows.filter("status_claimed = 'met'").groupBy("project").agg(F.min("date").alias("first_met"))
-    out = rows.join(met, "project", "left").groupBy("project").agg(
-        F.count("*").alias("records"), F.count_distinct("date").alias("days"), F.count_distinct("session_id").alias("sessions"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.first("first_met").alias("first_met"),
-        F.count_if(F.coalesce(F.col("date") > F.col("first_met"), F.lit(False))).alias("after"),
-    )
-    return out.filter("sessions >= 2")
+    out = ledger.summarise(_evidence(spark, sf), _CUTOVER, 2)
+    return out.select(F.col("cluster_id").alias("project"), "times_seen", "records", "days", "single_day", "first_seen", "last_seen", "grade", "fix", "still_open")
 
 
-@query(f"SELECT project, min(date) AS first_seen, max(date) AS last_seen, coalesce(substring(min(date), 1, 7) < '{_CUTOVER}' AND substring(max(date), 1, 7) >= '{_CUTOVER}', false) AS spans_eras FROM session_catalog WHERE project <> '' AND date <> '' GROUP BY 1")
+@query(_EVIDENCE + f"SELECT k AS project, first_seen, last_seen, coalesce(substring(first_seen, 1, 7) < '{_CUTOVER}' AND substring(last_seen, 1, 7) >= '{_CUTOVER}', false) AS spans_eras FROM s")
 def era_span(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "session_catalog").filter("project <> '' AND date <> ''").groupBy("project").agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
-    return rows.withColumn("spans_eras", F.coalesce((F.substring("first_seen", 1, 7) < _CUTOVER) & (F.substring("last_seen", 1, 7) >= _CUTOVER), F.lit(False)))
+    return ledger.summarise(_evidence(spark, sf), _CUTOVER).select(F.col("cluster_id").alias("project"), "first_seen", "last_seen", "spans_eras")
 
 
 @query(
-    """SELECT source AS cluster_id, rn AS nth, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY session_id, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE session_id IS NOT NULL) WHERE n <= 3 OR rn IN (1, n // 2 + 1, n)"""
+    """SELECT source AS cluster_id, rn AS nth, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY session_id, printf('%020d', doc_id)) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE session_id IS NOT NULL) WHERE n <= 3 OR rn IN (1, n // 2 + 1, n)"""
 )
 def exemplars(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").filter("session_id IS NOT NULL").select(F.col("source").alias("cluster_id"), F.col("session_id").alias("date"), F.lit("").alias("text"), F.col("doc_id").alias("item_id"))
-    counted = rows.withColumns({"nth": F.row_number().over(W.partitionBy("cluster_id").orderBy("date", "item_id")), "n": F.count("*").over(W.partitionBy("cluster_id"))})
-    return counted.filter("n <= 3 OR nth = 1 OR nth = n DIV 2 + 1 OR nth = n").select("cluster_id", F.col("nth").cast("bigint").alias("nth"), F.col("item_id").alias("doc_id"))
+    rows = table(spark, sf, "documents").filter("session_id IS NOT NULL").select(F.col("source").alias("cluster_id"), F.col("session_id").alias("date"), F.format_string("%020d", "doc_id").alias("text"), F.col("doc_id").alias("item_id"))
+    return ledger.exemplars(rows).select("cluster_id", F.col("nth").cast("bigint").alias("nth"), F.col("text").cast("bigint").alias("doc_id"))
 
 
-@query("SELECT project, (arg_min(handoff_path, (date, session_id, handoff_path))) AS root_cause FROM session_catalog WHERE project <> '' AND handoff_path <> '' AND date IS NOT NULL AND session_id IS NOT NULL GROUP BY 1")
+@query(_EVIDENCE + "SELECT k AS project, root_caused AS root_cause FROM s WHERE root_caused <> ''")
 def first_root_cause(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "session_catalog").filter("project <> '' AND handoff_path <> '' AND date IS NOT NULL AND session_id IS NOT NULL")
-    return rows.groupBy("project").agg(F.min_by("handoff_path", F.struct("date", "session_id", "handoff_path")).alias("root_cause"))
+    out = ledger.summarise(_evidence(spark, sf), _CUTOVER)
+    return out.filter("root_caused <> ''").select(F.col("cluster_id").alias("project"), F.col("root_caused").alias("root_cause"))
 
 
 @query(
@@ -460,14 +469,19 @@ def seeded_threads(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.seeded_threads(rows, seeds).select("name", "hits", "sessions")
 
 
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+_MONTHS = ["2026-03", "2026-04", "2026-05", "2026-06"]
+
+
 @query(
-    """WITH d AS (SELECT DISTINCT session_id AS s FROM documents WHERE session_id IS NOT NULL), c AS (SELECT DISTINCT session_id AS s FROM session_catalog WHERE session_id IS NOT NULL)
- SELECT (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM d WHERE s IN (SELECT s FROM c)) AS joined, (SELECT count(*) FROM d WHERE s NOT IN (SELECT s FROM c)) AS unlisted"""
+    f"""WITH c AS (SELECT nullif(regexp_extract(lower(session_id), '{_UUID}'), '') AS s FROM session_catalog WHERE substring(date, 1, 7) IN ('2026-03', '2026-04', '2026-05', '2026-06')), r AS (SELECT DISTINCT s FROM c WHERE s IS NOT NULL),
+ d AS (SELECT DISTINCT lower(session_id) AS s FROM documents WHERE session_id <> '')
+ SELECT (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM r) AS real, (SELECT count(*) FROM d WHERE s IN (SELECT s FROM r)) AS joined, (SELECT count(*) FROM d WHERE s NOT IN (SELECT s FROM r)) AS unlisted"""
 )
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    d, c = (table(spark, sf, t).select("session_id").filter("session_id IS NOT NULL").distinct() for t in ("documents", "session_catalog"))
-    total, joined, unlisted = c.agg(F.count("*").alias("total")), d.intersect(c).agg(F.count("*").alias("joined")), d.subtract(c).agg(F.count("*").alias("unlisted"))
-    return total.crossJoin(joined).crossJoin(unlisted)  # one row each
+    path = F.concat(F.lit("logs/"), F.coalesce("project", F.lit("none")), F.lit("/"), "session_id", F.lit(".jsonl"))
+    catalog = table(spark, sf, "session_catalog").select("date", path.alias("raw_jsonl_path"), F.lit("").alias("transcript_md_path"))
+    return ledger.coverage_numbers(table(spark, sf, "documents").select("session_id"), catalog, _MONTHS).select("total", "real", "joined", "unlisted")
 
 
 @query(
@@ -530,7 +544,7 @@ def census_crosstab(spark: SparkSession, sf: str) -> DataFrame:
  SELECT coalesce(a.stream_id, b.stream_id) AS stream_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_receipts, 0) AS n_receipts FROM a FULL JOIN b ON a.stream_id = b.stream_id WHERE coalesce(n_lines, 0) <> coalesce(n_receipts, 0)"""
 )
 def count_crosscheck(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "occurrences").groupBy("stream_id").agg(F.count_distinct("occurrence_id").alias("n_lines"))
-    stream = F.regexp_extract("source_locator", "^captures/([^/]+)/", 1)
-    b = table(spark, sf, "receipts").groupBy(stream.alias("stream_id")).agg(F.count_distinct("occurrence_id").alias("n_receipts"))
-    return a.join(b, "stream_id", "full_outer").fillna(0, ["n_lines", "n_receipts"]).filter("n_lines <> n_receipts")
+    paths = lambda name, stream: table(spark, sf, name).filter("occurrence_id IS NOT NULL").select(F.concat(stream, F.lit("/"), "occurrence_id").alias("path")).distinct()
+    named = F.regexp_extract("source_locator", "^captures/([^/]+)/", 1)
+    off = census.count_mismatches(paths("occurrences", F.col("stream_id")), paths("receipts", named).filter("path IS NOT NULL"))
+    return off.select(F.col("top_level").alias("stream_id"), F.col("n_a").alias("n_lines"), F.col("n_b").alias("n_receipts"))
