@@ -63,9 +63,11 @@ def capture_prebuilt(spark: SparkSession, occurrences_jsonl: str, out: str) -> t
     """Prebuilt occurrences (one JSON object a line) to a canonical bundle; any blank line or broken envelope fails the run."""
     schema = "occurrence_id string, stream_id string, fixture_id string, source_locator string, line_number bigint, raw_line_sha256 string, raw_text string"
     text = lines.capture_files(spark, occurrences_jsonl).select(F.explode(lines.split_records(F.decode("content", "UTF-8"))).alias("line"))
-    parsed = text.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").isNull().alias("broken"))
-    if not parsed.filter("broken OR r.occurrence_id IS NULL").isEmpty():
-        return 2, {"exit_code": 2, "error": "a line is no occurrence"}
+    needed = [k for k in capture.LINE_KEYS if k != "stream_id"]
+    parsed = materialise(text.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"), lines.strict_fault(F.col("line"), needed, ["stream_id", "fixture_id"]).alias("fault")), "parsed")
+    broken = parsed.filter("fault IS NOT NULL OR r.occurrence_id IS NULL OR (r.stream_id IS NULL) = (r.fixture_id IS NULL)").select("fault").head(1)
+    if broken:
+        return 2, {"exit_code": 2, "error": f"a line is no occurrence: {broken[0][0]}"}
     rows = materialise(parsed.select("r.*").withColumn("stream_id", F.coalesce("stream_id", "fixture_id")).drop("fixture_id"), "lines")
     try:
         capture.publish_bundle(rows, out)
@@ -81,7 +83,11 @@ def load_canonical_events(spark: SparkSession, path: str) -> DataFrame:
         "event_id string, source_record_ids array<string>, source_occurrence_ids array<string>, session_id string, resume_of string, logical_seq bigint, timestamp string, actor string, event_class string, text_blocks array<string>, "
         f"attachments array<{attachment}>, tool_call_id string, boundary string, provenance struct<source_locators:array<string>,derivation:string>"
     )
-    events = materialise(spark.read.schema(schema).option("mode", "FAILFAST").json(path), "events")
+    text = spark.read.text(path)
+    broken = text.select(lines.strict_fault(F.col("value"), capture.EVENT_KEYS).alias("fault")).filter("fault IS NOT NULL").head(1)
+    if broken:
+        raise ValueError(f"a line is no event: {broken[0][0]}")
+    events = materialise(text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*"), "events")
     bad = capture.event_violations(events).select("violation", "event_id").head(1)
     if bad:
         raise ValueError(f"{bad[0][0]}: {bad[0][1]}")

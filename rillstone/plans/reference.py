@@ -270,7 +270,25 @@ def goal_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return threads.thread_rows(table(spark, sf, "session_catalog")).filter("state <> 'open'").select("slug", "session_id", "date", "goal", "status", "state")
 
 
-@query()
+_OPEN_COUNT = SQL["open_counts"].partition("slug, ")[2].partition(" AS open_count")[0]
+_LEDGER = (
+    _GOALS
+    + f""", o0 AS (SELECT slug, session_id, date, trim(coalesce(open_text, ''), chr(32) || chr(9) || chr(10)) AS said_open, {_OPEN_COUNT} AS k FROM c),
+ t AS (SELECT * FROM said UNION ALL SELECT slug, session_id, date, coalesce(nullif(substring(said_open, 1, 160), ''), 'Open threads: ' || k), 'open-threads@' || slug, 'open' FROM o0 WHERE k > 0),
+ w AS (SELECT DISTINCT state, goal, slug, status, {_WORDS.format('goal')} AS tk FROM t WHERE state IN ('met', 'open')),
+ x AS (SELECT m.goal AS mg, m.slug AS ms, m.status AS mst, p.goal AS og, p.slug AS os, p.status AS ost FROM w m JOIN w p ON m.state = 'met' AND p.state = 'open' AND m.slug <> p.slug AND len(m.tk) > 0 AND len(p.tk) > 0 AND len(list_intersect(m.tk, p.tk)) * 5 >= 3 * least(len(m.tk), len(p.tk))),
+ sides AS (SELECT 'met' AS state, mg AS goal, ms AS slug, mst AS status, ost AS other FROM x UNION SELECT 'open', og, os, ost, mst FROM x),
+ a AS (SELECT state, goal, slug, status, list_sort(list_distinct(list_append(list(other), status))) AS src FROM sides GROUP BY state, goal, slug, status),
+ topics AS (SELECT DISTINCT slug, project AS topic FROM session_catalog WHERE project <> '')
+"""
+)
+
+
+@query(
+    _LEDGER
+    + """ SELECT coalesce(p.topic, 'untagged') AS topic, t.slug, t.goal, CASE WHEN a.src IS NULL THEN t.status ELSE 'conflict' END AS status, CASE WHEN a.src IS NULL THEN t.state ELSE 'conflict' END AS state, array_to_string(coalesce(a.src, [t.status]), '; ') AS sources, t.date AS last_touched
+ FROM t LEFT JOIN topics p ON p.slug = t.slug LEFT JOIN a ON a.state = t.state AND a.goal = t.goal AND a.slug = t.slug AND a.status = t.status"""
+)
 def thread_ledger(spark: SparkSession, sf: str) -> DataFrame:
     catalog = table(spark, sf, "session_catalog")
     topics = catalog.select("slug", F.col("project").alias("topic")).filter("topic <> ''").distinct()
@@ -498,11 +516,20 @@ def lane_union(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lane", "session_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH f0 AS (SELECT DISTINCT session_id, date, slug, handoff_path, project, outcome_summary, goals, friction FROM session_catalog WHERE entry_source = 'close' AND json_valid(friction)),
+ f AS (SELECT unnest(json_extract(friction, '$[*]')) AS v FROM f0 WHERE json_type(friction) = 'ARRAY'),
+ refs AS (SELECT DISTINCT json_extract_string(v, '$.ref') AS ref FROM f WHERE json_type(v) = 'OBJECT' AND trim(coalesce(json_extract_string(v, '$.what'), '')) <> '' AND json_extract_string(v, '$.ref') <> ''),
+ n0 AS (SELECT replace(regexp_extract(text, '(?m)^title: (.*)$', 1), ' ', '_') AS stem, doc_id, text FROM documents WHERE source = 'memory' AND text IS NOT NULL),
+ notes AS (SELECT stem, arg_min(text, doc_id) AS text, array_to_string(list_sort(regexp_split_to_array(lower(stem), '[_\\-.]+')), '|') AS bag FROM n0 WHERE stem <> '' GROUP BY 1),
+ r AS (SELECT ref, regexp_replace(ref, '\\.md$', '') AS key, array_to_string(list_sort(regexp_split_to_array(lower(regexp_replace(ref, '\\.md$', '')), '[_\\-.]+')), '|') AS bag FROM refs)
+ SELECT CASE WHEN e.stem IS NOT NULL THEN CASE WHEN regexp_matches(substring(e.text, 1, 3000), '(?i)superseded') THEN '[S]' ELSE '' END WHEN EXISTS (SELECT 1 FROM notes k WHERE k.bag = r.bag) THEN '[!]' ELSE '[?]' END AS mark, count(*) AS n FROM r LEFT JOIN notes e ON e.stem = r.key GROUP BY 1"""
+)
 def citation_marks(spark: SparkSession, sf: str) -> DataFrame:
     catalog = table(spark, sf, "session_catalog")
     refs = ledger.close_items(catalog).filter("lane = 'close-friction' AND ref <> ''").select("ref")
-    notes = table(spark, sf, "documents").filter("source = 'memory' AND text IS NOT NULL").select(F.regexp_replace(F.regexp_extract("text", r"(?m)^title: (.*)$", 1), " ", "_").alias("stem"), "text").filter("stem <> ''").dropDuplicates(["stem"])
+    notes = table(spark, sf, "documents").filter("source = 'memory' AND text IS NOT NULL").select(F.regexp_replace(F.regexp_extract("text", r"(?m)^title: (.*)$", 1), " ", "_").alias("stem"), "doc_id", "text")
+    notes = notes.filter("stem <> ''").groupBy("stem").agg(F.min_by("text", "doc_id").alias("text"))
     return ledger.citations(refs, notes).groupBy("mark").agg(F.count("*").alias("n"))
 
 

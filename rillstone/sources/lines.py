@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.functions.strictjson import strict_loads
 from rillstone.functions.text import SPACES, filled, locator, occurrence_id, strip
 
 #: Line ends of the strict format, and those a tolerant text reader knows.
@@ -41,14 +45,46 @@ def raw_lines(files: DataFrame, stream: str, label: str) -> DataFrame:
     )
 
 
+def _faults(required: frozenset[str], optional: frozenset[str]):
+    def judge(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            try:
+                value = strict_loads(text or "")
+                bad = "not an object" if not isinstance(value, dict) else ", ".join([f"without {k}" for k in sorted(required - value.keys())] + [f"unknown {k}" for k in sorted(value.keys() - required - optional)])
+            except ValueError as e:
+                bad = f"no strict JSON: {e}"
+            out.append(bad or None)
+        return pd.Series(out, dtype=object)
+
+    return judge
+
+
+def _is_whole(texts: pd.Series) -> pd.Series:
+    def whole(text: str) -> bool:
+        try:
+            json.loads(text)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    return texts.map(whole)
+
+
+def strict_fault(text: Column, required: list[str], optional: list[str] = ()) -> Column:
+    """Why a line is not exactly one JSON object of the given names, each once, with finite numbers and nothing after it; null if it is."""
+    return F.pandas_udf(_faults(frozenset(required), frozenset(optional)), "string")(text)
+
+
 def tolerant_records(spark: SparkSession, path: str) -> DataFrame:
     """``line_number, line, record, reason`` of a JSONL file: ``record`` is a variant where the line is an object; reason is ``parse_error``
     or ``non_object`` else. Blank lines are left out, bad bytes replaced."""
-    text = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
+    text = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("t"))
     lines = text.select("path", F.posexplode(split_records(F.col("t"), TOLERANT_ENDS)).alias("p", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
     value = F.try_parse_json("line")
-    kind = F.schema_of_variant(value)
-    reason = F.when(value.isNull(), "parse_error").when(~kind.startswith("OBJECT"), "non_object")
+    # the reader of variants stops at the end of the first value
+    whole = F.pandas_udf(_is_whole, "boolean")("line")
+    reason = F.when(value.isNull() | ~whole, "parse_error").when(~F.schema_of_variant(value).startswith("OBJECT"), "non_object")
     return lines.select("path", (F.col("p") + 1).alias("line_number"), "line", F.when(reason.isNull(), value).alias("record"), reason.alias("reason"))
 
 

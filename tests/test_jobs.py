@@ -1,8 +1,11 @@
 import json
 import os
 
+import pytest
+
 from rillstone import jobs
 from rillstone.__main__ import main
+from rillstone.sources import lines, markdown
 
 
 def put(path, *rows):
@@ -23,6 +26,22 @@ def test_capture(spark, tmp_path):
     assert jobs.capture_prebuilt(spark, put(tmp_path / "x.jsonl", "{"), str(tmp_path / "e"))[0] == 2
 
 
+def test_strict_and_tolerant_reading(spark, tmp_path):
+    good = {"event_id": "e", "record_id": "r", "session_id": "s", "logical_seq": 1, "timestamp": "2026-01-01T00:00:00Z", "sender": "owner", "record_type": "message", "text": "x"}
+    jobs.capture_raw(spark, put(tmp_path / "raw.jsonl", good), "s1", "cap/raw.jsonl", str(tmp_path / "b"))
+    event, line = (tmp_path / "b" / "events.jsonl").read_text().strip(), (tmp_path / "b" / "occurrences.jsonl").read_text().strip()
+    for bad in (event[:-1] + ',"event_id":"e2"}', event[:-1] + ',"more":1}', event + " x", event.replace('"actor":"owner",', "")):
+        with pytest.raises(Exception, match="no event"):
+            jobs.load_canonical_events(spark, put(tmp_path / "e.jsonl", bad))
+    for bad in (line[:-1] + ',"line_number":1}', line[:-1] + ',"more":1}', line + " x", line[:-1] + ',"fixture_id":"f"}'):
+        assert jobs.capture_prebuilt(spark, put(tmp_path / "o.jsonl", bad), str(tmp_path / "z"))[0] == 2
+    (tmp_path / "t.jsonl").write_bytes(b'{"a":"x\xffy"}\n{"a":1} x\n\n[1]\n')
+    got = sorted((r["line_number"], r["reason"], "\ufffd" in r["line"]) for r in lines.tolerant_records(spark, str(tmp_path / "t.jsonl")).collect())
+    assert got == [(1, None, True), (2, "parse_error", False), (4, "non_object", False)]
+    (tmp_path / "n.md").write_bytes(b"## Prompts\n1. one \xff two\n")
+    assert [r["text"] for r in markdown.prompts(markdown.markdown_files(spark, str(tmp_path / "n.md"))).collect()] == ["one \ufffd two"]
+
+
 def test_export_threads_and_query(spark, tmp_path):
     talk = {"uuid": "u", "updated_at": "2026-07-02", "chat_messages": [{"sender": "human", "text": "hi"}]}
     code, said = jobs.convert_export(spark, put(tmp_path / "x.json", [talk, talk | {"updated_at": "2026-06-01"}, talk | {"uuid": "v", "chat_messages": []}, 5]), str(tmp_path / "out"), "2026-07-01")
