@@ -1,8 +1,8 @@
 """Near-duplicate records with small edits, by the generalised pigeonhole principle (problem 2).
 
 A record is the set of its words, a sparse bit vector; Jaccard similarity of at least t bounds the Hamming distance of two sets by their
-sizes. Words are grouped into partitions: frequent words, which go together because they come from the same phrasing, into one; the others by
-hash. Among the rarest words of two similar records at least k are shared. If partition i is probed only for sets of r_i shared words, then
+sizes. Words are grouped into partitions: frequent words by the correlation measured between them over all records, so that those of one phrasing
+share a partition; the others, which hardly correlate, by hash. Among the rarest words of two similar records at least k are shared. If partition i is probed only for sets of r_i shared words, then
 no pair is lost as long as the sum of (r_i - 1) is less than k: each pair must reach some r_i. The r_i are unequal, and are chosen together
 with k by dynamic programming over the candidate counts that statistics of all records predict. Candidates are verified exactly.
 """
@@ -23,14 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.similarity import connected
 from rillstone.runtime import materialise
 
 log = logging.getLogger(__name__)
 _WORDS = re.compile("[a-z0-9]+")
 #: Counters of the frequency sketch; words that share one are ordered alike, which costs speed at most. Its size does not depend on the data.
 SKETCH_BITS = 18
-#: Partitions besides that of the frequent words, the largest k considered, and the largest r_i.
-RARE_PARTITIONS, MAX_K, MAX_R = 3, 7, 3
+#: Partitions of the frequent words, by how they go together, and of the others; the largest k considered, and the largest r_i.
+COMMON_PARTITIONS, RARE_PARTITIONS, MAX_K, MAX_R = 2, 3, 7, 3
+_PARTS = COMMON_PARTITIONS + RARE_PARTITIONS
+#: The most frequent words, whose correlation is measured over all records; a table of fixed size.
+CORRELATED = 256
 #: What a candidate costs, which its digest of bits mostly rejects where it is found, against one signature.
 PAIR_COST = 1.0
 #: A word in at least this share of the records is frequent.
@@ -51,7 +55,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Plan:
-    """The chosen k, and r of each partition; partition 0 holds the frequent words."""
+    """The chosen k, and r of each partition; the first ones hold the frequent words."""
 
     k: int
     r: tuple[int, ...]
@@ -90,9 +94,59 @@ def prefix_lengths(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np
     return size - -(-num * size // den), size - -(-2 * num * size // (num + den))
 
 
-def _partitions(freq: np.ndarray, h: np.ndarray, frequent: float) -> np.ndarray:
-    rare = 1 + ((h.view(np.uint64) >> np.uint64(7)) % np.uint64(RARE_PARTITIONS)).astype(np.int64)
-    return np.where(freq >= frequent, 0, rare)
+def _cooccurrence(index: np.ndarray, size: int):
+    """``i, j, n``: in how many records the i-th and the j-th of the most frequent words stand together; ``index`` maps slots to them, others to -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size), np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            at = index[_slot(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))]
+            held = np.zeros((len(lists), size), np.float32)
+            held[row[at >= 0], at[at >= 0]] = 1
+            total += (held.T @ held).astype(np.int64)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(total[i, j])], names=["i", "j", "n"])
+
+    return run
+
+
+def correlated_groups(together: np.ndarray, n: int) -> np.ndarray:
+    """The group of each word from the numbers of records that hold two words; the diagonal holds those of one. Correlations are phi coefficients; each
+    group forms around a word, and these words are those least correlated with one another that keep most company."""
+    own = np.diag(together).astype(float)
+    spread = np.sqrt(np.maximum(own * (n - own), 1e-9))
+    phi = (together * float(n) - np.outer(own, own)) / np.outer(spread, spread)
+    np.fill_diagonal(phi, 0.0)
+    seeds = [int(np.argmax(np.maximum(phi, 0).sum(1)))]
+    while len(seeds) < min(COMMON_PARTITIONS, len(own)):
+        company = np.maximum(phi, 0).sum(1) - len(own) * np.maximum(phi[:, seeds], 0).max(1)
+        company[seeds] = -np.inf
+        seeds.append(int(np.argmax(company)))
+    group = np.argmax(phi[:, seeds], axis=1)
+    group[seeds] = np.arange(len(seeds))
+    for _ in range(4):  # a word moves to the group it goes with most on average
+        means = np.stack([phi[:, group == g].mean(1) if (group == g).any() else np.full(len(own), -np.inf) for g in range(len(seeds))], 1)
+        group = np.argmax(means, axis=1)
+    return group
+
+
+def _partition_table(sets: DataFrame, counts: np.ndarray, n: int, frequent: float) -> np.ndarray:
+    """The partition of each slot of the sketch: the group of a frequent word, else one by hash."""
+    table = (COMMON_PARTITIONS + (np.arange(len(counts)) * 0x9E3779B1 >> 7) % RARE_PARTITIONS).astype(np.int8)
+    common = np.flatnonzero(counts >= frequent)
+    table[common] = 0
+    top = common[np.argsort(-counts[common], kind="stable")][:CORRELATED]
+    if len(top) > 1:
+        index = np.full(len(counts), -1, np.int16)
+        index[top] = np.arange(len(top))
+        found = sets.select("words").mapInArrow(_cooccurrence(index, len(top)), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()  # at most 256 x 256 rows
+        together = np.zeros((len(top), len(top)))
+        together[found["i"].to_numpy(), found["j"].to_numpy()] = found["n"].to_numpy()
+        table[top] = correlated_groups(together, n)
+        log.info("%d frequent words in groups of %s", len(common), np.bincount(table[top], minlength=COMMON_PARTITIONS).tolist())
+    return table
 
 
 def _ordered(batch: pa.RecordBatch, column: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,16 +162,16 @@ def _ordered(batch: pa.RecordBatch, column: int, counts: np.ndarray) -> tuple[np
     return row, h, freq, rank
 
 
-def _statistics(counts: np.ndarray, frequent: float, num: int, den: int):
+def _statistics(counts: np.ndarray, table: np.ndarray, num: int, den: int):
     """Per k, partition and r: the signatures written, and the records that signatures of the shorter prefixes are expected to meet."""
-    parts = RARE_PARTITIONS + 1
+    parts = _PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, hits = np.zeros((MAX_K + 1, parts, MAX_R + 1)), np.zeros((MAX_K + 1, parts, MAX_R + 1))
         for batch in batches:
             row, h, freq, rank = _ordered(batch, 0, counts)
             size = np.bincount(row, minlength=batch.num_rows)
-            part = _partitions(freq, h, frequent)
+            part = table[_slot(h)].astype(np.int64)
             large, small = prefix_lengths(size, num, den)
             for k in range(1, MAX_K + 1):
                 inside = rank < large[row] + k
@@ -127,12 +181,13 @@ def _statistics(counts: np.ndarray, frequent: float, num: int, den: int):
                 inside = rank < small[row] + k
                 hits[k, :, 1] += np.bincount(part[inside], weights=freq[inside], minlength=parts)
                 # frequent words come in company: all their combinations are taken to be as common as their rarest word
-                common = inside & (part == 0)
-                at, f = row[common], freq[common]
-                held0 = np.bincount(at, minlength=batch.num_rows)
-                after = (np.cumsum(held0)[at] - np.arange(len(at)) - 1) if len(at) else at
-                for r in range(2, MAX_R + 1):
-                    hits[k, 0, r] += float((f * _combinations(after, r - 1)).sum())
+                for g in range(COMMON_PARTITIONS):
+                    common = inside & (part == g)
+                    at, f = row[common], freq[common]
+                    held0 = np.bincount(at, minlength=batch.num_rows)
+                    after = (np.cumsum(held0)[at] - np.arange(len(at)) - 1) if len(at) else at
+                    for r in range(2, MAX_R + 1):
+                        hits[k, g, r] += float((f * _combinations(after, r - 1)).sum())
         out = [(k, i, r, rows[k, i, r], hits[k, i, r]) for k in range(1, MAX_K + 1) for i in range(parts) for r in range(1, MAX_R + 1)]
         yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["k", "i", "r", "n_rows", "n_hits"]), preserve_index=False)
 
@@ -146,14 +201,14 @@ def _combinations(n: np.ndarray, r: int) -> np.ndarray:
     return out
 
 
-def _signatures(plan: Plan, counts: np.ndarray, frequent: float, num: int, den: int):
+def _signatures(plan: Plan, counts: np.ndarray, table: np.ndarray, num: int, den: int):
     names = ["sig", "set_id", "size_flag", "bits_0", "bits_1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, h, freq, rank = _ordered(batch, 1, counts)
             size = np.bincount(row, minlength=batch.num_rows)
-            part = _partitions(freq, h, frequent)
+            part = table[_slot(h)].astype(np.int64)
             large, small = prefix_lengths(size, num, den)
             bits = _digest(row, h, batch.num_rows)
             keep = rank < large[row] + plan.k
@@ -161,7 +216,7 @@ def _signatures(plan: Plan, counts: np.ndarray, frequent: float, num: int, den:
             indexed = rank < small[row] + plan.k
             order = np.lexsort((rank, part, row))
             row, h, part, indexed = row[order], h[order], part[order], indexed[order]
-            group = row * (RARE_PARTITIONS + 1) + part
+            group = row * _PARTS + part
             sigs, rows_, both = [], [], []
             for i, r in enumerate(plan.r):
                 at = np.flatnonzero(part == i)
@@ -253,14 +308,14 @@ def similar_sets(sets: DataFrame, num: int, den: int, min_words: int = 1) -> Dat
         n = int(merged.loc[merged["slot"] < 0, "n"].sum())
         held = merged[merged["slot"] >= 0]
         counts[held["slot"].to_numpy()] = held["n"].to_numpy()
-    frequent = max(8.0, n * FREQUENT)
-    stats = sets.select("words").mapInArrow(_statistics(counts, frequent, num, den), "k bigint, i bigint, r bigint, n_rows double, n_hits double")
+    partitions = _partition_table(sets, counts, n, max(8.0, n * FREQUENT))
+    stats = sets.select("words").mapInArrow(_statistics(counts, partitions, num, den), "k bigint, i bigint, r bigint, n_rows double, n_hits double")
     stats = stats.groupBy("k", "i", "r").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_hits").alias("n_hits")).collect()  # one row per k, partition and r
-    pairs, rows = np.full((MAX_K + 1, RARE_PARTITIONS + 1, MAX_R + 1), 1e18), np.full((MAX_K + 1, RARE_PARTITIONS + 1, MAX_R + 1), 1e18)
+    pairs, rows = np.full((MAX_K + 1, _PARTS, MAX_R + 1), 1e18), np.full((MAX_K + 1, _PARTS, MAX_R + 1), 1e18)
     of = {(s["k"], s["i"], s["r"]): s for s in stats}
     for (k, i, r), s in of.items():
         rows[k, i, r] = s["n_rows"]
-        if i == 0:
+        if i < COMMON_PARTITIONS:
             pairs[k, i, r] = s["n_hits"] / 2
         else:  # words of a rare partition are met independently: shared ones follow a Poisson distribution
             mean = of[k, i, 1]["n_hits"] / max(n, 1) ** 2
@@ -268,7 +323,7 @@ def similar_sets(sets: DataFrame, num: int, den: int, min_words: int = 1) -> Dat
     plan = choose(pairs, rows, overlap_needed(min_words, min_words, num, den))
     log.info("%d sets, %s, expecting %s candidates", n, plan, [round(pairs[plan.k, i, r]) for i, r in enumerate(plan.r)])
     log.debug("candidates %s, signatures %s", pairs[1:, :, 1:].round().tolist(), rows[1:, :, 1:].round().tolist())
-    signed = sets.select("set_id", "words").mapInArrow(_signatures(plan, counts, frequent, num, den), "sig bigint, set_id bigint, size_flag int, bits_0 bigint, bits_1 bigint")
+    signed = sets.select("set_id", "words").mapInArrow(_signatures(plan, counts, partitions, num, den), "sig bigint, set_id bigint, size_flag int, bits_0 bigint, bits_1 bigint")
     return _verified(_candidates(signed, num, den), sets, num, den)
 
 
@@ -317,23 +372,9 @@ def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(same).distinct()
 
 
-def groups(members: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``rec_id, group_id, n_links``: connected groups of records, with the number of links each record's word set has.
-
-    Labels travel along links and are shortened by pointer jumping until nothing changes.
-    """
-    edges = materialise(links.select(F.col("set_a").alias("x"), F.col("set_b").alias("y")).unionByName(links.select(F.col("set_b").alias("x"), F.col("set_a").alias("y"))), "edges")
-    label = materialise(edges.select(F.col("x").alias("set_id")).distinct().withColumn("label", F.col("set_id")), "label")
-    for _ in range(rounds):
-        heard = edges.join(label.toDF("y", "label"), "y").groupBy("x").agg(F.min("label").alias("low"))
-        near = label.join(heard.toDF("set_id", "low"), "set_id").select("set_id", F.least("label", "low").alias("next"), "label")
-        jump = near.join(near.select(F.col("set_id").alias("next"), F.col("next").alias("far")), "next", "left").select("set_id", F.least("next", F.coalesce("far", "next")).alias("next"), "label")
-        jump = materialise(jump, "label")
-        if not jump.filter("next <> label").limit(1).count():
-            break
-        label = jump.select("set_id", F.col("next").alias("label"))
-    else:
-        raise RuntimeError(f"groups did not settle within {rounds} rounds")
-    degree = edges.groupBy("x").count().toDF("set_id", "n_links")
-    out = members.join(label, "set_id", "left").join(degree, "set_id", "left")
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``rec_id, group_id, n_links``: connected groups of records, with the number of links each record's word set has."""
+    label = connected(links.select(F.col("set_a").alias("item_id")).unionByName(links.select(F.col("set_b").alias("item_id"))).distinct(), links.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+    degree = links.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    out = members.join(label.toDF("set_id", "label"), "set_id", "left").join(degree, "set_id", "left")
     return out.select("rec_id", F.coalesce("label", "set_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -68,7 +68,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     members, links = neardup.near_duplicates(text_records(spark, sf), "rec_id", "text", 3, 5, 6)
-    return neardup.groups(members, links)
+    return neardup.groups(members, materialise(links, "links"))
 
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:

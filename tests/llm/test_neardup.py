@@ -39,7 +39,7 @@ def test_no_pair_is_lost(spark, num, den, least, seed):
     assert {tuple(x) for x in N.record_pairs(members, links).collect()} == brute(data, num, den, least)
 
 
-@pytest.mark.parametrize("plan", [N.Plan(1, (1, 1, 1, 1)), N.Plan(4, (1, 2, 2, 2)), N.Plan(5, (2, 2, 2, 2)), N.Plan(5, (3, 2, 2, 1)), N.Plan(3, (3, 1, 1, 1))])
+@pytest.mark.parametrize("plan", [N.Plan(1, (1, 1, 1, 1, 1)), N.Plan(4, (1, 1, 2, 2, 2)), N.Plan(5, (2, 2, 2, 1, 2)), N.Plan(6, (3, 2, 2, 2, 1)), N.Plan(3, (3, 1, 1, 1, 1))])
 def test_every_plan_is_complete(spark, monkeypatch, plan):
     monkeypatch.setattr(N, "choose", lambda *_: plan)
     data = corpus(7, 120)
@@ -61,7 +61,7 @@ def test_empty(spark):
 
 def test_choice_is_the_cheapest():
     r = np.random.default_rng(5)
-    shape = (N.MAX_K + 1, N.RARE_PARTITIONS + 1, N.MAX_R + 1)
+    shape = (N.MAX_K + 1, N._PARTS, N.MAX_R + 1)
     pairs, rows = r.uniform(1, 100, shape), r.uniform(1, 100, shape)
     import itertools
 
@@ -79,3 +79,14 @@ def test_digest_is_a_lower_bound():
         bits = N._digest(rows, np.concatenate(sets), 2)
         differ = sum(int(x[0] ^ x[1]).bit_count() if (x[0] ^ x[1]) >= 0 else (int(x[0] ^ x[1]) & (2**64 - 1)).bit_count() for x in bits)
         assert differ <= len(set(sets[0]) ^ set(sets[1]))
+
+
+def test_correlated_words_share_a_group():
+    r = np.random.default_rng(1)
+    kind = r.integers(0, 2, 2000)
+    held = np.zeros((2000, 20))
+    for w in range(20):  # words 0 to 9 come from one phrasing, the others from another
+        held[:, w] = (kind == w // 10) & (r.random(2000) < 0.7)
+    group = N.correlated_groups(held.T @ held, 2000)
+    assert len(set(group[:10])) == 1 and len(set(group[10:])) == 1 and group[0] != group[10]
+    assert N.correlated_groups(np.array([[5.0]]), 9).tolist() == [0]
