@@ -59,8 +59,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """How many rows and distinct documents each flat table of the conversations has."""
-    long = nested.shred(table(spark, sf, "conversations"), "row_id", "chat_messages", "chat_messages", "uuid", ["type"])
+    """How many rows and distinct documents each flat table of the conversations and of the friction entries has, all fields read."""
+    long = nested.shred(table(spark, sf, "conversations"), "row_id", "chat_messages", "chat_messages", "uuid")
+    long = long.unionByName(nested.shred(table(spark, sf, "session_catalog").filter("session_id IS NOT NULL"), "session_id", "friction", "friction"))
     return long.groupBy("element", "parent_element").agg(F.count("*").alias("n_rows"), F.count_distinct("doc_key").alias("n_docs"))
 
 
