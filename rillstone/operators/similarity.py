@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -39,36 +42,87 @@ def jaccard_pairs(items: DataFrame, num: int, den: int) -> DataFrame:
     return _verify(_candidates(prefix), items).filter(F.expr(f"shared * {den} >= {num} * (na + nb - shared)"))
 
 
-def containment_pairs(items: DataFrame, num: int, den: int, floor: int) -> DataFrame:
-    """``a, b, shared, na, nb`` with at least ``floor`` shared tokens that are num/den of the smaller set.
+#: So many of the most frequent tokens are bits in a row's words, a list of fixed size; the others are rare.
+FREQUENT = 384
+_WORDS = [f"w{i}" for i in range(FREQUENT // 64)]
 
-    Of the m = max(floor, ceil(n * num / den)) tokens that the smaller set of n shares, one is among its ``n - m + 1`` rarest: these few are joined
-    with all tokens of the sets that are no smaller.
-    """
-    ordered = _rarest_first(items).filter(f"size >= {floor}")
-    need = f"greatest({floor}, CAST((size * {num} + {den - 1}) DIV {den} AS INT))"
-    probe = ordered.filter(F.expr(f"pos <= size - {need} + 1")).select("token", F.col("item_id").alias("small"), F.col("size").alias("ns"))
-    index = ordered.select("token", F.col("item_id").alias("large"), F.col("size").alias("nl"))
-    met = probe.join(index, "token").filter("ns < nl OR (ns = nl AND small < large)").select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b")).distinct()
-    return _verify(met, items).filter(F.expr(f"shared >= {floor} AND shared * {den} >= {num} * least(na, nb)"))
 
+def _coder(rank: dict[int, int]):
+    """Of an item's hashes: its frequent tokens as bits and as sorted ranks, its rare ones as sorted hashes."""
 
-def overlap_pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` across two item tables whose shared tokens are at least num/den of the smaller set; sets without tokens match nothing.
+    def code(hashes):
+        words, common, rare = [0] * len(_WORDS), [], []
+        for h in map(int, hashes):
+            k = rank.get(h)
+            if k is None:
+                rare.append(h)
+            else:
+                common.append(k)
+                words[k >> 6] |= 1 << (k & 63)
+        return (*(w - (1 << 64) if w >> 63 else w for w in words), sorted(common), sorted(rare))
+
+    return code
+
+
+def _postings(items: DataFrame, num: int, den: int, floor: int) -> DataFrame:
+    """``token, pos, size, need, n_rare, w0, ..., rare`` and the items' columns but ``tokens``: a row for each token at which an item can first meet another.
 
-    A match shares a token among the ``n - ceil(n * num / den) + 1`` rarest of the smaller side, so each side's prefix is joined with all
-    tokens of the other.
+    Tokens are ordered alike everywhere: rare ones by hash (63 bits, negative), then the most frequent ones, by rank from the least frequent on.
+    A pair that shares m tokens either has m frequent ones in common, then the first of them is among the first ``nf - m + 1`` of either item, or
+    it shares at least ``g = m - min(nf, m - 1)`` rare ones, whose first is among the first ``nr - g + 1``. For m the smallest is taken that any
+    partner may ask for.
     """
-    both = left.select("item_id", "tokens", F.lit(0).alias("s")).unionByName(right.select("item_id", "tokens", F.lit(1).alias("s")))
-    keyed = both.select(F.struct("s", "item_id").alias("item_id"), "tokens")
-    ordered = _rarest_first(keyed)
-    short = F.expr(f"pos <= size - CAST((size * {num} + {den - 1}) DIV {den} AS INT) + 1")
-    l, r = ordered.filter("item_id.s = 0"), ordered.filter("item_id.s = 1")
-    pick = lambda x, y: x.select("token", F.col("item_id.item_id").alias("a"), F.col("size").alias("na")).join(y.select("token", F.col("item_id.item_id").alias("b"), F.col("size").alias("nb")), "token")
-    pairs = pick(l.filter(short), r).filter("na <= nb").select("a", "b").unionByName(pick(l, r.filter(short)).filter("na > nb").select("a", "b")).distinct()
-    ta, tb = left.select(F.col("item_id").alias("a"), F.col("tokens").alias("ta")), right.select(F.col("item_id").alias("b"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(ta, "a").join(tb, "b").filter(shared * den >= F.lit(num) * F.least(F.size("ta"), F.size("tb"))).select("a", "b")
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t).bitwiseOR(F.lit(-(1 << 63))))
+    rows = items.filter(F.size("tokens") >= max(1, floor)).withColumn("hashes", hashes)
+    top = rows.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    least = rows.agg(F.min(F.size("tokens"))).head()[0] or 1  # one value
+    kind = ", ".join([*(f"{w} bigint" for w in _WORDS), "common array<bigint>", "rare array<bigint>"])
+    code = F.udf(_coder({r["h"]: k for k, r in enumerate(reversed(top))}), f"struct<{kind}>", useArrow=True)
+    kept = [c for c in items.columns if c != "tokens"]
+    coded = rows.select(*kept, F.size("tokens").alias("size"), code("hashes").alias("c")).select(*kept, "size", "c.*")
+    coded = coded.withColumns({"n_rare": F.size("rare"), "n_common": F.size("common"), "m": _need(F.least("size", F.lit(least)), num, den, floor)})
+    starts = F.expr("concat(slice(rare, 1, greatest(0, n_rare - (m - least(n_common, m - 1)) + 1)), slice(common, 1, greatest(0, n_common - m + 1)))")
+    words = [F.coalesce(w, F.lit(0).cast("bigint")).alias(w) for w in _WORDS]  # never null, which makes comparing them shorter
+    return coded.select(*kept, "size", _need(F.col("size"), num, den, floor).alias("need"), "n_rare", *words, "rare", F.posexplode(starts).alias("pos", "token"))
+
+
+def _need(size: Column, num: int, den: int, floor: int) -> Column:
+    """How many tokens a smaller set of this size must share."""
+    return F.greatest(F.lit(max(1, floor)), ((size * num + den - 1) / den).cast("int"))
+
+
+def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Postings ``x`` and ``y``, columns with these prefixes, where two items share enough tokens; each pair is there once, at its first token.
+
+    All that decides is at hand where postings meet, so neither candidates nor pairs are sent anywhere, sorted or made distinct. The conditions are
+    kept short, since Java compiles no method of more than 8,000 bytes, and one that it doesn't compile takes a hundred times as long.
+    """
+    x, y = x.toDF(*[f"x_{c}" for c in x.columns]), y.toDF(*[f"y_{c}" for c in y.columns])
+    need, out = F.least("x_need", "y_need"), [*x.columns, *y.columns]
+    frequent = reduce(add, [F.bit_count(F.col(f"x_{w}").bitwiseAND(F.col(f"y_{w}"))) for w in _WORDS])
+    left = F.least(F.col("x_n_rare") - F.col("x_pos"), F.col("y_n_rare") - F.col("y_pos"))
+    rare = F.array_intersect("x_rare", "y_rare")
+    by_rare = x.filter("x_token < 0").join(y.filter("y_token < 0"), (F.col("x_token") == F.col("y_token")) & (frequent < need) & (frequent + left >= need) & (frequent + F.size(rare) >= need) & (rare[0] == F.col("x_token")))
+    below = [F.expr(f"CASE WHEN x_token >= {64 * (i + 1)} THEN x_{w} WHEN x_token > {64 * i} THEN x_{w} & ~shiftleft(-1L, CAST(x_token AS INT) - {64 * i}) ELSE 0L END").alias(f"below_{w}") for i, w in enumerate(_WORDS)]
+    earlier = reduce(lambda p, q: p.bitwiseOR(q), [F.col(f"below_{w}").bitwiseAND(F.col(f"y_{w}")) for w in _WORDS])
+    by_frequent = x.filter("x_token >= 0").select("*", *below).join(y.filter("y_token >= 0"), (F.col("x_token") == F.col("y_token")) & (frequent >= need) & (earlier == 0))
+    return by_rare.select(*out).unionByName(by_frequent.select(*out))
+
+
+def containment_pairs(items: DataFrame, num: int, den: int, floor: int) -> DataFrame:
+    """``a, b, shared, na, nb`` (``a < b``) with at least ``floor`` shared tokens that are num/den of the smaller set."""
+    posted = _postings(items.select("item_id", "tokens"), num, den, floor)
+    met = _meet(posted, posted).filter("x_item_id < y_item_id")
+    shared = reduce(add, [F.bit_count(F.col(f"x_{w}").bitwiseAND(F.col(f"y_{w}"))) for w in _WORDS]) + F.size(F.array_intersect("x_rare", "y_rare"))
+    return met.select(F.col("x_item_id").alias("a"), F.col("y_item_id").alias("b"), shared.cast("int").alias("shared"), F.col("x_size").alias("na"), F.col("y_size").alias("nb"))
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` across two item tables whose shared tokens are at least num/den of the smaller set; sets without tokens match nothing."""
+    both = materialise(left.select("item_id", "tokens", F.lit(0).alias("s")).unionByName(right.select("item_id", "tokens", F.lit(1).alias("s"))), "items")
+    posted = _postings(both, num, den, 1)
+    met = _meet(posted.filter("s = 0").drop("s"), posted.filter("s = 1").drop("s"))
+    return met.select(F.col("x_item_id").alias("a"), F.col("y_item_id").alias("b"))
 
 
 def connected(items: DataFrame, pairs: DataFrame) -> DataFrame:

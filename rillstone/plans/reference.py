@@ -11,6 +11,7 @@ from rillstone.functions import text as T
 from rillstone.functions.noise import without_noise
 from rillstone.operators import capture, census, export, ledger, similarity, threads
 from rillstone.plans.problems import table
+from rillstone.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,10 +303,9 @@ def thread_ledger(spark: SparkSession, sf: str) -> DataFrame:
  SELECT a, b FROM met, o WHERE len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) * 5 >= 3 * least(len(ta), len(tb))"""
 )
 def conflict_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = threads.thread_rows(table(spark, sf, "session_catalog")).filter("state <> 'open'")
-    items = rows.select("state", F.col("goal").alias("item_id"), T.tokens(F.col("goal")).alias("tokens")).distinct()
-    met = items.filter("state = 'met'").select("item_id", "tokens")
-    other = rows.filter("state <> 'met'").select(F.col("goal").alias("item_id"), T.tokens(F.col("goal")).alias("tokens")).distinct()
+    rows = threads.thread_rows(table(spark, sf, "session_catalog")).filter("state <> 'open'").select(F.expr("state = 'met'").alias("met"), F.col("goal").alias("item_id")).distinct()
+    items = materialise(rows, "goals").withColumn("tokens", T.tokens(F.col("item_id")))
+    met, other = items.filter("met").select("item_id", "tokens"), items.filter("NOT met").select("item_id", "tokens")
     return similarity.overlap_pairs(met, other, 3, 5)
 
 

@@ -48,3 +48,17 @@ def test_report(spark):
     assert rows(S.cluster_report(df, 3)) == [("d", 3, 2, 3.0, "y")]
     empty = spark.createDataFrame([(1, []), (2, []), (3, ["a"]), (4, [])], "item_id bigint, tokens array<string>")
     assert rows(S.link_empty(empty)) == [(1, 2), (1, 4)]
+
+
+def test_overlap_pairs_stay_where_they_meet(spark):
+    """Each pair comes out of the join of postings at once: as many as there are, none is sent through a shuffle to be made distinct or verified."""
+    r = random.Random(7)
+    forms = [[f"f{i}x{j}" for j in range(9)] for i in range(60)]
+    data = [(i, sorted({*r.choice(forms)[: r.randint(4, 9)], *(f"r{r.randrange(2000)}" for _ in range(r.randint(0, 6)))})) for i in range(500)]
+    df = spark.createDataFrame(data, "item_id bigint, tokens array<string>")
+    pairs = S.overlap_pairs(df.filter("item_id < 200"), df.filter("item_id >= 200"), 3, 5)
+    sets = {i: set(t) for i, t in data}
+    want = sorted((a, b) for a in range(200) for b in range(200, 500) if len(sets[a] & sets[b]) * 5 >= 3 * min(len(sets[a]), len(sets[b])))
+    assert rows(pairs) == sorted(want, key=repr)
+    assert len({t for _, t in data for t in t}) > S.FREQUENT
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
