@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from rillstone.functions.text import blank, collapse_spaces, filled, strip, topic_words
 from rillstone.operators.similarity import connected, containment_pairs, signatures
+from rillstone.runtime import materialise
 
 ITEM_COLUMNS = ["session_id", "date", "slug", "handoff", "project", "text", "lane", "verdict", "ref", "kind"]
 CLOSE_LANES = ["close-goal", "close-friction"]
@@ -74,8 +75,9 @@ def cluster_items(items: DataFrame, num: int = 4, den: int = 5, floor: int = 5,
     """``item_id, cluster_id, tokens, normalized`` and the items' columns, of items with enough topic words, in single-link clusters."""
     words = topic_words(F.col("text"))
     numbered = items.withColumns({"tokens": F.array_sort(F.array_distinct(words)), "normalized": F.array_join(words, " ")}).filter(F.size("tokens") >= least_tokens)
-    numbered = numbered.withColumn("item_id", F.xxhash64(*[F.col(c) for c in ITEM_COLUMNS])).dropDuplicates(["item_id"])
-    return numbered.join(connected(numbered, containment_pairs(numbered.select("item_id", "tokens"), num, den, floor)), "item_id")
+    numbered = materialise(numbered.withColumn("item_id", F.xxhash64(*[F.col(c) for c in ITEM_COLUMNS])).dropDuplicates(["item_id"]), "items")
+    clusters = connected(numbered, containment_pairs(numbered.select("item_id", "tokens"), num, den, floor))
+    return materialise(numbered.join(clusters, "item_id"), "members")
 
 
 def summarise(members: DataFrame, cutover: str, least_sessions: int = 0) -> DataFrame:
@@ -107,11 +109,11 @@ def summarise(members: DataFrame, cutover: str, least_sessions: int = 0) -> Data
     return out.filter(c("n_sessions") >= least_sessions).drop("n_sessions", "first_met", "last_met", "after", "friction_ref", "first_handoff")
 
 
-def keys_and_labels(members: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def keys_and_labels(members: DataFrame, names: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """``cluster_id, signature, key, label``: the key is a short digest of the signature; the label a given name, else the six shared tokens that
-    are rarest in the corpus for how many members have them."""
+    are rarest in the corpus for how many members have them. The corpus is ``members``, unless these are those of some clusters only."""
     sig = signatures(members).withColumn("key", F.substring(F.sha1("signature"), 1, 10))
-    corpus = members.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    corpus = (members if corpus is None else corpus).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     size = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
     held = members.select("cluster_id", F.explode("tokens").alias("t")).groupBy("cluster_id", "t").agg(F.count("*").alias("k")).join(corpus, "t").join(size, "cluster_id")
     enough = F.col("k") >= F.when(F.col("n") > 2, F.greatest(F.lit(2), F.expr("(n + 1) DIV 2"))).otherwise(2)

@@ -79,7 +79,7 @@ def _postings(items: DataFrame, num: int, den: int, floor: int) -> DataFrame:
     kind = ", ".join([*(f"{w} bigint" for w in _WORDS), "common array<bigint>", "rare array<bigint>"])
     code = F.udf(_coder({r["h"]: k for k, r in enumerate(reversed(top))}), f"struct<{kind}>", useArrow=True)
     kept = [c for c in items.columns if c != "tokens"]
-    coded = rows.select(*kept, F.size("tokens").alias("size"), code("hashes").alias("c")).select(*kept, "size", "c.*")
+    coded = materialise(rows.select(*kept, F.size("tokens").alias("size"), code("hashes").alias("c")).select(*kept, "size", "c.*"), "coded")  # coded once, however often it is read
     coded = coded.withColumns({"n_rare": F.size("rare"), "n_common": F.size("common"), "m": _need(F.least("size", F.lit(least)), num, den, floor)})
     starts = F.expr("concat(slice(rare, 1, greatest(0, n_rare - (m - least(n_common, m - 1)) + 1)), slice(common, 1, greatest(0, n_common - m + 1)))")
     words = [F.coalesce(w, F.lit(0).cast("bigint")).alias(w) for w in _WORDS]  # never null, which makes comparing them shorter
@@ -119,7 +119,7 @@ def containment_pairs(items: DataFrame, num: int, den: int, floor: int) -> DataF
 
 def overlap_pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` across two item tables whose shared tokens are at least num/den of the smaller set; sets without tokens match nothing."""
-    both = materialise(left.select("item_id", "tokens", F.lit(0).alias("s")).unionByName(right.select("item_id", "tokens", F.lit(1).alias("s"))), "items")
+    both = left.select("item_id", "tokens", F.lit(0).alias("s")).unionByName(right.select("item_id", "tokens", F.lit(1).alias("s")))
     posted = _postings(both, num, den, 1)
     met = _meet(posted.filter("s = 0").drop("s"), posted.filter("s = 1").drop("s"))
     return met.select(F.col("x_item_id").alias("a"), F.col("y_item_id").alias("b"))

@@ -420,7 +420,9 @@ def lane_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def recurrence_ledger(spark: SparkSession, sf: str) -> DataFrame:
     members = ledger.cluster_items(_lanes(spark, sf).filter("lane <> 'close-outcome'"))
-    return ledger.summarise(members, _CUTOVER, 2).join(ledger.keys_and_labels(members), "cluster_id").withColumn("lanes", F.array_join("lanes", ", "))
+    rows = materialise(ledger.summarise(members, _CUTOVER, 2), "ledger")
+    kept = materialise(members.select("cluster_id", "item_id", "normalized", "tokens").join(rows.select("cluster_id"), "cluster_id", "left_semi"), "kept")
+    return rows.join(ledger.keys_and_labels(kept, corpus=members), "cluster_id").withColumn("lanes", F.array_join("lanes", ", "))
 
 
 _EVIDENCE = """WITH g AS (SELECT DISTINCT project AS k, session_id, date AS d, handoff_path AS h, slug, coalesce(had_incident, false) AS met FROM session_catalog WHERE project <> ''),

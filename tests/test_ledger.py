@@ -93,3 +93,14 @@ def test_markdown(spark, tmp_path):
     (tmp_path / "n" / "2026-06-01-session.md").write_text(legacy + note)
     files = M.markdown_files(spark, str(tmp_path / "n"))
     assert M.legacy_close(files).count() == 1 and M.session_notes(files, "Owner").count() == 1
+
+
+def test_members_are_worked_out_once(spark):
+    """The ledger reads its members many times, so their plan must be a mere scan, not the lanes and the clustering over again."""
+    same = "migrate archive pointers into ledger folder tonight"
+    data = [(f"s{i}", "2026-01-01", "", "", "", same if i < 3 else f"unrelated topic number{'abcdef'[i]}", "prompt", "", "", "") for i in range(6)]
+    m = G.cluster_items(spark.createDataFrame(data, ", ".join(f"{c} string" for c in G.ITEM_COLUMNS)))
+    assert not {"Join", "Exchange", "Aggregate"} & {w for w in ("Join", "Exchange", "Aggregate") if w in m._jdf.queryExecution().executedPlan().toString()}
+    big = m.groupBy("cluster_id").count().filter("count = 3").select("cluster_id")
+    part = G.keys_and_labels(m.join(big, "cluster_id", "left_semi"), corpus=m)
+    assert rows(part) == [r for r in rows(G.keys_and_labels(m)) if r[0] == big.head()[0]]
