@@ -307,11 +307,11 @@ class Maker:
         return text, spans
 
 
-def _hidden(groups: tuple[tuple[str, ...], ...], r: random.Random) -> tuple[str, ...]:
+def _hidden(groups: tuple[pii.Group, ...], r: random.Random) -> tuple[str, ...]:
     """All features of a candidate, those of words around it or of endings left out now and then."""
     around, inside = r.random() < HIDE, r.random() < HIDE
     out = []
-    for f in (f for g in groups for f in g):
+    for f in (f for g in groups for f in pii.features(g)):
         word = ("<" in f or ">" in f) and not f.startswith("cut") and "<k" not in f and ">k" not in f
         if not (word and around) and not (":-" in f and inside) and not (f.endswith("-") and inside):
             out.append(f)
@@ -329,7 +329,7 @@ def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED, ra
         true = set(gold)
         for group in pii.windows(text, pii.candidates(text)):
             data.append((text, group, [(s, e, k) in true for s, e, k, _ in group]))
-            seen.update({f for c in group for g in c[3] for f in g})
+            seen.update({f for c in group for g in c[3] for f in pii.features(g)})
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(data)
