@@ -72,8 +72,9 @@ NAME_LABELS = (
 )
 #: Titles that names do not begin with; the others are names or initials, too.
 _NO_START = frozenset(TITLES) - {"don", "dame", "m", "pan", "sig", "fr"}
+_SPACE = "".join(re.escape(ch) for ch in map(chr, range(0x3001)) if ch.isspace())
 #: What may stand before a title or a label; texts are searched in lower case with a line end put before them.
-_OPEN = r"[\s()\[\]{}<>\"'*,;:.|/#&=]"
+_OPEN = rf"[{_SPACE}()\[\]{{}}<>\"'*,;:.|/#&=]"
 _TITLE = re.compile(rf"{_OPEN}{_by_first('|'.join(TITLES))}\.? (?=[^\W\d_])")
 _NAMED = re.compile(r"[:=][\"'* ]{0,4}(?=[^\W\d_])")
 _ANY_NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?(?![\w@]|[./+-]\w)")
@@ -84,15 +85,17 @@ _AT = re.compile(r" at | AT | ?[(\[{<](?:at|AT)[)\]}>] ?")
 _SOME_AT = re.compile(r"[aA][tT](?<=[ (\[{<]..)(?=[ )\]}>])")
 _DOT = r"(?: ?[(\[{<](?:dot|DOT)[)\]}>] ?| dot | DOT |\.)"
 _HIDDEN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}[A-Za-z]{{2,10}}(?![\w@-]|{_DOT}\w)")
-_DIGIT = re.compile(r"\d")
+#: A digit, looked for by ranges that hold all of them, which is faster than by kind.
+_FIRST_DIGIT = r"[0-9\u0660-\U0010ffff](?<=\d)"
+_DIGIT = re.compile(_FIRST_DIGIT)
 #: Behind the first letter of a word: nothing that belongs to it stands before it.
 _ALONE = r"(?<![\w-].)"
 _DIGITS = re.compile(
-    r"[\d+(](?:(?<![\w.#/+@-].)(?<!\d,.)(?<!\w[:=].)(?:(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d+|(?<=\()\d{1,5}\)[ .-]?\d+|(?<=0)0\d{1,3}[ .-](?:\(\d{1,5}\)[ .-]?)?\d+|(?<=\d)\d*)(?:(?:[ ./-]| ?[/-] ?)\d+)*(?![\w@]|[.:]\d)|"
+    r"[0-9+(\u0660-\U0010ffff](?<=[\d+(])(?:(?<![\w.#/+@-].)(?<!\d,.)(?<!\w[:=].)(?:(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d+|(?<=\()\d{1,5}\)[ .-]?\d+|(?<=0)0\d{1,3}[ .-](?:\(\d{1,5}\)[ .-]?)?\d+|(?<=\d)\d*)(?:(?:[ ./-]| ?[/-] ?)\d+)*(?![\w@]|[.:]\d)|"
     r"(?<=[a-z][:=].)(?:(?<=\+)\(?\d|(?<=\()\d|(?<=\d))[\d ()./-]{5,}\d(?!\w))"
 )
 #: Four digits with nothing between them that a labelled number does not hold.
-_FOUR_DIGITS = re.compile(r"\d(?:[A-Z /.-]*\d){3}")
+_FOUR_DIGITS = re.compile(_FIRST_DIGIT + r"(?:[A-Z /.-]*\d){3}")
 # What identity numbers are called.
 ID_LABELS = (
     r"tax (?:id|identification|file|payer)(?: number| no\.?)?|taxpayer (?:id|number)|tax (?:number|no\.?)|tin|tfn|itin|ein|ssn|social security(?: number| no\.?)?|social insurance(?: number| no\.?)?|sin|nino|ni (?:number|no\.?)|national insurance(?: number| no\.?)?|nhs (?:number|no\.?)|"
@@ -115,14 +118,14 @@ _WAY = (
     r"street|st|avenue|ave|av|road|rd|lane|ln|drive|dr|close|court|ct|square|sq|terrace|ter|way|boulevard|blvd|place|pl|row|crescent|cres|gardens|gdns|hill|grove|mews|parkway|pkwy|walk|highway|hwy|circle|cir|trail|trl|quay|rise|view|vale|"
     r"green|park|loop|alley|plaza|wharf|caddesi|cad|sokak|sokağı"
 )
-_HOUSE = re.compile(rf"\d(?<![\w.#/-]\d)\d{{0,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(?:,(?= \D))? (?:[a-z0-9'’à-ÿ-]+\.? ){{1,4}}?{_by_first(_WAY)}\b(?:(?<=\bave)\.|(?<=\bav)\.|(?<=\brd)\.|(?<=\bst)\.(?=,| \D)|(?<=\bdr)\.|(?<=\bln)\.|(?<=\bblvd)\.)?(?: (?:nw|ne|sw|se|north|south|east|west)\b)?(?:,? (?:apt\.?|apartment|suite|ste\.?|unit|flat|floor) ?#?\w+|,? #\d+\w?)?")
+_HOUSE = re.compile(rf"{_FIRST_DIGIT}(?<![\w.#/-]\d)\d{{0,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(?:,(?= \D))? (?:[a-z0-9'’à-ÿ-]+\.? ){{1,4}}?{_by_first(_WAY)}\b(?:(?<=\bave)\.|(?<=\bav)\.|(?<=\brd)\.|(?<=\bst)\.(?=,| \D)|(?<=\bdr)\.|(?<=\bln)\.|(?<=\bblvd)\.)?(?: (?:nw|ne|sw|se|north|south|east|west)\b)?(?:,? (?:apt\.?|apartment|suite|ste\.?|unit|flat|floor) ?#?\w+|,? #\d+\w?)?")
 _DOOR = re.compile(r"(?<![\w-])(?:flat|apt\.?|apartment|unit|suite|room) ?#?\w+, ?")
 # Words that end the name of a way.
 _WAY_END = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|hof|markt|steig|chaussee|straat|laan|gracht|kade|plein|dijk|singel|steenweg|gatan|gata|gate|vägen|gade|vej|veien|vei|katu|tie|stien"
 _WAY_ENDS = tuple(_WAY_END.replace("\\.", ".").split("|"))
 #: Their last two letters, which are looked up faster.
 _WAY_TAILS = frozenset(w[-2:] for w in _WAY_ENDS)
-_NUMBER_OF = re.compile(r"\d(?<=\D\d)\d{0,3}(?P<n>(?:[-/]\d{1,3})?)(?P<x> ?[a-zA-Z])?(?!\w)")
+_NUMBER_OF = re.compile(_FIRST_DIGIT + r"(?<=\D\d)\d{0,3}(?P<n>(?:[-/]\d{1,3})?)(?P<x> ?[a-zA-Z])?(?!\w)")
 _PREPOSITION = "Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Unter den|Unter der|Zum|Zur|Beim|Hinter der|Vor dem"
 _AM = re.compile(rf"{_by_first(_PREPOSITION, _ALONE)} [{_U}][\w-]+(?: [{_U}][\w-]+)? \d{{1,4}}(?: ?[a-z](?!\w))?(?!\w)")
 # Words that lead the name of a way.
@@ -131,12 +134,12 @@ _LEAD = (
     r"calle|avenida|plaza|paseo|rua|praça|travessa|largo|via|piazza|viale|corso|rue|Rue|avenue|Avenue|chemin|Chemin"
 )
 _CALLE = re.compile(rf"{_by_first(_LEAD, _ALONE)} ?(?:(?:de|di|da|do|dos|das|du|des|del|della|dei|d[’']|de la|de los|de las|San|Santa)(?: |(?<=['’])))*\w[\w'’.-]+(?:(?: (?:de|di|da|do|del|della|dei|y|e|la))* [{_U}][\w'’-]+)*,? (?:(?:n\.?|nº|n°|[Nn]o[.:]?|nr\.?) ?)?\d{{1,4}}(?:/?[a-zA-Z](?!\w))?(?:, ?\d{{1,2}}[ºª°](?: ?[A-Z](?!\w)| (?:dcha|izda|izq)\.?)?)?(?:/\d{{1,3}})?")
-_RUE = re.compile(rf"\d(?<![\w-]\d)\d{{0,3}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Cc]ours|[Rr]oute|[Ss]quare|[Pp]assage|[Ss]entier) (?:de la |de l['’]|des |du |de |d['’])?\w[\w'’-]+(?: (?:de |du |des |la )?[{_U}][\w'’-]+)?")
+_RUE = re.compile(rf"{_FIRST_DIGIT}(?<![\w-]\d)\d{{0,3}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Cc]ours|[Rr]oute|[Ss]quare|[Pp]assage|[Ss]entier) (?:de la |de l['’]|des |du |de |d['’])?\w[\w'’-]+(?: (?:de |du |des |la )?[{_U}][\w'’-]+)?")
 _BOX_NAME = r"P\.? ?O\.? ?Box|PO Box|Postfach|Apartado|Casella Postale|Boîte postale|BP"
 _BOX = re.compile(rf"{_by_first(_BOX_NAME, _ALONE)} \d{{1,6}}(?!\w)")
 _FORMS = (("rue", _RUE), ("am", _AM), ("calle", _CALLE), ("box", _BOX))
 #: What all forms but the first hold, found faster than each of them.
-_LED = re.compile(rf"[^\w-]{_by_first('|'.join((_PREPOSITION, _LEAD, _BOX_NAME)))}[^\n]*\d")
+_LED = re.compile(rf"[^a-zA-Z0-9_-]{_by_first('|'.join((_PREPOSITION, _LEAD, _BOX_NAME)))}[^\n]*\d")
 _CODE = r"(?:\d{4,6}|\d{3}-\d{4}|\d{3} \d{2}|\d{2}-\d{3}|\d{5}-\d{3,4}|\d{4} ?[A-Z]{2}|[A-Z]{1,2}\d[A-Z0-9]? ?\d[A-Z]{2}|[A-Z]\d[A-Z] ?\d[A-Z]\d|[A-Z]{1,2}-\d{4,5})(?![\w-]|[/.]\d)"
 _TAIL = re.compile(rf"(?P<gap>,? )(?:(?P<code>{_CODE})|(?P<state>[A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?![\w-])|[A-Z]{{2}}(?!\w))|(?P<town>{_TOWN}))|(?P<glued>,)(?P<tight>{_TOWN})")
 _TOKEN_BEFORE = re.compile(r"[^\W_]+|[^\w\s]")
@@ -180,6 +183,7 @@ def _word_kind(word: str) -> str:
 
 
 _LABEL_WORDS = frozenset(NAME_LABELS.split("|"))
+_CALLING = frozenset(":=\"'*|")
 _LONGEST_TITLE = max(map(len, _NO_START))
 _LABEL_BEFORE = re.compile(r"[^\n|,;{(&\"*.]*")
 
@@ -272,8 +276,9 @@ def _persons(text: str, out: list[Candidate]) -> None:
                 one, two = one[::-1].lower(), two[::-1].lower()
                 then, later = match_after(text, e).groups("$")
                 then, later = then.lower(), later.lower()
-                # words of letters that are no titles, and line starts, need no closer look
-                called = "-" if one == "^" or (one not in _NO_START and one.isalpha()) else _called(text, s)
+                # only behind titles, with or without a point, and some signs is a closer look needed
+                word = two if one == "." else one
+                called = _called(text, s) if (word in _NO_START if word.isalpha() else one == "." or one in _CALLING or one.isalnum()) else "-"
                 out.append((s, e, "person", (("shape", token_class(raw), _word_kind(one), _word_kind(then), called), ("token", "one", raw), ("left", "one", one, two), ("right", "one", then, later))))
             continue
         base = run.start()
@@ -605,7 +610,7 @@ class Scorer:
         if len(self.known) > 400_000:
             self.known.clear()
         get = self.weights.get
-        got = self.known[group] = tuple([sum([get(f, 0.0) for f in part]) for part in _parts(group)])
+        got = self.known[group] = tuple([sum([get(f, 0.0) for f in part]) if len(part) > 1 else get(part[0], 0.0) for part in _parts(group)])
         return got
 
     def own(self, c: Candidate) -> float:

@@ -41,10 +41,20 @@ def use(folder: str) -> None:
     _at[0] = folder
 
 
-def _compound(word: str, known: dict[str, int]) -> bool:
+@lru_cache(maxsize=2)
+def _small(folder: str) -> frozenset[str]:
+    """The words of three letters or more that are mostly written small."""
+    known = ranks(folder)
+    return frozenset(word for word, rank in known.items() if len(word) > 2 and rank < known.get(word.title(), UNSEEN))
+
+
+def _compound(word: str) -> bool:
     """Whether two words that are mostly written small make up the word."""
-    small = lambda part: known.get(part, UNSEEN) < known.get(part.title(), UNSEEN)
-    return any(small(word[:i]) and small(word[i:]) for i in range(3, len(word) - 2))
+    small = _small(_at[0])
+    for i in range(3, len(word) - 2):
+        if word[:i] in small and word[i:] in small:
+            return True
+    return False
 
 
 def form_class(word: str) -> str:
@@ -54,7 +64,7 @@ def form_class(word: str) -> str:
     low, title = word.lower(), word[:1].upper() + word[1:].lower()
     small, large = known.get(low, UNSEEN), known.get(title, UNSEEN)
     if small == large == UNSEEN:
-        return "c" if _compound(low, known) else "u"
+        return "c" if _compound(low) else "u"
     ratio = math.log2(large + 1) - math.log2(small + 1)
     if ratio > 1.5:
         return "a" if small < 1_500 else "n"

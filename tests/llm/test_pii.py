@@ -135,3 +135,11 @@ def test_grouped_alternatives_match_the_same():
 @pytest.mark.parametrize("text,want", [("passport\n12345", []), ("a-Calle Mayor 5", []), ("1+555 0100 2000", []), ("word at at host.example", []), ("mail j.doe at firm dot example", [("email", "j.doe at firm dot example")]), ("x 12 Oak St. \ny", [("address", "12 Oak St.")])])
 def test_what_stands_before_a_form(text, want):
     assert [(k, text[s:e]) for s, e, k in pii.find(text)] == want
+
+
+def test_ranges_hold_every_digit_and_space():
+    import re
+
+    every = [chr(c) for c in range(0x110000)]
+    for kind, own in ((r"\d", pii._FIRST_DIGIT), (r"\s", f"[{pii._SPACE}]")):
+        assert re.findall(kind, "".join(every)) == re.findall(own, "".join(every))
